@@ -53,3 +53,16 @@ def tokens_sql(text: str = "text") -> str:
 def clean_expr(text: str = "text") -> str:
     """Latin accents folded, non-ASCII dropped (DuckDB)."""
     return f"regexp_replace(strip_accents({text}), '[^\\x00-\\x7F]', '', 'g')"
+
+
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Model runs: one per event type (model) and user group (training size)."""
+    return (table(spark, folder, "events")
+            .groupBy(F.col("event_type").alias("model_name"), ((F.col("user_id") % 8 + 1) * 1000).alias("train_examples"))
+            .agg((F.sum(F.round(F.col("value") * 100).cast("long")) / (F.count("*") * 100.0)).alias("eval_metric"),
+                 (F.count("*") / 100.0).alias("train_time_min"), F.max("event_id").alias("run_id")))
+
+
+RUNS_SQL = """SELECT event_type AS model_name, (user_id % 8 + 1) * 1000 AS train_examples,
+  CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / (count(*) * CAST(100 AS DOUBLE)) AS eval_metric,
+  count(*) / CAST(100 AS DOUBLE) AS train_time_min, max(event_id) AS run_id FROM events GROUP BY 1, 2"""

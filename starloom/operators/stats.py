@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +90,7 @@ def quantile_bins(df: DataFrame, column: str, probabilities: Sequence[float], na
     """
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
     edges = value_counts(df, column).agg(F.percentile("value", wanted, F.col("freq"))).scalar()
-    position = F.size(F.filter(edges, lambda e: e < F.col(column)))
+    position = sum((F.get(edges, F.lit(i)) < F.col(column)).cast("int") for i in range(len(probabilities)))
     inside = (position >= 1) & (position < len(probabilities))
     return df.withColumn(name, F.when(inside, position.cast("long")))
 
@@ -185,3 +187,57 @@ def running_total(df: DataFrame, order: Sequence[Column], measure: str, name: st
     local = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
     return (placed.withColumn("__local", F.sum(measure).over(local)).join(F.broadcast(lifts), "__part")
             .withColumn(name, F.col("__local") + F.col("__lift")).drop("__place", "__part", "__sum", "__lift", "__local"))
+
+
+def feature_std(df: DataFrame, vector: str) -> DataFrame:
+    """Sample standard deviation of every component of an array column."""
+    return (df.select(F.posexplode(vector).alias("feature", "x")).groupBy("feature")
+            .agg(F.stddev_samp(F.col("x").cast("double")).alias("std")))
+
+
+def sparse_feature_std(cells: DataFrame, feature: str, value: str, rows: Column) -> DataFrame:
+    """Sample standard deviation of every feature of a long sparse table; absent cells are zero.
+
+    ``rows`` is the number of rows including all-zero ones (a literal or a scalar subquery).
+    """
+    x = F.col(value).cast("double")
+    sums = cells.groupBy(feature).agg(F.sum(x).alias("__s"), F.sum(x * x).alias("__q"))
+    return sums.select(feature, F.sqrt((F.col("__q") - F.col("__s") * F.col("__s") / rows) / (rows - 1)).alias("std"))
+
+
+def extreme_features(stds: DataFrame, feature: str, digits: int = 9) -> DataFrame:
+    """Features attaining the smallest or the largest standard deviation (to ``digits`` places)."""
+    rounded = stds.select(feature, F.round("std", digits).alias("std"))
+    groups = rounded.groupBy("std").agg(F.collect_list(feature).alias("__f"))
+    ends = groups.agg(F.min_by("__f", "std").alias("lowest"), F.max_by("__f", "std").alias("highest"),
+                      F.min("std").alias("__lo"), F.max("std").alias("__hi"))
+    return ends.select(F.inline(F.array(
+        F.struct(F.lit("min").alias("which"), F.col("__lo").alias("std"), F.array_sort("lowest").alias("features")),
+        F.struct(F.lit("max").alias("which"), F.col("__hi").alias("std"), F.array_sort("highest").alias("features"))))).select(
+            "which", "std", F.explode("features").alias(feature))
+
+
+def correlations(df: DataFrame, vector: str, dim: int) -> DataFrame:
+    """Pearson correlation of every component pair of an array column, as (a, b, r) rows.
+
+    Each task reduces its rows to one matrix of cross products, so the shuffle carries
+    partitions x dim^2 numbers instead of row pairs.
+    """
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gram = np.zeros((dim + 1, dim + 1))
+        for batch in batches:
+            x = np.column_stack([np.ones(len(batch)), np.stack(batch[vector].to_numpy()).astype(float)])
+            gram += x.T @ x
+        a, b = np.indices(gram.shape)
+        yield pd.DataFrame({"a": a.ravel(), "b": b.ravel(), "s": gram.ravel()})
+
+    cross = df.select(vector).mapInPandas(partial, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))
+    n = cross.where((F.col("a") == 0) & (F.col("b") == 0)).select("s").scalar()
+    moments = cross.where((F.col("b") == 0) & (F.col("a") > 0)).select("a", F.col("s").alias("sum"))
+    squares = cross.where((F.col("a") == F.col("b")) & (F.col("a") > 0)).select("a", F.col("s").alias("sq"))
+    spread_of = moments.join(squares, "a").select("a", "sum", F.sqrt(n * F.col("sq") - F.col("sum") * F.col("sum")).alias("dev"))
+    left = spread_of.select("a", F.col("sum").alias("sum_a"), F.col("dev").alias("dev_a"))
+    right = spread_of.select(F.col("a").alias("b"), F.col("sum").alias("sum_b"), F.col("dev").alias("dev_b"))
+    pairs = cross.where((F.col("a") > 0) & (F.col("a") < F.col("b"))).join(left, "a").join(right, "b")
+    r = (n * F.col("s") - F.col("sum_a") * F.col("sum_b")) / (F.col("dev_a") * F.col("dev_b"))
+    return pairs.select((F.col("a") - 1).alias("a"), (F.col("b") - 1).alias("b"), r.alias("r"))
