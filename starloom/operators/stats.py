@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.plans.session import cut_lineage
+from starloom.plans.ranking import number_rows
 
 
 def group_share(df: DataFrame, keys: Sequence[str], scale: float = 100.0, count: str = "n", share: str = "percent") -> DataFrame:
@@ -159,34 +159,18 @@ def mean_and_std(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) ->
 
 
 def empirical_cdf(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Cumulative share per distinct value, optionally per group.
+    """Cumulative share per distinct value, overall or per group.
 
-    Works on the histogram: bins are range-partitioned into a global running sum through
-    their own sort order, never row by row.
+    The histogram is summed along a range-partitioned global order, so neither one group nor
+    the whole histogram has to fit in a task.
     """
     histogram = df.groupBy(*keys, column).agg(F.count("*").alias("n"))
-    if keys:
-        window = Window.partitionBy(*keys).orderBy(column)
-        total = F.sum("n").over(Window.partitionBy(*keys))
-        return histogram.withColumn("cdf", F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, 0)) / total)
-    running = running_total(histogram, [F.col(column)], "n", "__below")
-    return running.withColumn("cdf", F.col("__below") / histogram.agg(F.sum("n")).scalar()).drop("__below")
-
-
-def running_total(df: DataFrame, order: Sequence[Column], measure: str, name: str) -> DataFrame:
-    """Global running sum along ``order`` without a single-task window.
-
-    Rows are range-sorted and checkpointed; each partition's running sum is lifted by the
-    total of the partitions before it (one row per partition, safe to broadcast).
-    """
-    placed = cut_lineage(df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
-    placed = placed.withColumn("__part", F.shiftright("__place", 33))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    lifts = placed.groupBy("__part").agg(F.sum(measure).alias("__sum")).select(
-        "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__lift"))
-    local = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
-    return (placed.withColumn("__local", F.sum(measure).over(local)).join(F.broadcast(lifts), "__part")
-            .withColumn(name, F.col("__local") + F.col("__lift")).drop("__place", "__part", "__sum", "__lift", "__local"))
+    running = number_rows(histogram, [*keys, column], "__rn", running={"__cum": "n"})
+    if not keys:
+        return running.select(column, "n", (F.col("__cum") / histogram.agg(F.sum("n")).scalar()).alias("cdf"))
+    groups = running.groupBy(*keys).agg(F.min(F.col("__cum") - F.col("n")).alias("__before"), F.sum("n").alias("__total"))
+    return running.join(groups, list(keys)).select(
+        *keys, column, "n", ((F.col("__cum") - F.col("__before")) / F.col("__total")).alias("cdf"))
 
 
 def feature_std(df: DataFrame, vector: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,26 +12,31 @@ from starloom.plans.session import cut_lineage
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row offset in the low 33 bits
 
 
-def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "rn", start: int = 1) -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "rn", start: int = 1,
+                running: Mapping[str, str] | None = None) -> DataFrame:
     """Add a dense global row number along ``order`` (must be a total order).
 
+    ``running`` maps new column names to measures whose running sums are wanted as well.
+
     A range-partitioned sort spreads the rows, the sorted rows are checkpointed so that both
     readers below agree on the partitions, and the offset table holds one row per partition,
     which is what makes its broadcast and its single-task running sum safe.
     """
+    sums = dict(running or {})
     placed = cut_lineage(df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
     placed = placed.withColumn("__part", F.shiftright("__place", _ROW_BITS))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("__part").agg(F.count("*").alias("__size"))
-        .select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
-    )
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__size"), *[F.sum(m).alias(f"__sum_{n}") for n, m in sums.items()])
+    offsets = sizes.select(
+        "__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"),
+        *[F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in sums])
+    if sums:
+        local = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+        placed = placed.withColumns({f"__local_{n}": F.sum(m).over(local) for n, m in sums.items()})
     within = F.col("__place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (
-        placed.join(F.broadcast(offsets), "__part")
-        .withColumn(name, F.col("__offset") + within + F.lit(start))
-        .drop("__place", "__part", "__size", "__offset")
-    )
+    return placed.join(F.broadcast(offsets), "__part").select(
+        *df.columns, (F.col("__offset") + within + F.lit(start)).alias(name),
+        *[(F.col(f"__before_{n}") + F.col(f"__local_{n}")).alias(n) for n in sums])
 
 
 def rank_within(df: DataFrame, group: str, order: Sequence[Column | str], name: str = "rn",
