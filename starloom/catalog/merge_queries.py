@@ -120,17 +120,15 @@ def split_known(spark, folder):
 
 
 @query("j8_align_series", """
-    SELECT event_type, epoch, losses[epoch] AS loss, accs[epoch] AS acc FROM (
-      SELECT event_type, list(event_id ORDER BY event_id) AS losses, list(user_id ORDER BY event_id) FILTER (event_id % 2 = 0) AS accs
-      FROM events WHERE user_id = 3 GROUP BY event_type), unnest(range(1, 1000000)) e(epoch) WHERE epoch <= len(losses)""".replace(
-          "unnest(range(1, 1000000)) e(epoch) WHERE epoch <= len(losses)", "LATERAL (SELECT unnest(range(1, len(losses) + 1)) AS epoch) e"))
+    SELECT event_type, user_id, epoch, losses[epoch] AS loss, accs[epoch] AS acc FROM (
+      SELECT event_type, user_id, list(event_id ORDER BY event_id) AS losses,
+             list(event_id * 2 ORDER BY event_id) FILTER (event_id % 2 = 0) AS accs
+      FROM events GROUP BY event_type, user_id), LATERAL (SELECT unnest(range(1, len(losses) + 1)) AS epoch) e""")
 def align(spark, folder):
-    events = table(spark, folder, "events").where("user_id = 3")
-    ordered = F.array_sort(F.collect_list(F.struct("event_id", "user_id")))
-    kept = F.array_sort(F.collect_list(F.when(F.col("event_id") % 2 == 0, F.struct("event_id", "user_id"))))
-    series = events.groupBy("event_type").agg(F.transform(ordered, lambda s: s["event_id"]).alias("loss"),
-                                              F.transform(kept, lambda s: s["user_id"]).alias("acc"))
-    return joins.align_series(series, ["event_type"], ["loss", "acc"])
+    series = table(spark, folder, "events").groupBy("event_type", "user_id").agg(
+        F.array_sort(F.collect_list("event_id")).alias("loss"),
+        F.array_sort(F.collect_list(F.when(F.col("event_id") % 2 == 0, F.col("event_id") * 2))).alias("acc"))
+    return joins.align_series(series, ["event_type", "user_id"], ["loss", "acc"])
 
 
 @query("j10_keep_top_groups", """

@@ -254,13 +254,16 @@ def space_split_count(text: ColumnLike) -> Column:
 
 def ngrams(tokens: ColumnLike, low: int = 1, high: int = 1) -> Column:
     """All n-grams of length ``low`` to ``high`` as space-joined strings."""
-    words = _col(tokens)
     none = F.array().cast("array<int>")
 
-    def grams(n: int) -> Column:
-        if n == 1:
-            return words
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))).otherwise(none)
-        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.element_at(words, i + F.lit(j)) for j in range(n)]))
+    def all_grams(words: Column) -> Column:
+        def grams(n: int) -> Column:
+            if n == 1:
+                return words
+            starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))).otherwise(none)
+            return F.transform(starts, lambda i: F.concat_ws(" ", *[F.element_at(words, i + F.lit(j)) for j in range(n)]))
 
-    return F.concat(*[grams(n) for n in range(low, high + 1)])
+        return F.concat(*[grams(n) for n in range(low, high + 1)])
+
+    # bound once: an inlined token expression would be evaluated again for every position
+    return _bind(_col(tokens), all_grams)
