@@ -95,12 +95,6 @@ def smote_factors(spark, folder):
     return made.groupBy("label").agg(F.count("*").alias("generated"))
 
 
-@query("m8_adasyn")
-def adasyn(spark, folder):
-    made = sampling.adasyn(table(spark, folder, "embeddings"), "vec_id", "label", "embedding")
-    return made.groupBy("label").agg(F.count("*").alias("generated"), F.countDistinct("id").alias("parents"))
-
-
 _VECTORS = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 
@@ -175,3 +169,18 @@ def knn(spark, folder):
 def radius(spark, folder):
     vectors = table(spark, folder, "embeddings")
     return neighbors.radius_classify(vectors, vectors, "vec_id", "embedding", "label", 1.2, exclude_self=True)
+
+
+# Classes 3 to 9 are merged into one majority class.
+@query("m8_adasyn", f"""
+    WITH e AS (SELECT vec_id, least(label, 3) AS label, v FROM {_VECTORS}),
+      c AS (SELECT label, (SELECT max(n) FROM (SELECT count(*) AS n FROM e GROUP BY label)) - count(*) AS quota FROM e GROUP BY label),
+      r AS (SELECT id, q AS label, avg(CAST(q <> b AS INTEGER)) AS ratio FROM (
+        SELECT x.vec_id AS id, x.label AS q, y.label AS b, row_number() OVER (PARTITION BY x.vec_id ORDER BY list_distance(x.v, y.v), y.vec_id) AS k
+        FROM e x JOIN e y ON x.vec_id <> y.vec_id WHERE x.label < 3) WHERE k <= 5 GROUP BY id, q),
+      t AS (SELECT id, label, CAST(round_even(ratio / sum(ratio) OVER (PARTITION BY label) * quota, 0) AS BIGINT) AS times FROM r JOIN c USING (label))
+    SELECT label, CAST(sum(times) AS BIGINT) AS generated, count(*) FILTER (times > 0) AS parents FROM t GROUP BY label""")
+def adasyn(spark, folder):
+    vectors = table(spark, folder, "embeddings").withColumn("label", F.least("label", F.lit(3)))
+    made = sampling.adasyn(vectors, "vec_id", "label", "embedding")
+    return made.groupBy("label").agg(F.count("*").alias("generated"), F.countDistinct("id").alias("parents"))

@@ -51,6 +51,9 @@ def _prepare(df: DataFrame, key: str, vec: str, group: str | None, label: str |
 def _build(base: DataFrame, k: int, far: bool, pivots: int) -> tuple[DataFrame, _Cells]:
     """Assign base rows to cells and gather the bounds of every cell."""
     chosen = base.orderBy(key_hash("id", 17), "id").limit(pivots).select("v").collect()
+    if not chosen:
+        empty = base.withColumns({"cell": F.lit(0), "d": F.lit(0.0)})
+        return empty, _Cells(np.zeros((0, 0)), np.zeros((0, 0)), {})
     points = np.array([r["v"] for r in chosen], dtype=np.float64)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,6 +118,7 @@ def _blocks(routed: DataFrame, assigned: DataFrame, cells: _Cells) -> tuple[Data
     spark = routed.sparkSession
     asked = {(r["g"], r["cell"]): r["n"] for r in routed.groupBy("g", "cell").agg(F.count("*").alias("n")).collect()}
     plan = [(g, c, -(-cells.stats[(g, c)][0] // BLOCK_ROWS), -(-n // BLOCK_ROWS)) for (g, c), n in asked.items()]
+    # one row per (group, pivot)
     plan_df = F.broadcast(spark.createDataFrame(plan, "g int, cell int, base_blocks long, query_blocks long"))
 
     def side(df: DataFrame, own: str, other: str, own_blocks: str, other_blocks: str) -> DataFrame:

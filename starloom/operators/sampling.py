@@ -153,7 +153,7 @@ def adasyn(df: DataFrame, key: str, label: str, vec: str, k: int = 5, seed: int
     labelled = near.join(minority.select(F.col(key).alias("id"), label), "id")
     ratios = labelled.groupBy("id", label).agg(F.avg((F.col("__other") != F.col(label)).cast("double")).alias("__ratio"))
     total = ratios.groupBy(label).agg(F.sum("__ratio").alias("__all"))
-    times = F.round(F.col("__ratio") / F.col("__all") * F.col("__quota")).cast("long")
+    times = F.rint(F.col("__ratio") / F.col("__all") * F.col("__quota")).cast("long")
     requests = ratios.join(F.broadcast(total), label).join(F.broadcast(quota), label).select("id", label, times.alias("__times")).where(
         F.col("__times") > 0)
     return _interpolate(df, key, label, vec, cut_lineage(requests), k, seed)
