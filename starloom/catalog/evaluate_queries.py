@@ -135,10 +135,10 @@ def auc(spark, folder):
     return _r6(roc.roc_auc(rows, "truth", scores), "auc")
 
 
-@query("e5_roc_curves", f"WITH {_CURVES_SQL} SELECT curve, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM k")
+@query("e5_roc_curves", f"WITH {_CURVES_SQL} SELECT curve, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM k")
 def curves(spark, folder):
     rows, scores = _scored(spark, folder)
-    return _r6(roc.roc_curves(rows, "truth", scores), "fpr", "tpr")
+    return roc.roc_curves(rows, "truth", scores).select("curve", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
 
 
 _FLAT_SQL = " UNION ALL ".join(

@@ -73,7 +73,7 @@ def tolerant_scan(spark, folder):
 
 
 @query("s4_json_lines", """
-    SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 6) AS mean_value
+    SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents
     FROM events GROUP BY ALL""")
 def json_lines(spark, folder):
     path = fresh_path(spark, "jsonl")
@@ -82,7 +82,7 @@ def json_lines(spark, folder):
     events.write.json(path)
     rows = src.read_json_lines(spark, path, "event_id bigint, event_type string, value double, attributes struct<k:bigint>")
     return rows.groupBy("event_type", F.col("attributes.k").alias("k")).agg(
-        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+        F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
 
 
 @query("s5_csv_sink", """

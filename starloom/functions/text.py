@@ -20,11 +20,12 @@ from starloom.functions.fixed_values import CONTRACTIONS, review_stop_words
 
 ColumnLike = Column | str
 
-# Every character that str.split() treats as blank.
-_BLANKS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Every character that str.split() treats as blank. ASCII ranges come first in the classes below
+# because Java tests the members of a class one after the other.
+_BLANKS = r"\x1c-\x1f\p{IsWhite_Space}"
 _BLANK = f"[{_BLANKS}]"
-_NON_BLANK = f"[^{_BLANKS}]"
-_WORD_CHAR = r"[\p{L}\p{N}_]"
+_NON_BLANK = f"[!-~[^{_BLANKS}]]"
+_WORD_CHAR = r"[a-zA-Z0-9_\p{L}\p{N}]"
 WORD_PUNCT = rf"{_WORD_CHAR}+|[^\p{{L}}\p{{N}}_{_BLANKS}]+"
 WORD_OF_TWO = rf"{_WORD_CHAR}{{2,}}"
 
@@ -65,7 +66,7 @@ def make_lowercase(text: ColumnLike) -> Column:
 
 def remove_newlines(text: ColumnLike) -> Column:
     """Delete line breaks without leaving a space, then squeeze blanks."""
-    return squeeze_blanks(F.regexp_replace(_col(text), "[\n\r]", ""))
+    return squeeze_blanks(F.replace(F.replace(_col(text), F.lit("\n"), F.lit("")), F.lit("\r"), F.lit("")))
 
 
 def _decode_entity(entity: Column) -> Column:
@@ -194,7 +195,8 @@ def remove_special_chars(text: ColumnLike) -> Column:
 def remove_alphanumeric_words(text: ColumnLike) -> Column:
     """Drop letter/digit mixtures and numbers of two or more digits; lone digits survive."""
     mixed = r"(?i)\s*([a-z]+\d+\w*|\d+[a-z]+\w*|\d{2,})"
-    return squeeze_blanks(F.regexp_replace(_col(text), mixed, ""))
+    source = _col(text)
+    return squeeze_blanks(F.when(source.rlike(r"\d"), F.regexp_replace(source, mixed, "")).otherwise(source))
 
 
 def clean_mixed_words(text: ColumnLike) -> Column:
@@ -205,12 +207,14 @@ def clean_mixed_words(text: ColumnLike) -> Column:
 
 def remove_media_tags(text: ColumnLike) -> Column:
     """Drop ``[[...]]`` media tags."""
-    return squeeze_blanks(F.regexp_replace(_col(text), r"\[\[.*?\]\]", " "))
+    source = _col(text)
+    return squeeze_blanks(F.when(source.contains("[["), F.regexp_replace(source, r"\[\[.*?\]\]", " ")).otherwise(source))
 
 
 def remove_http_links(text: ColumnLike) -> Column:
     """Drop links up to the next blank, including markup glued to them."""
-    return F.regexp_replace(_col(text), f"https?:{_NON_BLANK}+", "")
+    source = _col(text)
+    return F.when(source.contains("http"), F.regexp_replace(source, f"https?:{_NON_BLANK}+", "")).otherwise(source)
 
 
 def word_punct_tokens(text: ColumnLike) -> Column:

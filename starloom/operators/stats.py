@@ -41,8 +41,8 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Weighted form of a numeric column: one row per distinct value."""
-    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("freq"))
+    """Weighted form of a numeric column: one row per distinct value (nulls included)."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("freq"))
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
@@ -97,7 +97,7 @@ def quantile_bins(df: DataFrame, column: str, probabilities: Sequence[float], na
 
 def describe(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """count, mean, std, min, quartiles and max of a discrete measure, optionally per group."""
-    grouped = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__v")).agg(F.count("*").alias("__f"))
+    grouped = df.groupBy(*keys, F.col(column).alias("__v")).agg(F.count(column).alias("__f"))
     v, f = F.col("__v"), F.col("__f")
     total, weighted = F.sum(f), F.sum(v.cast("double") * f)
     squares = F.sum(v.cast("double") * v * f)
