@@ -28,9 +28,9 @@ def _prepared(spark, folder, features=500):
     """Training and test part with TF-IDF vectors; vocabulary from the training part only."""
     train, test = sampling.train_test_split(_labelled(spark, folder), "doc_id")
     grams = ft.gram_array("text", 1, 2)
-    vocab = ft.vocabulary(train, grams, max_features=features).cache()
-    return (stage_table(tr.training_frame(ft.tfidf_vectors(train, grams, vocab), "star_rating").drop("text"), "train"),
-            stage_table(ft.tfidf_vectors(test, grams, vocab).drop("text"), "test"))
+    vocab, rows = ft.vocabulary(train, grams, max_features=features).cache(), train.count()
+    return (stage_table(tr.training_frame(ft.tfidf_vectors(train, grams, vocab, fitted_rows=rows), "star_rating").drop("text"), "train"),
+            stage_table(ft.tfidf_vectors(test, grams, vocab, fitted_rows=rows).drop("text"), "test"))
 
 
 def _evaluated(spark, folder, names, **options):

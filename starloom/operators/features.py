@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions import text as tx
 from starloom.plans.ranking import number_rows, top_rows
-from starloom.plans.sizing import lookup_join
+from starloom.plans.sizing import lookup_join, materialized
 
 # Fixed value: characters the sequence tokeniser turns into blanks.
 SEQUENCE_FILTERS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
@@ -91,18 +91,29 @@ def count_vectors(df: DataFrame, grams: Column, vocab: DataFrame, output: str =
 
     The vocabulary goes to every task as a model, so its size is limited by ``max_terms``.
     """
-    terms = [r["term"] for r in vocab.orderBy("term_id").limit(max_terms + 1).select("term").collect()]
-    if len(terms) > max_terms:
-        raise ValueError(f"vocabulary exceeds {max_terms} terms; limit max_features or use the long form")
+    terms = [r["term"] for r in _bounded_terms(vocab, max_terms)]
     model = CountVectorizerModel.from_vocabulary(terms, inputCol="__grams", outputCol=output)
     return model.transform(df.withColumn("__grams", grams)).drop("__grams")
 
 
-def tfidf_vectors(df: DataFrame, grams: Column, vocab: DataFrame, output: str = "features") -> DataFrame:
-    """TF-IDF (smoothed idf, unit length) as sparse vectors; one projection, no shuffle."""
-    rows = df.count()
-    idf = [math.log((1 + rows) / (1 + r["df"])) + 1 for r in vocab.orderBy("term_id").select("df").collect()]
-    counted = count_vectors(df, grams, vocab, "__tf")
+def _bounded_terms(vocab: DataFrame, max_terms: int) -> list:
+    """Vocabulary rows in id order; refuses to fetch more than ``max_terms``."""
+    rows = vocab.orderBy("term_id").limit(max_terms + 1).select("term", "df").collect()
+    if len(rows) > max_terms:
+        raise ValueError(f"vocabulary exceeds {max_terms} terms; limit max_features or use the long form")
+    return rows
+
+
+def tfidf_vectors(df: DataFrame, grams: Column, vocab: DataFrame, output: str = "features", max_terms: int = 1_000_000,
+                  fitted_rows: int | None = None) -> DataFrame:
+    """TF-IDF (smoothed idf, unit length) as sparse vectors; one projection, no shuffle.
+
+    ``fitted_rows`` is the number of rows the vocabulary comes from, when that is not ``df``.
+    """
+    rows = df.count() if fitted_rows is None else fitted_rows
+    vocab = materialized(vocab)
+    idf = [math.log((1 + rows) / (1 + r["df"])) + 1 for r in _bounded_terms(vocab, max_terms)]
+    counted = count_vectors(df, grams, vocab, "__tf", max_terms)
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__tf", outputCol="__scaled").transform(counted)
     return Normalizer(p=2.0, inputCol="__scaled", outputCol=output).transform(scaled).drop("__tf", "__scaled")
 

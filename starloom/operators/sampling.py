@@ -11,6 +11,7 @@ from starloom.functions.hashing import key_fraction, key_hash
 from starloom.operators.neighbors import farthest, nearest
 from starloom.plans.ranking import number_rows, rank_within
 from starloom.plans.session import cut_lineage
+from starloom.plans.sizing import lookup_join
 from starloom.sources.tables import sample_rule
 
 
@@ -63,13 +64,13 @@ def class_histograms(before: DataFrame, after: DataFrame, label: str) -> DataFra
 def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Attach balanced class weights n / (classes * class size).
 
-    The class table (one row per class) carries the totals, so the rows are scanned once more
-    and joined without a shuffle of their own.
+    The class table (one row per class) carries the totals; measured small, it is broadcast, so
+    the rows themselves are not shuffled and a dominant class cannot pile up in one task.
     """
     sizes = class_sizes(df, label)
     totals = sizes.agg(F.struct(F.sum("count").alias("n"), F.count("*").alias("k"))).scalar()
     weights = sizes.withColumn("__t", totals).select(label, (F.col("__t.n") / (F.col("__t.k") * F.col("count"))).alias(name))
-    return df.join(weights, label)
+    return lookup_join(df, weights, [label])
 
 
 def over_sample(df: DataFrame, key: str, label: str, seed: int = 1) -> DataFrame:
@@ -102,7 +103,7 @@ def under_sample(df: DataFrame, key: str, label: str, seed: int = 1) -> DataFram
 
 def _generated(df: DataFrame, key: str, label: str, quota: DataFrame, seed: int) -> DataFrame:
     """Spread each class's quota of synthetic rows evenly over its hash-ordered rows."""
-    ranked = rank_within(df, label, [key_hash(key, seed), F.col(key)], "__r", "__n").join(F.broadcast(quota), label)
+    ranked = lookup_join(rank_within(df, label, [key_hash(key, seed), F.col(key)], "__r", "__n"), quota, [label])
     times = F.floor(F.col("__quota") / F.col("__n")) + (F.col("__r") <= F.col("__quota") % F.col("__n")).cast("long")
     return ranked.select(F.col(key).alias("id"), label, times.alias("__times")).where(F.col("__times") > 0)
 
@@ -148,14 +149,14 @@ def adasyn(df: DataFrame, key: str, label: str, vec: str, k: int = 5, seed: int
     sizes = class_sizes(df, label)
     largest = sizes.agg(F.max("count")).scalar()
     quota = sizes.withColumn("__quota", largest - F.col("count")).where(F.col("__quota") > 0).select(label, "__quota")
-    minority = df.join(F.broadcast(quota), label).select(key, label, vec)
+    minority = lookup_join(df, quota, [label]).select(key, label, vec)
     near = nearest(minority, df, key, vec, k, label=label, exclude_self=True).select("id", F.col("label").alias("__other"))
     labelled = near.join(minority.select(F.col(key).alias("id"), label), "id")
-    ratios = labelled.groupBy("id", label).agg(F.avg((F.col("__other") != F.col(label)).cast("double")).alias("__ratio"))
+    ratios = cut_lineage(labelled.groupBy("id", label).agg(F.avg((F.col("__other") != F.col(label)).cast("double")).alias("__ratio")))
     total = ratios.groupBy(label).agg(F.sum("__ratio").alias("__all"))
     times = F.rint(F.col("__ratio") / F.col("__all") * F.col("__quota")).cast("long")
-    requests = ratios.join(F.broadcast(total), label).join(F.broadcast(quota), label).select("id", label, times.alias("__times")).where(
-        F.col("__times") > 0)
+    shares = lookup_join(ratios, total.join(quota, label), [label])
+    requests = shares.select("id", label, times.alias("__times")).where(F.col("__times") > 0)
     return _interpolate(df, key, label, vec, cut_lineage(requests), k, seed)
 
 

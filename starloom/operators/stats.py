@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.plans.ranking import number_rows
+from starloom.plans.sizing import lookup_join
 
 
 def group_share(df: DataFrame, keys: Sequence[str], scale: float = 100.0, count: str = "n", share: str = "percent") -> DataFrame:
@@ -169,7 +170,7 @@ def empirical_cdf(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataF
     if not keys:
         return running.select(column, "n", (F.col("__cum") / histogram.agg(F.sum("n")).scalar()).alias("cdf"))
     groups = running.groupBy(*keys).agg(F.min(F.col("__cum") - F.col("n")).alias("__before"), F.sum("n").alias("__total"))
-    return running.join(groups, list(keys)).select(
+    return lookup_join(running, groups, list(keys)).select(
         *keys, column, "n", ((F.col("__cum") - F.col("__before")) / F.col("__total")).alias("cdf"))
 
 

@@ -64,8 +64,11 @@ def lda_features(df: DataFrame, vectors: str, topics: int, iterations: int = 10,
 
 def train_word2vec(df: DataFrame, words: Column, size: int = 100, window: int = 5, min_count: int = 5, iterations: int = 5,
                    partitions: int | None = None, seed: int = 1) -> DataFrame:
-    """Word vectors (word, vec) trained on token arrays."""
-    parts = partitions or max(1, min(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism))
+    """Word vectors (word, vec) trained on token arrays.
+
+    More training partitions run faster but mix their updates less often.
+    """
+    parts = partitions or min(8, df.sparkSession.sparkContext.defaultParallelism)
     model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=iterations, numPartitions=parts, seed=seed,
                      inputCol="__words", outputCol="__doc").fit(df.select(words.alias("__words")))
     return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vec"))

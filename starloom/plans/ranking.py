@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.plans.session import cut_lineage
+from starloom.plans.sizing import lookup_join
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row offset in the low 33 bits
 
@@ -45,8 +46,8 @@ def rank_within(df: DataFrame, group: str, order: Sequence[Column | str], name:
 
     Rows are numbered globally by (group, order); the rank is the distance to the group's
     first number. A group holding a third of the table therefore spans many range partitions.
-    The per-group table has one row per group and is joined, not collected; Spark decides
-    whether it is small enough to broadcast.
+    The per-group table has one row per group; it is broadcast when measured small and joined
+    with salted keys otherwise, so the hot group does not meet in one task there either.
     """
     numbered = number_rows(df, [F.col(group), *order], name="__global")
     groups = numbered.groupBy(group).agg(F.min("__global").alias("__first"), F.count("*").alias("__members"))
@@ -54,7 +55,7 @@ def rank_within(df: DataFrame, group: str, order: Sequence[Column | str], name:
     extra = [(F.col("__global") - F.col("__first") + 1).alias(name)]
     if size_name:
         extra.append(F.col("__members").alias(size_name))
-    return numbered.join(groups, group).select(*keep, *extra)
+    return lookup_join(numbered, groups, [group]).select(*keep, *extra)
 
 
 def top_rows(df: DataFrame, order: Sequence[Column | str], k: int, name: str = "rank") -> DataFrame:

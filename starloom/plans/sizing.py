@@ -7,10 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.plans.session import cut_lineage
+
 BROADCAST_ROW_LIMIT = 2_000_000
 SALTS = 16
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` itself when cached, else a checkpoint of it, so that measuring and joining compute it once."""
+    return df if df.storageLevel.useMemory or df.storageLevel.useDisk else cut_lineage(df)
+
+
 def fits_broadcast(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> bool:
     """True when ``df`` has at most ``row_limit`` rows; looks at no more than that many."""
     return df.limit(row_limit + 1).count() <= row_limit
@@ -20,13 +27,14 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: s
                 row_limit: int = BROADCAST_ROW_LIMIT, salts: int = SALTS) -> DataFrame:
     """Join a large, possibly skewed ``facts`` side to a ``lookup`` side unique in ``keys``.
 
-    A lookup whose measured row count is within ``row_limit`` is broadcast (no shuffle of the
+    The lookup is computed once (cached or checkpointed) and measured. A lookup whose measured row count is within ``row_limit`` is broadcast (no shuffle of the
     facts). Beyond that both sides are shuffled on (keys, salt): the facts get a random-free
     salt from their own row hash and each lookup row is repeated once per salt, so one key
     holding a third of the facts is spread over ``salts`` tasks.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
+    lookup = materialized(lookup)
     if fits_broadcast(lookup, row_limit):
         return facts.join(F.broadcast(lookup), list(keys), how)
     salted = facts.withColumn("__salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
