@@ -45,7 +45,7 @@ def drop_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     return df.na.drop("any", subset=list(columns) if columns else None)
 
 
-# numpy names of the reference configuration files and the Spark types that hold their range
+# numpy type names used in configurations and the Spark types that hold their range
 _DTYPES = {"int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "uint8": "smallint",
            "uint16": "int", "uint32": "bigint", "float32": "float", "float64": "double"}
 

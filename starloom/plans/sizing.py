@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starloom.plans.session import cut_lineage
 
 BROADCAST_ROW_LIMIT = 2_000_000
+BROADCAST_BYTE_LIMIT = 256 * 1024 * 1024
 SALTS = 16
 
 
@@ -18,19 +22,39 @@ def materialized(df: DataFrame) -> DataFrame:
     return df if df.storageLevel.useMemory or df.storageLevel.useDisk else cut_lineage(df)
 
 
-def fits_broadcast(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when ``df`` has at most ``row_limit`` rows; looks at no more than that many."""
-    return df.limit(row_limit + 1).count() <= row_limit
+def _row_bytes(df: DataFrame) -> Column:
+    """Approximate size of a row, from the lengths of its variable parts."""
+    total = F.lit(16).cast("long")
+    for field in df.schema:
+        value, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = F.octet_length(value)
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            size = F.size(value) * 8
+        elif isinstance(kind, VectorUDT):
+            size = F.size(vector_to_array(value)) * 8
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            size = F.octet_length(F.to_json(value))
+        else:
+            size = F.lit(8)
+        total = total + F.coalesce(size.cast("long"), F.lit(8).cast("long"))
+    return total
+
+
+def fits_broadcast(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT, byte_limit: int = BROADCAST_BYTE_LIMIT) -> bool:
+    """True when ``df`` is within both limits, measured by one distributed aggregate."""
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    return rows <= row_limit and size <= byte_limit
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner",
                 row_limit: int = BROADCAST_ROW_LIMIT, salts: int = SALTS) -> DataFrame:
     """Join a large, possibly skewed ``facts`` side to a ``lookup`` side unique in ``keys``.
 
-    The lookup is computed once (cached or checkpointed) and measured. A lookup whose measured row count is within ``row_limit`` is broadcast (no shuffle of the
-    facts). Beyond that both sides are shuffled on (keys, salt): the facts get a random-free
-    salt from their own row hash and each lookup row is repeated once per salt, so one key
-    holding a third of the facts is spread over ``salts`` tasks.
+    The lookup is computed once (cached or checkpointed) and measured. Within the row and byte
+    limits it is broadcast, without a shuffle of the facts. Beyond that both sides are shuffled
+    on (keys, salt): a fact's salt is a hash of its row, and each lookup row is repeated once
+    per salt, so one key holding a third of the facts is spread over ``salts`` tasks.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
