@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.plans.ranking import number_rows
+from starloom.plans.session import cut_lineage
 
 
 def long_scores(df: DataFrame, truth: str, scores: Sequence[Column]) -> DataFrame:
@@ -61,7 +62,7 @@ def roc_auc(df: DataFrame, truth: str, scores: Sequence[Column]) -> DataFrame:
     positive rates. Its trapezoid area is the mean class area plus, for every vertical jump
     of a class curve, half the jump times the distance to the preceding grid point.
     """
-    points = curve_points(long_scores(df, truth, scores))
+    points = cut_lineage(curve_points(long_scores(df, truth, scores)))
     areas = _areas(points)
     kept = thinned_points(points.where(F.col("curve") != "micro"))
     jumps = kept.groupBy("curve", "fpr").agg((F.max("tpr") - F.min("tpr")).alias("jump"))
@@ -75,4 +76,4 @@ def roc_auc(df: DataFrame, truth: str, scores: Sequence[Column]) -> DataFrame:
 
 def roc_curves(df: DataFrame, truth: str, scores: Sequence[Column]) -> DataFrame:
     """Points (curve, fpr, tpr) of the class and micro curves."""
-    return thinned_points(curve_points(long_scores(df, truth, scores)))
+    return thinned_points(cut_lineage(curve_points(long_scores(df, truth, scores))))

@@ -91,9 +91,10 @@ def quantile_bins(df: DataFrame, column: str, probabilities: Sequence[float], na
     """
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
     edges = value_counts(df, column).agg(F.percentile("value", wanted, F.col("freq"))).scalar()
-    position = sum((F.get(edges, F.lit(i)) < F.col(column)).cast("int") for i in range(len(probabilities)))
-    inside = (position >= 1) & (position < len(probabilities))
-    return df.withColumn(name, F.when(inside, position.cast("long")))
+    position = sum((F.get("__edges", F.lit(i)) < F.col(column)).cast("long") for i in range(len(probabilities)))
+    placed = df.withColumn("__edges", edges).withColumn("__bin", position)
+    inside = (F.col("__bin") >= 1) & (F.col("__bin") < len(probabilities))
+    return placed.withColumn(name, F.when(inside, F.col("__bin"))).drop("__edges", "__bin")
 
 
 def describe(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
