@@ -19,7 +19,7 @@ from starloom.plans.session import fresh_path, stage_table
 
 ORDER = 2
 SHARD_BYTES = 32 << 20
-_CHUNK_TOKENS = 4_000_000
+_CHUNK_TOKENS = 2_000_000
 _LARGE = 255
 _WORD_BITS = np.uint64((1 << 48) - 1)
 _BEGIN, _END = np.uint64(1), np.uint64(2)
