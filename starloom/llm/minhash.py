@@ -22,6 +22,8 @@ ROWS_PER_BAND = 6
 BLOCK_ROWS = 1024
 _SEED = 20_240_607
 _SLICE = 2048
+#: Partners a row offers in the rounds before the one that offers all.
+BEST_PARTNERS = (2, 32)
 
 
 def shingle_set(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -132,22 +134,32 @@ def _confirm(percent: int):
     return run
 
 
-def _across(least: int):
-    """Within units of a bucket, the pairs of different components whose signatures agree often enough."""
+def _across(least: int, most: int | None):
+    """Within units of a bucket, pairs of different components whose signatures agree often enough.
+
+    With ``most`` given a row offers only its ``most`` best partners; ``cut`` tells that it had more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in grouped_rows(batches):
             ids, parts, own, left, right = (table.column(c).to_numpy() for c in ("id", "part", "own_block", "left_block", "right_block"))
             low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(ids), -1)
+            found = []
             for s, e in zip(bounds[:-1], bounds[1:]):
                 same = left[s] == right[s]
                 rows = np.arange(s, e)
                 a, b = (rows, rows) if same else (rows[own[s:e] == left[s]], rows[own[s:e] == right[s]])
                 for x in a:
                     others = b[(parts[b] != parts[x]) & ((b > x) | (not same))]
-                    others = others[(low[others] == low[x]).sum(axis=1) >= least]
+                    agree = (low[others] == low[x]).sum(axis=1)
+                    others, agree = others[agree >= least], agree[agree >= least]
+                    cut = most is not None and len(others) > most
+                    if cut:
+                        others = others[np.argsort(-agree, kind="stable")[:most]]
                     if len(others):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[others])), pa.array(np.maximum(ids[x], ids[others]))], names=["a", "b"])
+                        found.append((np.minimum(ids[x], ids[others]), np.maximum(ids[x], ids[others]), np.full(len(others), cut)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "cut"])
 
     return run
 
@@ -160,9 +172,10 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     ``percent`` * union. Documents with equal sets form a class and only its smallest id goes on. The
     classes' minima are cut into bands; classes that share a band are candidates, checked on their
     minima and then exactly on their full sets. Each bucket is first verified against its smallest
-    id; after the components of these links, pairs of different components that still share a
-    bucket are verified too, in blocks, so a bucket has no cap and a large group of copies costs
-    one link per member. With 36 bands of 6 a pair at exactly 0.8 is missed with a chance of 2e-5.
+    id. Then, in rounds, each row of a bucket offers its best partners from other components, which
+    are verified and merged; the last round offers every pair of different components that is
+    left, in blocks. So a bucket has no cap and no link between components is left out, while a
+    large group of copies costs a few links per member. With 36 bands of 6 a pair at exactly 0.8 is missed with a chance of 2e-5.
 
     Texts without words (null or blank) have an empty set and link with nothing. Rows with a null id
     link with nothing, have a null component and are kept. Rows that share an id are one node. Word
@@ -189,14 +202,18 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     likely = (stars.join(lows.select(F.col("id").alias("a"), F.col("low").alias("low_a")), "a")
               .join(lows.select(F.col("id").alias("b"), F.col("low").alias("low_b")), "b").mapInArrow(_agreeing(least), "a long, b long"))
-    links = stage_table(confirmed(likely).union(copies), "near-links")
-    parts = stage_table(connected_components(links), "near-parts")
-    placed = members.select("key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-    mixed = placed.groupBy("key").agg(F.min("part").alias("__least"), F.max("part").alias("__most")).where("__least <> __most").select("key")
-    left = lookup_join(placed, mixed, ["key"], "left_semi").join(lows, "id")
-    more = stage_table(paired_blocks(left, "id", block_rows).mapInArrow(_across(least), "a long, b long").distinct(), "more-candidates")
-    if not more.isEmpty():
-        parts = connected_components(links.union(confirmed(more)))
+    parts = stage_table(connected_components(confirmed(likely).union(copies)), "near-parts")
+    for most in (*BEST_PARTNERS, None):
+        placed = members.select("key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+        mixed = placed.groupBy("key").agg(F.min("part").alias("__least"), F.max("part").alias("__most")).where("__least <> __most").select("key")
+        left = lookup_join(placed, mixed, ["key"], "left_semi").join(lows, "id")
+        more = stage_table(paired_blocks(left, "id", block_rows).mapInArrow(_across(least, most), "a long, b long, cut boolean"), "more-candidates")
+        whole = not more.agg(F.max("cut")).first()[0]
+        new = stage_table(confirmed(more.select("a", "b").distinct()), "more-links")
+        if not new.isEmpty():
+            parts = stage_table(connected_components(new.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))), "near-parts")
+        if whole:
+            break
     out = described.select("id", "n_shingles").join(parts.withColumnRenamed("node", "id"), "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"),
                       F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
