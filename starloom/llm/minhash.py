@@ -22,8 +22,6 @@ ROWS_PER_BAND = 6
 BLOCK_ROWS = 1024
 _SEED = 20_240_607
 _SLICE = 2048
-#: Partners a row offers in the rounds before the one that offers all.
-BEST_PARTNERS = (2, 32)
 
 
 def shingle_set(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -134,32 +132,70 @@ def _confirm(percent: int):
     return run
 
 
-def _across(least: int, most: int | None):
-    """Within units of a bucket, pairs of different components whose signatures agree often enough.
+def _candidates(table: pa.Table, bounds: np.ndarray, least: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row by row of the units, the rows of other components that may be alike and were not met in an earlier band.
 
-    With ``most`` given a row offers only its ``most`` best partners; ``cut`` tells that it had more.
+    A pair that shares several bands belongs to the unit of the first of them.
     """
+    key, parts, sizes, own, left, right = (table.column(c).to_numpy() for c in ("key", "part", "n_shingles", "own_block", "left_block", "right_block"))
+    low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(key), -1)
+    bands = np.stack(table.column("bands").to_numpy())
+    for s, e in zip(bounds[:-1], bounds[1:]):
+        same = left[s] == right[s]
+        rows = np.arange(s, e)
+        a, b = (rows, rows) if same else (rows[own[s:e] == left[s]], rows[own[s:e] == right[s]])
+        for x in a:
+            others = b[(parts[b] != parts[x]) & ((b > x) | (not same))]
+            others = others[100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])]
+            others = others[(low[others] == low[x]).sum(axis=1) >= least]
+            if len(others):
+                others = others[bands[x][(bands[others] == bands[x]).argmax(axis=1)] == key[s]]
+            if len(others):
+                yield x, others
+
+
+def _active(least: int, percent: int):
+    """(key, id) of the rows that have a candidate in another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in grouped_rows(batches):
-            ids, parts, own, left, right = (table.column(c).to_numpy() for c in ("id", "part", "own_block", "left_block", "right_block"))
-            low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(ids), -1)
-            found = []
-            for s, e in zip(bounds[:-1], bounds[1:]):
-                same = left[s] == right[s]
-                rows = np.arange(s, e)
-                a, b = (rows, rows) if same else (rows[own[s:e] == left[s]], rows[own[s:e] == right[s]])
-                for x in a:
-                    others = b[(parts[b] != parts[x]) & ((b > x) | (not same))]
-                    agree = (low[others] == low[x]).sum(axis=1)
-                    others, agree = others[agree >= least], agree[agree >= least]
-                    cut = most is not None and len(others) > most
-                    if cut:
-                        others = others[np.argsort(-agree, kind="stable")[:most]]
-                    if len(others):
-                        found.append((np.minimum(ids[x], ids[others]), np.maximum(ids[x], ids[others]), np.full(len(others), cut)))
+            found = np.zeros(table.num_rows, bool)
+            for x, others in _candidates(table, bounds, least, percent):
+                found[x] = found[others] = True
+            yield from table.select(["key", "id"]).filter(pa.array(found)).to_batches()
+
+    return run
+
+
+def _across(least: int, percent: int):
+    """Links between components, verified on full sets inside each unit; each merge of two components is given once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in grouped_rows(batches):
+            ids, parts = table.column("id").to_numpy(), table.column("part").to_numpy()
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("shingles")]
+            merged, found = {}, []
+
+            def root(part: int) -> int:
+                while part in merged:
+                    part = merged[part]
+                return part
+
+            for x, others in _candidates(table, bounds, least, percent):
+                others = others[np.array([root(p) != root(parts[x]) for p in parts[others]])]
+                if not len(others):
+                    continue
+                lengths = np.array([len(sets[y]) for y in others])
+                all_of = np.concatenate([sets[y] for y in others])
+                place = np.minimum(np.searchsorted(sets[x], all_of), len(sets[x]) - 1)
+                both = np.add.reduceat((sets[x][place] == all_of).astype(np.int64), np.cumsum(lengths) - lengths)
+                for y in others[100 * both >= percent * (lengths + len(sets[x]) - both)]:
+                    mine, other = root(parts[x]), root(parts[y])
+                    if mine != other:
+                        merged[max(mine, other)] = min(mine, other)
+                        found.append((ids[x], ids[y]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "cut"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
     return run
 
@@ -172,10 +208,9 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     ``percent`` * union. Documents with equal sets form a class and only its smallest id goes on. The
     classes' minima are cut into bands; classes that share a band are candidates, checked on their
     minima and then exactly on their full sets. Each bucket is first verified against its smallest
-    id. Then, in rounds, each row of a bucket offers its best partners from other components, which
-    are verified and merged; the last round offers every pair of different components that is
-    left, in blocks. So a bucket has no cap and no link between components is left out, while a
-    large group of copies costs a few links per member. With 36 bands of 6 a pair at exactly 0.8 is missed with a chance of 2e-5.
+    id. Pairs of different components that still share a bucket are then verified inside blocks of
+    the bucket, each pair in one place, and only what merges components leaves a task. So a bucket
+    has no cap, no link between components is left out and pairs never become rows. With 36 bands of 6 a pair at exactly 0.8 is missed with a chance of 2e-5.
 
     Texts without words (null or blank) have an empty set and link with nothing. Rows with a null id
     link with nothing, have a null component and are kept. Rows that share an id are one node. Word
@@ -190,7 +225,7 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     buckets = reps.select("id", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("key", "first")
     members = stage_table(lookup_join(buckets, shared, ["key"]), "band-members")
-    lows = stage_table(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "low"), "minima-of-members")
+    lows = stage_table(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "n_shingles", "bands", "low"), "minima-of-members")
     sets = stage_table(lookup_join(texts, lows.select("id").distinct(), ["id"], "left_semi").mapInArrow(_sets(shingle_words), "id long, shingles binary"), "shingle-sets")
     least = least_agreement(percent, bands * rows)
 
@@ -203,17 +238,14 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     likely = (stars.join(lows.select(F.col("id").alias("a"), F.col("low").alias("low_a")), "a")
               .join(lows.select(F.col("id").alias("b"), F.col("low").alias("low_b")), "b").mapInArrow(_agreeing(least), "a long, b long"))
     parts = stage_table(connected_components(confirmed(likely).union(copies)), "near-parts")
-    for most in (*BEST_PARTNERS, None):
-        placed = members.select("key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-        mixed = placed.groupBy("key").agg(F.min("part").alias("__least"), F.max("part").alias("__most")).where("__least <> __most").select("key")
-        left = lookup_join(placed, mixed, ["key"], "left_semi").join(lows, "id")
-        more = stage_table(paired_blocks(left, "id", block_rows).mapInArrow(_across(least, most), "a long, b long, cut boolean"), "more-candidates")
-        whole = not more.agg(F.max("cut")).first()[0]
-        new = stage_table(confirmed(more.select("a", "b").distinct()), "more-links")
-        if not new.isEmpty():
-            parts = stage_table(connected_components(new.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))), "near-parts")
-        if whole:
-            break
+    placed = members.select("key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    mixed = placed.groupBy("key").agg(F.min("part").alias("__least"), F.max("part").alias("__most")).where("__least <> __most").select("key")
+    left = lookup_join(placed, mixed, ["key"], "left_semi").join(lows, "id")
+    active = paired_blocks(left, "id", block_rows).mapInArrow(_active(least, percent), "key long, id long").distinct()
+    active = stage_table(active.join(left, ["key", "id"]), "across-candidates")
+    more = stage_table(paired_blocks(active.join(sets, "id"), "id", block_rows).mapInArrow(_across(least, percent), "a long, b long"), "across-links")
+    if not more.isEmpty():
+        parts = connected_components(more.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     out = described.select("id", "n_shingles").join(parts.withColumnRenamed("node", "id"), "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"),
                       F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
