@@ -66,23 +66,26 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T / np.sqrt(np.outer(a.sum(axis=1), b.sum(axis=1)))
 
 
-def fit(rows: np.ndarray, languages: list[str], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> KernelModel:
-    """Kernel ridge regression in the Nyström space of the first texts of each language.
+def unpacked(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, axis=1).astype(np.float32)
+
+
+def fit(packed: np.ndarray, languages: list[str], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> KernelModel:
+    """Kernel ridge regression in the Nyström space of the first texts of each language, from packed presence bits.
 
     The kernel is linear in the spectra, so landmarks, whitening and weights fold into one matrix of
     spectra by languages; scoring a batch is a single product, equal to going by way of the landmarks.
     """
-    names = sorted(set(languages))
-    rows, which = rows.astype(np.float64), np.array(languages)
-    marks = np.concatenate([rows[which == n][:landmarks_per_language] for n in names])
-    values, vectors = np.linalg.eigh(kernel(marks, marks))
-    keep = values > 1e-8 * values.max()
+    names, which = sorted(set(languages)), np.array(languages)
+    marks = unpacked(np.concatenate([packed[which == n][:landmarks_per_language] for n in names]))
+    values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
+    keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    space = kernel(rows, marks) @ whiten
+    space = np.concatenate([kernel(unpacked(packed[s:s + _BATCH]), marks) @ whiten for s in range(0, len(packed), _BATCH)])
     target = np.where(which[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    weights = np.linalg.solve(space.T @ space + ridge * len(rows) * np.eye(space.shape[1]), space.T @ target)
-    forms = (marks / np.sqrt(marks.sum(axis=1, keepdims=True))).T @ (whiten @ weights)
-    return KernelModel(names, forms.astype(np.float32))
+    weights = np.linalg.solve(space.T @ space + ridge * len(packed) * np.eye(space.shape[1]), space.T @ target)
+    scaled = whiten @ weights / np.sqrt(marks.sum(axis=1, keepdims=True))
+    return KernelModel(names, (marks.T @ scaled.astype(np.float32)).astype(np.float32))
 
 
 def _spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +106,8 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, texts_per_
     rows = texts.join(F.broadcast(picked), ["id", "lang"]).select("place", "lang", "text").mapInArrow(_spectra, "place int, lang string, bits binary").where("bits is not null").orderBy("lang", "place").collect()
     if not rows:
         return None
-    bits = np.unpackbits(np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
-    return fit(bits, [r.lang for r in rows])
+    packed = np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1)
+    return fit(packed, [r.lang for r in rows])
 
 
 def predict(model: KernelModel | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
