@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from starloom.plans.session import stage_table
 
 SEQUENCE_TOKENS = 4096
 END_ID = 2
-_CACHED_CHUNKS = 300_000
+_CACHED_CHUNKS = 200_000
 _SETTLED = "\u0250"
 # The words of the vocabulary's own pattern, over characters below _SETTLED.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
@@ -89,15 +88,9 @@ class ChunkEncoder(dict):
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" "))) + self.end
 
 
-@cache
-def _encoder(vocabulary: str | None, end_id: int) -> ChunkEncoder:
-    """One encoder for all tasks of a worker."""
-    return ChunkEncoder(vocabulary, end_id)
-
-
 def _tokenise(vocabulary: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = _encoder(vocabulary, end_id), TaskContext.get().partitionId(), 0
+        encoder, part, before = ChunkEncoder(vocabulary, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = [encoder.encode(t.as_py()) for t in batch.column("text")]
             lengths = np.array([len(x) // len(encoder.end) for x in ids], np.int64)
