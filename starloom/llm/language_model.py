@@ -42,7 +42,7 @@ def _contexts(tokens: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def _entry_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(context ^ mix(word))
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) ^ mix(word))
 
 
 def _grouped(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
