@@ -229,9 +229,9 @@ _TOP_TERMS = """(SELECT word, row_number() OVER (ORDER BY n DESC, word) AS featu
 
 
 @query("e12_contributions", f"""
-    SELECT doc_id, CAST(label AS INTEGER) AS label, CAST(sum(value * ((feature * 31 + label * 17) % 21 - 10)) + label * 100 AS BIGINT) AS final_value
-    FROM (SELECT doc_id, feature, count(*) AS value FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS word FROM documents)
-          JOIN {_TOP_TERMS} USING (word) GROUP BY ALL), range(1, 6) l(label) GROUP BY doc_id, label""")
+    SELECT doc_id, CAST(label AS INTEGER) AS label, CAST(coalesce(sum(value * ((feature * 31 + label * 17) % 21 - 10)), 0) + label * 100 AS BIGINT) AS final_value
+    FROM (SELECT doc_id FROM documents) LEFT JOIN (SELECT doc_id, feature, count(*) AS value FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS word FROM documents)
+          JOIN {_TOP_TERMS} USING (word) GROUP BY ALL) USING (doc_id), range(1, 6) l(label) GROUP BY doc_id, label""")
 def explain(spark, folder):
     docs = texts(spark, folder, "documents", "doc_id")
     vocabulary = top_rows(stats.term_counts(docs, tx.count_tokens("text"), "word", "n"), [F.desc("n"), "word"], 200, "feature")
@@ -241,7 +241,7 @@ def explain(spark, folder):
     coefficients = vocabulary.select("feature", labels).withColumn(
         "coefficient", (F.col("feature") * 31 + F.col("label") * 17) % 21 - 10)
     intercepts = spark.range(1).select(labels).withColumn("intercept", F.col("label") * 100)
-    totals = ev.contribution_totals(ev.contributions(features, coefficients, "doc_id"), intercepts, "doc_id")
+    totals = ev.contribution_totals(ev.contributions(features, coefficients, "doc_id"), intercepts, "doc_id", docs)
     return totals.withColumn("final_value", F.col("final_value").cast("long"))
 
 

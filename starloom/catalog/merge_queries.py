@@ -125,10 +125,10 @@ def split_known(spark, folder):
              list(event_id * 2 ORDER BY event_id) FILTER (event_id % 2 = 0) AS accs
       FROM events GROUP BY event_type, user_id), LATERAL (SELECT unnest(range(1, len(losses) + 1)) AS epoch) e""")
 def align(spark, folder):
-    series = table(spark, folder, "events").groupBy("event_type", "user_id").agg(
-        F.array_sort(F.collect_list("event_id")).alias("loss"),
-        F.array_sort(F.collect_list(F.when(F.col("event_id") % 2 == 0, F.col("event_id") * 2))).alias("acc"))
-    return joins.align_series(series, ["event_type", "user_id"], ["loss", "acc"])
+    events = table(spark, folder, "events").select("event_type", "user_id", "event_id", F.struct("event_type", "user_id").alias("run"))
+    return joins.align_long_series(
+        [(events.withColumnRenamed("event_id", "loss"), "loss"), (events.where("event_id % 2 = 0").withColumn("acc", F.col("event_id") * 2), "acc")],
+        "run").select("run.event_type", "run.user_id", "epoch", "loss", "acc")
 
 
 @query("j10_keep_top_groups", """

@@ -220,9 +220,10 @@ def score(spark, folder):
 @query("r1_score_with_model")
 def score_model(spark, folder):
     train, _ = sampling.train_test_split(_labelled(spark, folder), "doc_id")
-    stages = tr.ngram_tfidf_stages("text", 1000, 1, 1).getStages()
+    rows = train.count()
+    stages = tr.ngram_tfidf_stages("text", rows, 1, 1).getStages()
     frame = tr.training_frame(train, "star_rating")
-    model = Pipeline(stages=[*stages, tr.make_classifier("LRB", rows=1000, max_iter=5)]).fit(frame)
+    model = Pipeline(stages=[*stages, tr.make_classifier("LRB", rows=rows, max_iter=5)]).fit(frame)
     valid, _ = scoring.split_valid(_reviews(spark, folder))
     renamed = valid.withColumnRenamed("review", "text")
     return scoring.score_reviews(renamed, scoring.model_scorer(model), "LRB", "v1.0", text="text", created=F.col("received")).select(

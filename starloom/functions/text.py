@@ -70,19 +70,21 @@ def remove_newlines(text: ColumnLike) -> Column:
 
 
 def _decode_entity(entity: Column) -> Column:
-    name = F.substring(entity, 2, 64)
+    name = F.substring(entity, F.lit(2), F.length(entity))
     body = F.regexp_replace(name, ";$", "")
-    number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 16), 16, 10)).otherwise(F.substring(body, 2, 16))
-    code = number.try_cast("bigint")
+    digits = F.regexp_replace(body, "^#[xX]?0*", "")
+    number = F.when(body.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+    code = F.when(F.length(digits) <= 8, number.try_cast("bigint"))
     valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    named = _lookup({k: v for k, v in html.entities.html5.items() if k.endswith(";")}, name)
+    named = _lookup(dict(html.entities.html5), name)
     return F.when(body.startswith("#"), F.when(valid, char).otherwise(entity)).otherwise(F.coalesce(named, entity))
 
 
 def decode_entities(text: ColumnLike) -> Column:
-    """Decode ``&name;`` and numeric character references; unknown names stay."""
-    pattern = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+    """Decode ``&name;``, numeric references of any length and the older names that need no semicolon; unknown names stay."""
+    open_names = "|".join(sorted((k for k in html.entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+    pattern = f"&(?:#[0-9]+;|#[xX][0-9a-fA-F]+;|[a-zA-Z][a-zA-Z0-9]*;|(?:{open_names}))"
     source = _col(text)
     return F.when(source.rlike(pattern), replace_matches(source, pattern, _decode_entity)).otherwise(source)
 
@@ -178,7 +180,7 @@ def expand_contractions(text: ColumnLike, mapping: dict[str, str] | None = None,
     source = _col(text)
 
     def render(hit: Column) -> Column:
-        return F.concat(F.substring(hit, 1, 1), F.substring(_lookup(table, F.lower(hit)), 2, 64))
+        return F.concat(F.substring(hit, 1, 1), F.regexp_replace(_lookup(table, F.lower(hit)), "(?s)^.", ""))
 
     # every key without an apostrophe must stay in this cheap guard
     plain = [k for k in keys if "'" not in k]

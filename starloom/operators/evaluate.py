@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.plans.sizing import lookup_join
+
 # metric entering the overall score, per class: recall of 1 to 4 stars, precision of 5 stars
 SCORE_TERMS = ((1, "recall"), (2, "recall"), (3, "recall"), (4, "recall"), (5, "precision"))
 # reduced-class runs, in their dense class codes ({1, 5} is coded 1, 2)
@@ -274,16 +276,20 @@ def category_shares(df: DataFrame, category: str, prediction: str) -> DataFrame:
 def contributions(features: DataFrame, coefficients: DataFrame, key: str, feature: str = "feature", value: str = "value") -> DataFrame:
     """Per row, class and non-zero feature: coefficient times feature value.
 
-    ``coefficients`` holds (feature, label, coefficient): vocabulary size times classes.
+    ``coefficients`` holds (feature, label, coefficient); they are folded to one row a feature, so
+    that a frequent feature is spread over salted tasks where they do not fit a broadcast.
     """
-    from starloom.plans.sizing import fits_broadcast
+    folded = coefficients.groupBy(feature).agg(F.collect_list(F.struct("label", "coefficient")).alias("__classes"))
+    joined = lookup_join(features.where(F.col(value) != 0), folded, [feature]).withColumn("__class", F.explode("__classes"))
+    return joined.select(key, feature, F.col("__class.label").alias("label"), (F.col(value) * F.col("__class.coefficient")).alias("contribution"))
 
-    small = F.broadcast(coefficients) if fits_broadcast(coefficients) else coefficients
-    joined = features.where(F.col(value) != 0).join(small, feature)
-    return joined.select(key, feature, "label", (F.col(value) * F.col("coefficient")).alias("contribution"))
 
+def contribution_totals(parts: DataFrame, intercepts: DataFrame, key: str, rows: DataFrame | None = None) -> DataFrame:
+    """Final linear score of every row of ``rows`` (else of ``parts``) and class: intercept plus contributions.
 
-def contribution_totals(parts: DataFrame, intercepts: DataFrame, key: str) -> DataFrame:
-    """Final linear score per row and class (contributions plus intercept)."""
-    return parts.groupBy(key, "label").agg(F.sum("contribution").alias("__sum")).join(F.broadcast(intercepts), "label").select(
-        key, "label", (F.col("__sum") + F.col("intercept")).alias("final_value"))
+    A row without any weighted feature scores the intercepts alone.
+    """
+    classes = intercepts.agg(F.collect_list(F.struct("label", "intercept"))).scalar()
+    sums = parts.groupBy(key, "label").agg(F.sum("contribution").alias("__sum"))
+    every = (parts if rows is None else rows).select(key).distinct().withColumn("__class", F.explode(classes)).select(key, "__class.label", "__class.intercept")
+    return every.join(sums, [key, "label"], "left").select(key, "label", (F.coalesce("__sum", F.lit(0)) + F.col("intercept")).alias("final_value"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions import text as tx
+from starloom.plans.ranking import rank_within
 from starloom.plans.sizing import lookup_join
 
 
@@ -75,9 +76,18 @@ def align_series(df: DataFrame, keys: Sequence[str], series: Sequence[str], posi
     return exploded.select(*keys, (F.col("__p") + 1).cast("long").alias(position), *[F.col(f"__z.{c}").alias(c) for c in series])
 
 
+def align_long_series(series: Sequence[tuple[DataFrame, str]], key: str, position: str = "epoch") -> DataFrame:
+    """Series kept as rows, each ordered by its own values, to one row per key and position; shorter ones give nulls.
+
+    Places are ranks along a global order, so a key with very many values is no array and no single task.
+    """
+    placed = [rank_within(df.select(key, value), key, [F.col(value)], position) for df, value in series]
+    return reduce(lambda a, b: a.join(b, [key, position], "full"), placed)
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key occurs in a computed key set."""
-    return df.join(keys, list(on), "left_semi")
+    return lookup_join(df, keys.select(*on), list(on), "left_semi")
 
 
 def label_names(label: Column, names: Mapping[int, str]) -> Column:

@@ -110,7 +110,7 @@ def _generated(df: DataFrame, key: str, label: str, quota: DataFrame, seed: int)
 
 def _interpolate(df: DataFrame, key: str, label: str, vec: str, requests: DataFrame, k: int, seed: int) -> DataFrame:
     """Synthetic rows between a base row and one of its k nearest rows of the same class."""
-    minority = df.join(requests.select(label).distinct(), label, "left_semi")
+    minority = lookup_join(df, requests.select(label).distinct(), [label], "left_semi")
     asked = df.join(requests.select(F.col("id").alias(key)), key, "left_semi")
     near = nearest(asked, minority, key, vec, k, group=label, exclude_self=True).select("id", "neighbor", "rank")
     counts = near.groupBy("id").agg(F.count("*").alias("__k"))

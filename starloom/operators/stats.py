@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.plans.ranking import number_rows
+from starloom.plans.ranking import number_rows, rank_within
+from starloom.plans.session import cut_lineage
 from starloom.plans.sizing import lookup_join
 
+#: Largest number of rows a group that Spark limits before the shuffle.
+GROUP_LIMIT = 1000
+
 
 def group_share(df: DataFrame, keys: Sequence[str], scale: float = 100.0, count: str = "n", share: str = "percent") -> DataFrame:
     """Rows per group and their share of all rows.
@@ -36,7 +42,14 @@ def group_sizes(df: DataFrame, key: str, name: str = "n") -> DataFrame:
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
-    """First ``k`` rows of every group; Spark limits each group before the shuffle."""
+    """First ``k`` rows of every group.
+
+    Spark limits each group before the shuffle up to its threshold; for larger ``k`` rows are ranked
+    along a global order, so that a group spans many tasks.
+    """
+    if k > GROUP_LIMIT:
+        placed = rank_within(df.withColumn("__group", F.struct(*keys)), "__group", list(order), name)
+        return placed.where(F.col(name) <= k).drop("__group")
     return (df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
             .where(F.col(name) <= k))
 
@@ -102,12 +115,15 @@ def describe(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     grouped = df.groupBy(*keys, F.col(column).alias("__v")).agg(F.count(column).alias("__f"))
     v, f = F.col("__v"), F.col("__f")
     total, weighted = F.sum(f), F.sum(v.cast("double") * f)
-    squares = F.sum(v.cast("double") * v * f)
+    spread = df.groupBy(*keys).agg(F.stddev_samp(column).alias("std"))
     quartile = F.percentile("__v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), f)
     out = grouped.groupBy(*keys).agg(
         total.alias("count"), (weighted / total).alias("mean"),
-        F.sqrt((squares - weighted * weighted / total) / (total - 1)).alias("std"),
         F.min(v).cast("double").alias("min"), quartile.alias("__q"), F.max(v).cast("double").alias("max"))
+    if keys:
+        out = out.join(spread.select(*[F.col(k).alias(f"__{k}") for k in keys], "std"), reduce(and_, [out[k].eqNullSafe(F.col(f"__{k}")) for k in keys]))
+    else:
+        out = out.withColumn("std", spread.scalar())
     return out.select(*keys, "count", "mean", "std", "min", F.col("__q")[0].alias("q25"), F.col("__q")[1].alias("q50"),
                       F.col("__q")[2].alias("q75"), "max")
 
@@ -187,37 +203,38 @@ def sparse_feature_std(cells: DataFrame, feature: str, value: str, rows: Column)
     ``rows`` is the number of rows including all-zero ones (a literal or a scalar subquery).
     """
     x = F.col(value).cast("double")
-    sums = cells.groupBy(feature).agg(F.sum(x).alias("__s"), F.sum(x * x).alias("__q"))
-    return sums.select(feature, F.sqrt((F.col("__q") - F.col("__s") * F.col("__s") / rows) / (rows - 1)).alias("std"))
+    present = cells.groupBy(feature).agg(F.count(x).alias("__n"), F.avg(x).alias("__mean"), F.var_pop(x).alias("__var"))
+    n, mean = F.col("__n"), F.col("__mean")
+    return present.select(feature, F.sqrt((n * F.col("__var") + mean * mean * n * (rows - n) / rows) / (rows - 1)).alias("std"))
 
 
 def extreme_features(stds: DataFrame, feature: str, digits: int = 9) -> DataFrame:
     """Features attaining the smallest or the largest standard deviation (to ``digits`` places)."""
     rounded = stds.select(feature, F.round("std", digits).alias("std"))
-    groups = rounded.groupBy("std").agg(F.collect_list(feature).alias("__f"))
-    ends = groups.agg(F.min_by("__f", "std").alias("lowest"), F.max_by("__f", "std").alias("highest"),
-                      F.min("std").alias("__lo"), F.max("std").alias("__hi"))
-    return ends.select(F.inline(F.array(
-        F.struct(F.lit("min").alias("which"), F.col("__lo").alias("std"), F.array_sort("lowest").alias("features")),
-        F.struct(F.lit("max").alias("which"), F.col("__hi").alias("std"), F.array_sort("highest").alias("features"))))).select(
-            "which", "std", F.explode("features").alias(feature))
+    ends = rounded.withColumns({"__lo": rounded.agg(F.min("std")).scalar(), "__hi": rounded.agg(F.max("std")).scalar()})
+    which = F.array_compact(F.array(F.when(F.col("std") == F.col("__lo"), "min"), F.when(F.col("std") == F.col("__hi"), "max")))
+    return ends.select(F.explode(which).alias("which"), "std", feature)
 
 
 def correlations(df: DataFrame, vector: str, dim: int) -> DataFrame:
     """Pearson correlation of every component pair of an array column, as (a, b, r) rows.
 
     Each task reduces its rows to one matrix of cross products, so the shuffle carries
-    partitions x dim^2 numbers instead of row pairs.
+    partitions x dim^2 numbers instead of row pairs. Values are taken from those of one row, so that
+    large values with a small spread keep their digits; the products are computed once.
     """
+    first = df.select(vector).where(F.col(vector).isNotNull()).first()
+    origin = np.array(first[0], float) if first else np.zeros(dim)
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gram = np.zeros((dim + 1, dim + 1))
         for batch in batches:
-            x = np.column_stack([np.ones(len(batch)), np.stack(batch[vector].to_numpy()).astype(float)])
+            x = np.column_stack([np.ones(len(batch)), np.stack(batch[vector].to_numpy()).astype(float) - origin])
             gram += x.T @ x
         a, b = np.indices(gram.shape)
         yield pd.DataFrame({"a": a.ravel(), "b": b.ravel(), "s": gram.ravel()})
 
-    cross = df.select(vector).mapInPandas(partial, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))
+    cross = cut_lineage(df.select(vector).mapInPandas(partial, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s")))
     n = cross.where((F.col("a") == 0) & (F.col("b") == 0)).select("s").scalar()
     moments = cross.where((F.col("b") == 0) & (F.col("a") > 0)).select("a", F.col("s").alias("sum"))
     squares = cross.where((F.col("a") == F.col("b")) & (F.col("a") > 0)).select("a", F.col("s").alias("sq"))

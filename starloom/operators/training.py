@@ -63,13 +63,13 @@ def lda_features(df: DataFrame, vectors: str, topics: int, iterations: int = 10,
 
 
 def train_word2vec(df: DataFrame, words: Column, size: int = 100, window: int = 5, min_count: int = 5, iterations: int = 5,
-                   partitions: int | None = None, seed: int = 1) -> DataFrame:
+                   partitions: int = 8, seed: int = 1) -> DataFrame:
     """Word vectors (word, vec) trained on token arrays.
 
-    More training partitions run faster but mix their updates less often.
+    More training ``partitions`` run faster but mix their updates less often; the result depends
+    on their number and not on the machine.
     """
-    parts = partitions or min(8, df.sparkSession.sparkContext.defaultParallelism)
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=iterations, numPartitions=parts, seed=seed,
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=iterations, numPartitions=partitions, seed=seed,
                      inputCol="__words", outputCol="__doc").fit(df.select(words.alias("__words")))
     return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vec"))
 
@@ -152,7 +152,7 @@ def make_classifier(name: str, rows: int = 1, classes: int = 5, features: str =
     if name == "RF":
         return RandomForestClassifier(maxDepth=max_depth, seed=seed, **common)
     if name in ("GB", "lGBM", "XGB", "CB"):
-        return OneVsRest(classifier=GBTClassifier(maxIter=max_iter, maxDepth=min(max_depth, 5), seed=seed, featuresCol=features), **common)
+        return OneVsRest(classifier=GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=seed, featuresCol=features), **common)
     if name == "SVC_RBF":
         machine = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(rows, 1)), featuresCol="__rff", weightCol="weight"),
                             labelCol="label0", featuresCol="__rff", weightCol="weight")

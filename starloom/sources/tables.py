@@ -89,7 +89,7 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split(F.trim("value"), r"\s+")
     return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(
         F.get(parts, F.lit(0)).alias("word"),
-        F.transform(F.slice(parts, 2, 1_000_000), lambda x: x.cast("float")).alias("vec"))
+        F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.cast("float")).alias("vec"))
 
 
 def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
