@@ -29,10 +29,13 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType = RAW_REVIEW_S
             .option("escape", "").option("dateFormat", "yyyy-MM-dd").csv(path))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = CLEAN_REVIEW_SCHEMA) -> DataFrame:
-    """Comma-separated records with doubled quotes; fields may hold line breaks."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType = CLEAN_REVIEW_SCHEMA, multi_line: bool = True) -> DataFrame:
+    """Comma-separated records with doubled quotes; fields may hold line breaks.
+
+    A file with line breaks in fields is one task; ``multi_line=False`` splits files that have none.
+    """
     return (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", True).option("dateFormat", "yyyy-MM-dd").csv(path))
+            .option("multiLine", multi_line).option("dateFormat", "yyyy-MM-dd").csv(path))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.ml import Transformer
 from pyspark.ml.functions import vector_to_array
@@ -71,11 +71,12 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def stream_scores(stream: DataFrame, score: Callable[[DataFrame], DataFrame], log_path: str, reject_path: str, checkpoint: str,
-                  rating: str = "product_rating") -> StreamingQuery:
+                  rating: str = "product_rating", trigger: Mapping[str, object] | None = None) -> StreamingQuery:
     """Score a stream of reviews into the log and route invalid ones to the reject table.
 
     Every micro-batch overwrites its own ``batch`` folder, so a batch that is run again after a
-    lost executor or restart leaves the log as if it had run once.
+    lost executor or restart leaves the log as if it had run once. ``trigger`` holds the arguments
+    of the stream's trigger, such as ``{"processingTime": "1 minute"}``; without it all that is there is scored once.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -86,7 +87,7 @@ def stream_scores(stream: DataFrame, score: Callable[[DataFrame], DataFrame], lo
         finally:
             batch.unpersist()
 
-    return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
 def history(spark: SparkSession, log_path: str) -> DataFrame:
