@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from starloom.llm.batches import prepare
 from starloom.llm.decontaminate import decontaminate
 from starloom.llm.language_id import keep_known_languages
 from starloom.llm.line_dedup import dedup_lines
 from starloom.llm.minhash import keep_one_of_each
 from starloom.llm.packing import pack_documents
 from starloom.llm.queries import fold_of, table
-from starloom.plans.session import ship_package, stage_table
+from starloom.plans.session import stage_table
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found."""
-    ship_package(spark)
+    prepare(spark)
     return keep_known_languages(docs, fold_of(5, 0))
 
 
@@ -26,7 +27,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles are alike to 0.8."""
-    ship_package(spark)
+    prepare(spark)
     return keep_one_of_each(docs)
 
 
@@ -37,7 +38,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of fixed sequences."""
-    ship_package(spark)
+    prepare(spark)
     return pack_documents(docs)
 
 

@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starloom.llm.batches import prepare
 from starloom.llm.decontaminate import contaminated_documents
 from starloom.llm.embedding_dedup import near_duplicate_vectors
 from starloom.llm.html_extract import extract_main_text
@@ -18,7 +19,6 @@ from starloom.llm.minhash import near_duplicate_documents
 from starloom.llm.packing import pack_documents
 from starloom.llm.quality import score_quality
 from starloom.llm.warc import round_trip
-from starloom.plans.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         @wraps(fn)
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return fn(spark, folder)
 
         QUERIES[name] = run

@@ -7,7 +7,7 @@ import xxhash
 
 #: Makes A-Z lower case and leaves every other byte as it is.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 200_000
 
 
 class WordHashes(dict):
