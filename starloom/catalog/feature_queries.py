@@ -137,26 +137,22 @@ def one_hot(spark, folder):
     return rows.select("doc_id", "star_rating", F.array_join("hot", ",").alias("hot"), ft.arg_max("hot").alias("decoded"))
 
 
-_SIZES = [10, 50, 100, 500, 1000, 2000, 5000]
+_SIZES = list(range(1000, 10001, 1000))
 
 
 def _missing_sql(low, high):
-    grams = _grams_sql(_TURNS, "turn_id", low, high)
+    grams = _grams_sql("documents", "doc_id", low, high)
     return f"""SELECT '{low}-{high}' AS grams, CAST(k AS BIGINT) AS max_features, count(*) FILTER (r IS NULL OR r > k) AS rows_without_features,
-        round(count(*) FILTER (r IS NULL OR r > k) / count(*), 6) AS share FROM {_TURNS} t LEFT JOIN (
-          SELECT turn_id, min(rank) AS r FROM {grams} g JOIN (SELECT term, row_number() OVER (ORDER BY tf DESC, term) AS rank FROM (
-            SELECT term, count(*) AS tf FROM {grams} GROUP BY term)) USING (term) GROUP BY turn_id) USING (turn_id), (SELECT unnest({_SIZES}) AS k) s
+        round(count(*) FILTER (r IS NULL OR r > k) / count(*), 6) AS share FROM documents t LEFT JOIN (
+          SELECT doc_id, min(rank) AS r FROM {grams} g JOIN (SELECT term, row_number() OVER (ORDER BY tf DESC, term) AS rank FROM (
+            SELECT term, count(*) AS tf FROM {grams} GROUP BY term)) USING (term) GROUP BY doc_id) USING (doc_id), (SELECT unnest({_SIZES}) AS k) s
         GROUP BY k"""
 
 
 @query("f13_missing_by_size", " UNION ALL ".join(_missing_sql(*r) for r in ((1, 1), (2, 2), (3, 3), (1, 3))))
 def missing_by_size(spark, folder):
-    turns = _turns(spark, folder)
-    out = None
-    for low, high in ((1, 1), (2, 2), (3, 3), (1, 3)):
-        part = ft.missing_by_size(turns, "turn_id", ft.gram_array("text", low, high), _SIZES).withColumn("grams", F.lit(f"{low}-{high}"))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("share", F.round("share", 6))
+    grams = {f"{low}-{high}": ft.gram_array("text", low, high) for low, high in ((1, 1), (2, 2), (3, 3), (1, 3))}
+    return ft.missing_by_size(_docs(spark, folder), "doc_id", grams, _SIZES).withColumn("share", F.round("share", 6))
 
 
 @query("f14_top_and_bottom_grams", f"""

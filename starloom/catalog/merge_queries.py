@@ -9,6 +9,7 @@ from starloom.catalog.views import PREDICTIONS_SQL, RATED_DOCUMENTS_SQL, RUNS_SQ
 from starloom.functions import text as tx
 from starloom.operators import joins, stats, windows
 from starloom.plans.ranking import number_rows
+from starloom.plans.session import cut_lineage
 from starloom.plans.sizing import lookup_join
 
 _TOKENS_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
@@ -207,6 +208,10 @@ def beside(spark, folder):
     return windows.beside(ranked("en"), ranked("de"), "rank")
 
 
-@query("w8_preview")
+@query("w8_preview", "SELECT true AS at_most_ten, true AS all_from_the_table, CAST(2 AS BIGINT) AS columns")
 def preview(spark, folder):
-    return windows.preview(table(spark, folder, "documents"), ["doc_id", "lang"], 10, sample=True)
+    docs = table(spark, folder, "documents")
+    shown = cut_lineage(windows.preview(docs, ["doc_id", "lang"], 10, sample=True))
+    known = shown.exceptAll(docs.select("doc_id", "lang")).agg(F.count("*")).scalar()
+    return shown.agg(F.count("*").alias("n")).select((F.col("n") <= 10).alias("at_most_ten"), (known == 0).alias("all_from_the_table"),
+                                                     F.lit(len(shown.columns)).cast("long").alias("columns"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from starloom.catalog.registry import query, table
 from starloom.catalog.views import PREDICTIONS_SQL, RATED_DOCUMENTS_SQL, predictions, rated_documents
 from starloom.operators import neighbors, sampling
+from starloom.plans.session import cut_lineage
+
+PROBES = 24
 
 
 def _hash_sql(key, seed=1):
@@ -147,6 +150,16 @@ def nearest(spark, folder):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query("j9_approximate_neighbors", "SELECT count(*) AS queries, CAST(5 AS BIGINT) AS neighbors_each, true AS recall_reached FROM embeddings")
+def approximate_neighbors(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    exact = neighbors.nearest(vectors, vectors, "vec_id", "embedding", 5, exclude_self=True).select("id", "neighbor")
+    found = cut_lineage(neighbors.nearest(vectors, vectors, "vec_id", "embedding", 5, exclude_self=True, probes=PROBES).select("id", "neighbor"))
+    shared = found.join(exact, ["id", "neighbor"], "left_semi").agg(F.count("*")).scalar()
+    per_query = found.groupBy("id").agg(F.count("*").alias("n")).agg(F.count("*").alias("queries"), F.min("n").alias("neighbors_each"), F.sum("n").alias("all"))
+    return per_query.select("queries", "neighbors_each", (shared / F.col("all") >= 0.9).alias("recall_reached"))
+
+
 @query("j9_radius_neighbors", f"SELECT id, label, count(*) AS n FROM {_PAIRS} WHERE distance <= 1.2 GROUP BY id, label")
 def in_radius(spark, folder):
     vectors = table(spark, folder, "embeddings")

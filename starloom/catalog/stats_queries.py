@@ -8,7 +8,8 @@ from starloom.catalog.registry import query, table, texts
 from starloom.catalog.views import PREDICTIONS_SQL, RATED_DOCUMENTS_SQL, RATING_SQL, RUNS_SQL, predictions, rated_documents, rated_events, runs
 from starloom.functions import text as tx
 from starloom.functions.hashing import key_hash
-from starloom.operators import inference, stats
+from starloom.operators import evaluate, inference, stats
+from starloom.plans.session import cut_lineage
 from starloom.operators import relational as rel
 
 _DECILES = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
@@ -60,9 +61,19 @@ def word_deciles(spark, folder):
     return _r6(stats.exact_quantiles(_words(spark, folder), "words", _DECILES + [0.95, 0.99]), "probability", "quantile")
 
 
-@query("a4_approximate_quantiles")
+@query("a4_approximate_quantiles", """
+    SELECT CAST(p AS DOUBLE) AS probability, count(*) AS n, true AS a_value_of_the_table, true AS rank_within_error
+    FROM lineitem, (SELECT unnest([0.25, 0.5, 0.75]) AS p) GROUP BY p""")
 def approximate(spark, folder):
-    return stats.approximate_quantiles(table(spark, folder, "lineitem"), "l_extendedprice", [0.25, 0.5, 0.75])
+    items = table(spark, folder, "lineitem").select("l_extendedprice")
+    found = cut_lineage(stats.approximate_quantiles(items, "l_extendedprice", [0.25, 0.5, 0.75]))
+    asked = found.agg(F.collect_list(F.struct("probability", "quantile"))).scalar()  # one entry per probability
+    ranked = items.withColumn("q", F.explode(asked)).groupBy("q.probability").agg(
+        F.count("*").alias("n"), F.count_if(F.col("l_extendedprice") < F.col("q.quantile")).alias("below"),
+        F.count_if(F.col("l_extendedprice") <= F.col("q.quantile")).alias("upto"))
+    place, slack = F.col("probability") * F.col("n"), F.col("n") / 10000 + 1
+    return ranked.select("probability", "n", (F.col("upto") > F.col("below")).alias("a_value_of_the_table"),
+                         ((F.col("below") <= place + slack) & (F.col("upto") >= place - slack)).alias("rank_within_error"))
 
 
 @query("a5_cut_bins", """
@@ -211,16 +222,34 @@ def t_test(spark, folder):
         "n_a", "n_b", "t", "df")
 
 
-@query("a18_bootstrap_interval")
-def bootstrap(spark, folder):
-    return inference.bootstrap_interval(predictions(spark, folder), "truth", "prediction", 5)
+_POINTS_SQL = f"""(SELECT c AS label, hits / nullif(CAST(predicted AS DOUBLE), 0) AS precision, hits / nullif(CAST(support AS DOUBLE), 0) AS recall,
+      2 * hits / CAST(support + predicted AS DOUBLE) AS f1 FROM (
+        SELECT c, count(*) FILTER (truth = c AND prediction = c) AS hits, count(*) FILTER (truth = c) AS support, count(*) FILTER (prediction = c) AS predicted
+        FROM ({PREDICTIONS_SQL}), (SELECT unnest([1, 2, 3, 4, 5]) AS c) GROUP BY c))"""
 
 
-@query("a19_permutation_test")
+@query("a18_bootstrap_interval", f"""
+    SELECT CAST(label AS INTEGER) AS label, metric, round(value, 6) AS point, true AS mean_near_point, true AS point_inside, true AS narrow
+    FROM (SELECT label, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall, f1 FROM {_POINTS_SQL}) UNPIVOT (value FOR metric IN (precision, recall, f1))""")
+def bootstrap(spark, folder):
+    rows = predictions(spark, folder)
+    points = evaluate.classification_report(rows, "truth", "prediction").where(F.col("label").rlike("^[0-9]+$")).select(
+        F.col("label").cast("int").alias("label"), "precision", "recall", "f1").unpivot(["label"], ["precision", "recall", "f1"], "metric", "point")
+    found = inference.bootstrap_interval(rows, "truth", "prediction", 5).join(points, ["label", "metric"])
+    return found.select("label", "metric", F.round("point", 6).alias("point"), (F.abs(F.col("mean") - F.col("point")) < 0.005).alias("mean_near_point"),
+                        F.col("point").between(F.col("low"), F.col("high")).alias("point_inside"), (F.col("high") - F.col("low")).between(1e-6, 0.15).alias("narrow"))
+
+
+@query("a19_permutation_test", f"""
+    SELECT round(a - b, 6) AS observed, CAST(10000 AS BIGINT) AS replicates, a - b > 0.1 AS significant FROM (
+      SELECT count(*) FILTER (truth = 2 AND other = 2) / CAST(count(*) FILTER (other = 2) AS DOUBLE) AS a,
+             count(*) FILTER (truth = 2 AND prediction = 2) / CAST(count(*) FILTER (prediction = 2) AS DOUBLE) AS b
+      FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN truth % 5 + 1 ELSE truth END AS other FROM ({PREDICTIONS_SQL})))""")
 def permutation(spark, folder):
     rows = predictions(spark, folder).withColumn(
         "other", F.when(F.col("event_id") % 5 == 0, F.col("truth") % 5 + 1).otherwise(F.col("truth")).cast("int"))
-    return inference.permutation_test(rows, "truth", "other", "prediction", 2, 5)
+    found = inference.permutation_test(rows, "truth", "other", "prediction", 2, 5)
+    return found.select(F.round("observed", 6).alias("observed"), "replicates", (F.col("p_value") < 0.01).alias("significant"))
 
 
 @query("a20_empirical_cdf", """

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from starloom.catalog.registry import query, texts
 from starloom.functions import text as tx
 from starloom.functions.fixed_values import CONTRACTIONS, ENGLISH_STOP_WORDS, review_stop_words
-from starloom.functions.stemming import stem_text
-from starloom.operators.normalizer import TextNormalizer, lemmatize, preprocess_reviews
+from starloom.operators.normalizer import TextNormalizer, lemmatize, preprocess_reviews, stem_documents
 from starloom.operators.stats import top_per_group
 
 # The given texts hold few apostrophes, tags or links, so some queries plant them with a fixed rule.
@@ -182,10 +181,24 @@ def all_stop_words(spark, folder):
     return _digest(texts(spark, folder, "documents", "doc_id"), "doc_id", tx.remove_stop_words(F.lower("text"), ENGLISH_STOP_WORDS))
 
 
-@query("t12_stem")
+# Word and stem pairs of the published algorithm, stemmed together with the corpus.
+_STEM_PAIRS = [("caresses", "caress"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"),
+               ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("relational", "relat"), ("conditional", "condit"), ("digitizer", "digit"),
+               ("vietnamization", "vietnam"), ("feudalism", "feudal"), ("decisiveness", "decis"), ("formalize", "formal"), ("hopefulness", "hope"),
+               ("revival", "reviv"), ("adjustable", "adjust"), ("replacement", "replac"), ("adoption", "adopt"), ("effective", "effect"), ("rate", "rate"), ("controll", "control")]
+
+
+@query("t12_stem", f"""
+    SELECT -1 AS doc_id, CAST({len(_STEM_PAIRS)} AS BIGINT) AS words, '{" ".join(s for _, s in _STEM_PAIRS)}' AS published, true AS shorter UNION ALL
+    SELECT doc_id, len(regexp_extract_all({_specials_sql(_ascii_sql("lower(text)"))}, '\\S+')), NULL, true FROM documents""")
 def stems(spark, folder):
-    stemmed = stem_text(tx.remove_special_chars(tx.remove_accented_chars(F.lower("text"))))
-    return _digest(texts(spark, folder, "documents", "doc_id").select("doc_id", stemmed.alias("stemmed")), "doc_id", F.col("stemmed"))
+    clean = tx.remove_special_chars(tx.remove_accented_chars(F.lower("text")))
+    docs = texts(spark, folder, "documents", "doc_id").select("doc_id", clean.alias("text"))
+    planted = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(" ".join(w for w, _ in _STEM_PAIRS)).alias("text"))
+    stemmed = stem_documents(docs.unionByName(planted).withColumn("clean", F.col("text")), "doc_id", "text")
+    words = F.zip_with(tx.blank_tokens("text"), tx.blank_tokens("clean"), lambda a, b: F.length(a) <= F.length(b) + 1)
+    return stemmed.select("doc_id", F.size(tx.blank_tokens("text")).cast("long").alias("words"), F.when(F.col("doc_id") == -1, F.col("text")).alias("published"),
+                          F.forall(words, lambda ok: F.coalesce(ok, F.lit(False))).alias("shorter"))
 
 
 # Lemma table derived from the corpus: every word ending in "s" maps to the word without it.
@@ -246,6 +259,19 @@ def normalize_documents(spark, folder):
     return clean.select("doc_id", F.md5("text").alias("digest"), F.length("text_orig").cast("long").alias("text_length"))
 
 
+# Lemmas of cleaned words: every word of more than three letters that ends in "s" loses it.
+@query("t17_normalize_with_lemmas", f"""
+    SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(clean, '{_WORD_PUNCT_SQL}'),
+        lambda x: CASE WHEN length(x) > 3 AND x LIKE '%s' THEN left(x, length(x) - 1) ELSE x END), ' ')) AS digest
+    FROM (SELECT doc_id, {_normal_sql("text", review_stop_words())} AS clean FROM documents WHERE lang IS NOT NULL) WHERE length(clean) > 0""")
+def normalize_with_lemmas(spark, folder):
+    docs = texts(spark, folder, "documents", "doc_id").select("doc_id", "lang", "text")
+    words = preprocess_reviews(docs, ["text"]).select(F.explode(F.array_distinct(tx.word_punct_tokens("text"))).alias("form")).distinct()
+    forms = words.where((F.length("form") > 3) & F.col("form").endswith("s")).select("form", F.substring("form", F.lit(1), F.length("form") - 1).alias("lemma"))
+    clean = preprocess_reviews(docs, ["text"], key="doc_id", forms=forms)
+    return clean.select("doc_id", F.md5("text").alias("digest"))
+
+
 @query("t17_normalize_pages", f"""
     SELECT page_id, md5({_normal_sql("html", None)}) AS digest FROM pages""")
 def normalize_pages(spark, folder):

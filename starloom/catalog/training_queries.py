@@ -2,35 +2,80 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from starloom.catalog.feature_queries import _grams_sql
 from starloom.catalog.registry import query, table, texts
-from starloom.catalog.text_queries import _normal_sql
-from starloom.operators import evaluate as ev
+from starloom.catalog.sampling_queries import _fraction_sql
+from starloom.catalog.text_queries import _WORD_PUNCT_SQL, _normal_sql
 from starloom.operators import features as ft
 from starloom.operators import sampling
 from starloom.operators import training as tr
 from starloom.plans.session import fresh_path, stage_table
-from starloom.plans.sweeps import feature_sweep
+from starloom.plans.sweeps import classifier_job, feature_sweep
 from starloom.streaming import scoring
 
 _CLASSES = 4
+_FEATURES = 4000
+
+_LABELLED_SQL = "(SELECT doc_id, text, CAST(quality + 2 * toxic + 1 AS INTEGER) AS star_rating FROM documents JOIN labels USING (doc_id))"
+_TRAIN_SQL = f"(SELECT * FROM {_LABELLED_SQL} WHERE {_fraction_sql('doc_id')} < 0.75)"
+_TEST_SQL = f"(SELECT * FROM {_LABELLED_SQL} WHERE {_fraction_sql('doc_id')} >= 0.75)"
 
 
 def _labelled(spark, folder):
     """Documents with a class from their quality and toxicity labels (1 to 4, unbalanced)."""
-    labels = table(spark, folder, "labels").select("doc_id", (F.col("quality") + 2 * F.col("toxic") + 1).alias("star_rating"))
+    labels = table(spark, folder, "labels").select("doc_id", (F.col("quality") + 2 * F.col("toxic") + 1).cast("int").alias("star_rating"))
     return texts(spark, folder, "documents", "doc_id").select("doc_id", "text").join(labels, "doc_id")
 
 
-def _prepared(spark, folder, features=500):
-    """Training and test part with TF-IDF vectors; vocabulary from the training part only."""
-    train, test = sampling.train_test_split(_labelled(spark, folder), "doc_id")
+def _prepared(spark, folder, features=_FEATURES):
+    """Training and test part with TF-IDF vectors; texts are tokenised once, the vocabulary comes from the training part."""
     grams = ft.gram_array("text", 1, 2)
-    vocab, rows = ft.vocabulary(train, grams, max_features=features).cache(), train.count()
-    return (stage_table(tr.training_frame(ft.tfidf_vectors(train, grams, vocab, fitted_rows=rows), "star_rating").drop("text"), "train"),
-            stage_table(ft.tfidf_vectors(test, grams, vocab, fitted_rows=rows).drop("text"), "test"))
+    tokens = stage_table(_labelled(spark, folder).select("doc_id", "star_rating", grams.alias("grams")), "grams")
+    train, test = sampling.train_test_split(tokens, "doc_id")
+    vocab, rows = stage_table(ft.vocabulary(train, F.col("grams"), max_features=features), "vocabulary"), train.count()
+
+    def vectors(part):
+        return ft.tfidf_vectors(part, "doc_id", F.col("grams"), vocab, fitted_rows=rows).drop("grams")
+
+    return stage_table(tr.training_frame(vectors(train), "star_rating"), "train"), stage_table(vectors(test), "test")
+
+
+def _facts(model, name, train, test, label):
+    """Per class of the test part its rows, and whether the model's output holds together.
+
+    Predictions are classes, the probabilities (where a model gives them) are positive and sum to one, and
+    the model fits its training rows better than the class shares do: by its accuracy against the
+    largest share, or by the mean probability of the true class against the sum of squared shares.
+    """
+    def scored(part, which):
+        out = tr.predict(model, part)
+        chances = vector_to_array("probability") if "probability" in out.columns else F.lit(None).cast("array<double>")
+        return out.select(F.lit(which).alias("part"), F.col(label).alias("class"), "prediction", chances.alias("p"))
+
+    rows = stage_table(scored(train, "train").unionByName(scored(test, "test")), "predictions")
+    seen = rows.where("part = 'train'")
+    shares = seen.groupBy("class").agg(F.count("*").alias("n")).agg(
+        F.struct(F.max("n").alias("most"), (F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), F.lit(2))).alias("squares"))).scalar()
+    fit = seen.agg(F.struct(F.count_if(F.col("class") == F.col("prediction")).alias("hits"), F.avg(F.get("p", F.col("class") - 1)).alias("chance"))).scalar()
+    total = F.aggregate("p", F.lit(0.0), lambda acc, p: acc + p)
+    checks = rows.agg(F.struct(F.bool_and(F.col("prediction").between(1, model_classes(model))).alias("in_range"),
+                               F.bool_and((F.abs(total - 1) < 1e-6) & (F.array_min("p") >= 0)).alias("proper"))).scalar()
+    per_class = rows.where("part = 'test'").groupBy("class").agg(F.count("*").alias("support")).withColumns({"__c": checks, "__s": shares, "__f": fit})
+    learned = (F.col("__f.hits") > F.col("__s.most")) | F.coalesce(F.col("__f.chance") > F.col("__s.squares"), F.lit(False))
+    return per_class.select(F.lit(name).alias("model"), "class", "support", F.col("__c.in_range").alias("in_range"), learned.alias("learned"),
+                            F.col("__c.proper").alias("proper_probabilities"))
+
+
+def model_classes(model) -> int:
+    """Number of classes a fitted model or the last stage of a pipeline knows."""
+    last = model.stages[-1] if hasattr(model, "stages") else model
+    return len(last.models) if hasattr(last, "models") else last.numClasses
 
 
 def _evaluated(spark, folder, names, **options):
@@ -38,151 +83,254 @@ def _evaluated(spark, folder, names, **options):
     rows, out = train.count(), None
     for name in names:
         model = tr.make_classifier(name, rows=rows, classes=_CLASSES, **options).fit(train)
-        report = ev.classification_report(tr.predict(model, test), "star_rating", "prediction").withColumn("model", F.lit(name))
-        out = report if out is None else out.unionByName(report)
+        facts = _facts(model, name, train, test, "star_rating")
+        out = facts if out is None else out.unionByName(facts)
     return out
 
 
-def _vectors(spark, folder):
-    """Embedding rows with the 10 labels as classes 1 to 10."""
-    from pyspark.ml.functions import array_to_vector
-    rows = table(spark, folder, "embeddings").select("vec_id", (F.col("label") + 1).alias("class"),
-                                                     array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    train, test = sampling.train_test_split(rows, "vec_id")
-    return tr.training_frame(train, "class"), test
+def _facts_sql(names, proper="true"):
+    return " UNION ALL ".join(f"""SELECT '{n}' AS model, star_rating AS class, count(*) AS support, true AS in_range, true AS learned,
+        CAST({proper} AS BOOLEAN) AS proper_probabilities FROM {_TEST_SQL} GROUP BY star_rating""" for n in names)
 
 
-def _evaluated_vectors(spark, folder, name, **options):
-    train, test = _vectors(spark, folder)
-    model = tr.make_classifier(name, rows=train.count(), classes=10, **options).fit(train)
-    return ev.classification_report(tr.predict(model, test), "class", "prediction").withColumn("model", F.lit(name))
-
-
-@query("s10_model_roundtrip")
+@query("s10_model_roundtrip", f"SELECT doc_id, star_rating, true AS in_range, true AS same_class, true AS same_probabilities FROM {_TEST_SQL}")
 def model_roundtrip(spark, folder):
-    train, test = _prepared(spark, folder, 200)
+    train, test = _prepared(spark, folder)
     path = fresh_path(spark, "model")
-    Pipeline(stages=[tr.make_classifier("LR", rows=train.count(), max_iter=10)]).fit(train).write().overwrite().save(path)
-    return tr.predict(tr.load_model(path), test).select("doc_id", "star_rating", "prediction")
+    model = Pipeline(stages=[tr.make_classifier("LR", rows=train.count())]).fit(train)
+    model.write().overwrite().save(path)
+    saved, read = (tr.predict(m, test).select("doc_id", "star_rating", "prediction", vector_to_array("probability").alias("p")) for m in (model, tr.load_model(path)))
+    both = saved.join(read.select("doc_id", F.col("prediction").alias("again"), F.col("p").alias("q")), "doc_id")
+    return both.select("doc_id", "star_rating", F.col("prediction").between(1, _CLASSES).alias("in_range"), (F.col("prediction") == F.col("again")).alias("same_class"),
+                       (F.col("p") == F.col("q")).alias("same_probabilities"))
 
 
-@query("f4_ngram_tfidf_model")
+_MODEL_GRAMS = _grams_sql(_LABELLED_SQL, "doc_id", 1, 3)
+
+
+@query("f4_ngram_tfidf_model", f"""
+    WITH g AS (SELECT doc_id, term, len(string_split(term, ' ')) AS n FROM {_MODEL_GRAMS}), t AS (SELECT doc_id FROM {_TRAIN_SQL}),
+      m AS (SELECT count(*) AS m FROM t),
+      v AS (SELECT term, ln((any_value(m) + 1) / CAST(count(DISTINCT doc_id) + 1 AS DOUBLE)) AS idf FROM g JOIN t USING (doc_id), m GROUP BY term
+            HAVING count(DISTINCT doc_id) >= greatest(CAST(floor(0.001 * any_value(m)) AS BIGINT), 1))
+    SELECT doc_id, CAST((SELECT count(*) FROM v) AS INTEGER) AS features, coalesce(round(sum(idf), 3), 0) AS total FROM {_TEST_SQL} d
+    LEFT JOIN (SELECT doc_id, idf FROM g JOIN v USING (term)) USING (doc_id) GROUP BY doc_id""")
 def ngram_tfidf(spark, folder):
     train, test = sampling.train_test_split(_labelled(spark, folder), "doc_id")
     model = tr.ngram_tfidf_stages("text", train.count()).fit(train)
-    from pyspark.ml.functions import vector_to_array
-    size = F.size(vector_to_array("features"))
-    return model.transform(test).select("doc_id", size.alias("features"))
 
+    @F.udf("struct<features int, total double>")
+    def summary(v):
+        return v.size, float(v.values.sum())
+
+    return model.transform(test).select("doc_id", summary("features").alias("s")).select("doc_id", "s.features", F.round("s.total", 3).alias("total"))
 
-@query("f5_lda_topics")
+
+_TOPICS = (5, 10, 20)
+
+
+@query("f5_lda_topics", f"""
+    SELECT CAST(k AS INTEGER) AS n_topics, count(*) AS docs, true AS shares_sum_to_one, true AS all_topics_known, true AS better_than_uniform
+    FROM documents, (SELECT unnest({list(_TOPICS)}) AS k) GROUP BY k""")
 def lda(spark, folder):
     docs = texts(spark, folder, "documents", "doc_id").select("doc_id", "text")
-    vocab = ft.vocabulary(docs, ft.gram_array("text"), min_df=2, max_features=500)
-    counted = ft.count_vectors(docs, ft.gram_array("text"), vocab)
+    vocab = stage_table(ft.vocabulary(docs, ft.gram_array("text"), min_df=2, max_features=_FEATURES), "vocabulary")
+    counted, terms = stage_table(ft.count_vectors(docs, "doc_id", ft.gram_array("text"), vocab).select("doc_id", "features"), "counts"), vocab.count()
     out = None
-    for topics in (5, 10):
-        _, rows = tr.lda_features(counted, "features", topics)
-        part = rows.select("doc_id", F.lit(topics).alias("n_topics"), ft.arg_max("topics").alias("topic"))
+    for topics in _TOPICS:
+        model, rows = tr.lda_features(counted, "features", topics)
+        better = model.logPerplexity(counted) < math.log(terms)
+        total = F.aggregate("topics", F.lit(0.0), lambda acc, p: acc + p)
+        # a text without known terms has no topics: all its shares are zero
+        part = rows.agg(F.count("*").alias("docs"), F.bool_and((F.abs(total - 1) < 1e-6) | (total == 0)).alias("shares_sum_to_one"),
+                        F.bool_and((F.size("topics") == topics) & (F.array_min("topics") >= 0)).alias("all_topics_known")).select(
+            F.lit(topics).alias("n_topics"), "*", F.lit(better).alias("better_than_uniform"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("f6_word2vec")
+def _known_sql(tokens, source="documents", key="doc_id"):
+    """Tokens of each text that occur five times or more in all texts."""
+    return f"""(SELECT {key}, coalesce(k, 0) AS known_words FROM {source} LEFT JOIN (
+        SELECT {key}, count(*) AS k FROM (SELECT {key}, unnest({tokens}) AS w FROM {source}) JOIN (
+          SELECT w FROM (SELECT unnest({tokens}) AS w FROM {source}) GROUP BY w HAVING count(*) >= 5) USING (w) GROUP BY {key}) USING ({key}))"""
+
+
+def _vector_facts(rows, size):
+    """Known words per text, and whether the mean vector is there, whole and not zero."""
+    norm = F.aggregate("mean_vec", F.lit(0.0), lambda acc, x: acc + x * x)
+    return rows.select("doc_id", "known_words", ((F.size("mean_vec") == size) & (norm > 0) & ~F.isnan(norm)).alias("has_vector"))
+
+
+_LOWER_TOKENS = f"regexp_extract_all(lower(text), '{_WORD_PUNCT_SQL}')"
+_SUBWORDS = f"""flatten(list_transform({_LOWER_TOKENS}, lambda w: [w] || flatten(list_transform(range(3, 7), lambda n: list_transform(
+    range(1, greatest(length(w) + 2 - n + 2, 1)), lambda i: substring('<' || w || '>', i, n))))))"""
+
+
+def _vectors_sql(tokens):
+    return f"SELECT doc_id, known_words, CASE WHEN known_words > 1 THEN true END AS has_vector FROM {_known_sql(tokens)}"
+
+
+@query("f6_word2vec", _vectors_sql(_LOWER_TOKENS))
 def word2vec(spark, folder):
-    rows = tr.word2vec_features(texts(spark, folder, "documents", "doc_id").select("doc_id", F.lower("text").alias("text")), "doc_id", "text",
-                                size=50, iterations=1)
-    return rows.select("doc_id", "known_words", F.size("mean_vec").alias("dim"))
+    return _vector_facts(tr.word2vec_features(_lower_docs(spark, folder), "doc_id", "text"), 100)
 
 
-@query("f7_subword_vectors")
+@query("f7_subword_vectors", _vectors_sql(_SUBWORDS))
 def subword_vectors(spark, folder):
-    rows = tr.word2vec_features(texts(spark, folder, "conversations", "conv_id").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.lower("text").alias("text")), "turn_id", "text", subwords=True,
-        size=20, iterations=1)
-    return rows.select("turn_id", "known_words", F.size("mean_vec").alias("dim"))
+    return _vector_facts(tr.word2vec_features(_lower_docs(spark, folder), "doc_id", "text", subwords=True), 100)
 
 
-@query("f12_pca")
+def _lower_docs(spark, folder):
+    return texts(spark, folder, "documents", "doc_id").select("doc_id", F.lower("text").alias("text"))
+
+
+@query("f12_pca", """
+    SELECT CAST(c AS INTEGER) AS component, (SELECT least(count(*), 5000) FROM embeddings) AS n, true AS ordered, true AS uncorrelated, true AS widest
+    FROM (SELECT unnest([1, 2, 3]) AS c)""")
 def pca(spark, folder):
-    return tr.pca_features(table(spark, folder, "embeddings"), "vec_id", "embedding", 3)
+    vectors = table(spark, folder, "embeddings")
+    scores = stage_table(tr.pca_features(vectors, "vec_id", "embedding", 3), "pca")
+    spreads = [F.var_pop(f"pc{i}").alias(f"v{i}") for i in (1, 2, 3)]
+    mixed = [F.abs(F.corr(f"pc{a}", f"pc{b}")) for a, b in ((1, 2), (1, 3), (2, 3))]
+    # no single component of the sampled vectors spreads wider than the first principal one
+    axes = vectors.join(scores.select("vec_id"), "vec_id", "left_semi").select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(
+        F.var_pop(F.col("x").cast("double")).alias("v")).agg(F.max("v")).scalar()
+    row = scores.agg(F.count("*").alias("n"), *spreads, F.greatest(*mixed).alias("mixed")).withColumn("axis", axes)
+    facts = [F.struct(F.lit(i).alias("component"), F.col("n"), (F.col(f"v{i}") <= F.col(f"v{max(i - 1, 1)}")).alias("ordered"),
+                      (F.col("mixed") < 1e-6).alias("uncorrelated"), (F.col("v1") >= F.col("axis")).alias("widest")) for i in (1, 2, 3)]
+    return row.select(F.inline(F.array(*facts)))
+
+
+_SWEPT = ["bow-df2-ngram12", "tfidf-df_none-ngram11", "word2vec-size100", "fasttext-size100"]
+_SWEEP_TOKENS = {"word2vec-size100": f"regexp_extract_all(text, '{_WORD_PUNCT_SQL}')"}
+_SWEEP_TOKENS["fasttext-size100"] = _SUBWORDS.replace("lower(text)", "text")
+
 
+def _swept_sql(name):
+    known = f"JOIN {_known_sql(_SWEEP_TOKENS[name], _LABELLED_SQL)} USING (doc_id) WHERE known_words > 1" if name in _SWEEP_TOKENS else "WHERE text IS NOT NULL"
+    return f"""SELECT '{name}' AS description, 'success' AS status, star_rating, CAST(star_rating >= 3 AS INTEGER) AS helpful_product, count(*) AS n
+        FROM {_LABELLED_SQL} {known} GROUP BY star_rating"""
 
-@query("f18_feature_sweep")
+
+@query("f18_feature_sweep", " UNION ALL ".join(map(_swept_sql, _SWEPT)) + " UNION ALL SELECT 'broken', 'failed', NULL, NULL, NULL")
 def features_by_config(spark, folder):
-    config = [{"description": "bow-df2-ngram12", "fn_name": "generate_bow_file", "min_df": 2, "max_ngram_range": 2, "max_features": 300,
+    config = [{"description": _SWEPT[0], "fn_name": "generate_bow_file", "min_df": 2, "max_ngram_range": 2, "max_features": _FEATURES, "lda_topics": 10,
                "feature_columns": "text"},
-              {"description": "tfidf-df_none-ngram11", "fn_name": "generate_tfidf_file", "max_features": 300, "feature_columns": "text"},
+              {"description": _SWEPT[1], "fn_name": "generate_tfidf_file", "max_features": _FEATURES, "feature_columns": "text"},
+              {"description": _SWEPT[2], "fn_name": "generate_word2vec_file", "feature_size": 100, "feature_columns": "text"},
+              {"description": _SWEPT[3], "fn_name": "generate_fasttext_file", "feature_size": 100, "feature_columns": "text"},
               {"description": "broken", "fn_name": "generate_nothing", "feature_columns": "text"}]
     done = feature_sweep(_labelled(spark, folder), config, "doc_id", "star_rating", fresh_path(spark, "sweep"))
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("star_rating", "int"), ("helpful_product", "int"), ("n", "long"))]
     out = None
     for row in done:
         part = (spark.read.parquet(row["outfile"]).groupBy("star_rating", "helpful_product").agg(F.count("*").alias("n")) if row["status"] == "success"
-                else spark.range(0).select(F.lit(0).alias("star_rating"), F.lit(0).alias("helpful_product"), F.col("id").alias("n")))
+                else spark.range(1).select(*nothing))
         part = part.withColumns({"description": F.lit(row["description"]), "status": F.lit(row["status"])})
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("l1_logistic_regression")
+@query("l1_logistic_regression", _facts_sql(["LR", "LRB"]))
 def logistic(spark, folder):
-    return _evaluated(spark, folder, ["LR", "LRB"], max_iter=20)
+    return _evaluated(spark, folder, ["LR", "LRB"])
 
 
-@query("l2_decision_tree")
+@query("l2_decision_tree", _facts_sql(["DT", "DTB"]))
 def trees(spark, folder):
-    return _evaluated(spark, folder, ["DT", "DTB"], max_depth=5)
+    return _evaluated(spark, folder, ["DT", "DTB"], max_depth=30)
 
 
-@query("l3_random_forest")
+@query("l3_random_forest", _facts_sql(["RF"]))
 def forest(spark, folder):
-    return _evaluated(spark, folder, ["RF"], max_depth=5)
+    return _evaluated(spark, folder, ["RF"], max_depth=30)
 
 
-@query("l4_boosted_trees")
+@query("l4_boosted_trees", _facts_sql(["GB"], "NULL"))
 def boosted(spark, folder):
-    return _evaluated(spark, folder, ["GB"], max_iter=3, max_depth=3)
+    return _evaluated(spark, folder, ["GB"], max_depth=3)
 
 
-@query("l5_rbf_machine")
+@query("l5_rbf_machine", f"""
+    SELECT 'SVC_RBF' AS model, label + 1 AS class, count(*) AS support, true AS in_range, true AS learned, CAST(NULL AS BOOLEAN) AS proper_probabilities
+    FROM embeddings WHERE {_fraction_sql('vec_id')} >= 0.75 GROUP BY label""")
 def rbf(spark, folder):
-    return _evaluated_vectors(spark, folder, "SVC_RBF", max_iter=5, rff_size=64)
+    rows = table(spark, folder, "embeddings").select("vec_id", (F.col("label") + 1).alias("class"), F.col("embedding").cast("array<double>").alias("v"))
+    # width of the kernel: one over components times the variance of all values
+    width = rows.select(F.explode("v").alias("x"), F.size("v").alias("n")).agg(1 / (F.max("n") * F.var_pop("x"))).first()[0]
+    train, test = sampling.train_test_split(rows.select("vec_id", "class", array_to_vector("v").alias("features")), "vec_id")
+    train = stage_table(tr.training_frame(train, "class"), "train")
+    model = tr.make_classifier("SVC_RBF", rows=train.count(), classes=10, rff_size=1024, gamma=width).fit(train)
+    return _facts(model, "SVC_RBF", train, test, "class")
 
 
-@query("l8_fully_connected")
+@query("l8_fully_connected", _facts_sql(["DNN"]))
 def fully_connected(spark, folder):
-    return _evaluated_vectors(spark, folder, "DNN", max_iter=20, layers=[64, 32, 32, 10])
+    train, test = _prepared(spark, folder)
+    model = tr.make_classifier("DNN", rows=train.count(), layers=[train.first()["features"].size, 128, 128, _CLASSES]).fit(train)
+    return _facts(model, "DNN", train, test, "star_rating")
 
 
-@query("l9_parameter_search")
-def parameter_search(spark, folder):
-    train, _ = _prepared(spark, folder, 200)
-    estimator = tr.make_classifier("LRB", rows=train.count(), max_iter=5)
-    _, scores = tr.search(spark, estimator, train, "doc_id", {"regParam": [0.001, 0.01, 0.1]}, _CLASSES, folds=3, n_iter=2)
-    return scores
+_PENALTIES = (0.0001, 0.001, 0.01, 0.1)
 
 
-@query("l10_run_job")
+@query("l9_parameter_search", " UNION ALL ".join(
+    f"SELECT CAST({i} AS INTEGER) AS candidate, '{{\"regParam\": {p}}}' AS params, true AS in_range, true AS best_has_largest, CAST(1 AS BIGINT) AS n_best" for i, p in enumerate(_PENALTIES)))
+def parameter_search(spark, folder):
+    train, _ = _prepared(spark, folder)
+    estimator = tr.make_classifier("LRB", rows=train.count())
+    _, scores = tr.search(spark, estimator, train, "doc_id", {"regParam": list(_PENALTIES)}, _CLASSES)
+    top, n_best = scores.agg(F.max("score")).scalar(), scores.agg(F.count_if("best")).scalar()
+    return scores.withColumns({"__top": top, "n_best": n_best}).select(
+        "candidate", "params", F.col("score").between(0, 1).alias("in_range"), (~F.col("best") | (F.col("score") == F.col("__top"))).alias("best_has_largest"), "n_best")
+
+
+@query("l10_run_job", f"""
+    SELECT 'LRB' AS model_name, 'success' AS status, (SELECT count(*) FROM {_TRAIN_SQL}) AS train_examples, (SELECT count(*) FROM {_TEST_SQL}) AS test_examples,
+      (SELECT {" || ',' || ".join(f"count(*) FILTER (star_rating = {c})" for c in range(1, _CLASSES + 1))} FROM {_TEST_SQL}) AS matrix_supports,
+      true AS accuracy_of_matrix, true AS score_in_range""")
 def run(spark, folder):
-    train, test = _prepared(spark, folder, 200)
-    report, _ = tr.run_job(spark, "LRB", "text-tfidf", tr.make_classifier("LRB", rows=train.count(), max_iter=5), train, test, "doc_id",
+    train, test = _prepared(spark, folder)
+    report, _ = tr.run_job(spark, "LRB", "text-tfidf", tr.make_classifier("LRB", rows=train.count()), train, test, "doc_id",
                            "star_rating", _CLASSES)
-    return report.select("model_name", "status", "train_examples", "test_examples", "accuracy", "eval_metric", "confusion_matrix")
+    matrix = F.from_json("confusion_matrix", "array<array<bigint>>")
+    sums = F.transform(matrix, lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda acc, n: acc + n))
+    hits = F.aggregate(F.transform(matrix, lambda r, i: F.get(r, i)), F.lit(0).cast("long"), lambda acc, n: acc + n)
+    return report.select("model_name", "status", "train_examples", "test_examples", F.array_join(sums, ",").alias("matrix_supports"),
+                         (F.abs(hits / F.col("test_examples") - F.col("accuracy")) < 1e-9).alias("accuracy_of_matrix"), F.col("eval_metric").between(0, 1).alias("score_in_range"))
 
 
-@query("l11_classifier_sweep")
-def classifier_sweep(spark, folder):
-    train, test = _prepared(spark, folder, 200)
-    rows, path = train.count(), fresh_path(spark, "report")
+_JOBS = [("LRB", None), ("KNN", "smote"), ("DT", "random_under_sampling"), ("RN", "nearmiss2"), ("unknown", None)]
+_AFTER = {None: "n", "smote": "CASE WHEN n > 1 THEN max(n) OVER () ELSE n END", "random_under_sampling": "min(n) OVER ()", "nearmiss2": "min(n) OVER ()"}
 
-    def job(settings):
-        estimator = tr.make_classifier(settings["model_name"], rows=rows, max_iter=5, max_depth=3)
-        return tr.run_job(spark, settings["model_name"], f"sweep-{settings['model_name']}", estimator, train, test, "doc_id", "star_rating", _CLASSES)[0]
 
-    done = tr.sweep(spark, [{"model_name": n} for n in ("LRB", "DT", "unknown")], job, path)
-    written = spark.read.parquet(path).select("model_name", "accuracy")
-    status = spark.createDataFrame([(d["model_name"], d["status"]) for d in done], "model_name string, status string")
-    return status.join(written, "model_name", "left")
+def _job_sql(name, method):
+    done = f"""'{name}' AS model_name, {f"'{method}'" if method else "CAST(NULL AS VARCHAR)"} AS sampling"""
+    if name == "unknown":
+        return f"SELECT {done}, 'failed' AS status, CAST(NULL AS BIGINT) AS test_examples, NULL AS stage, CAST(NULL AS INTEGER) AS star_rating, CAST(NULL AS BIGINT) AS count"
+    sizes = f"(SELECT star_rating, count(*) AS n FROM {_TRAIN_SQL} GROUP BY star_rating)"
+    return " UNION ALL ".join(f"""SELECT {done}, 'success' AS status, (SELECT count(*) FROM {_TEST_SQL}) AS test_examples, '{stage}' AS stage, star_rating, {n} AS count
+        FROM {sizes}""" for stage, n in (("before", "n"), ("after", _AFTER[method])))
+
+
+@query("l11_classifier_sweep", " UNION ALL ".join(_job_sql(*j) for j in _JOBS))
+def classifier_sweep(spark, folder):
+    labelled, grams = _labelled(spark, folder), ft.gram_array("text", 1, 2)
+    vocab = stage_table(ft.vocabulary(labelled, grams, max_features=_FEATURES), "vocabulary")
+    rows = stage_table(ft.tfidf_vectors(labelled, "doc_id", grams, vocab), "features")
+    folder_of_models, report = fresh_path(spark, "models"), fresh_path(spark, "report")
+    config = [{"model_name": n, "sampling": m, "class_column": "star_rating", "drop_columns": "text", "dtype": "float32", "max_depth": 30, "radius": 1.2} for n, m in _JOBS]
+    done = tr.sweep(spark, config, lambda settings: classifier_job(spark, rows, settings, "doc_id", _CLASSES, folder_of_models), report)
+    runs, out = {r["description"]: r["test_examples"] for r in spark.read.parquet(report).select("description", "test_examples").collect()}, None  # one row per job
+    for d in done:
+        name = f"{d['model_name']}-{d['sampling'] or 'sampling_none'}"
+        part = (spark.read.parquet(f"{folder_of_models}/{name}-histogram") if d["status"] == "success"
+                else spark.range(1).select(F.lit(None).cast("int").alias("star_rating"), F.lit(None).cast("long").alias("count"), F.lit(None).cast("string").alias("stage")))
+        part = part.select(F.lit(d["model_name"]).alias("model_name"), F.lit(d["sampling"]).cast("string").alias("sampling"), F.lit(d["status"]).alias("status"),
+                           F.lit(runs.get(name)).cast("long").alias("test_examples"), "stage", "star_rating", "count")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _arithmetic_scorer(df):
@@ -217,17 +365,20 @@ def score(spark, folder):
         "id", F.md5("input_raw").alias("raw"), F.md5("input_preprocessed").alias("preprocessed"), "class_expected", "class_predicted", "status")
 
 
-@query("r1_score_with_model")
+@query("r1_score_with_model", f"SELECT id, rating AS class_expected, true AS in_range, true AS sums_to_one, true AS names_the_largest FROM {_SCORED_SQL}")
 def score_model(spark, folder):
     train, _ = sampling.train_test_split(_labelled(spark, folder), "doc_id")
     rows = train.count()
-    stages = tr.ngram_tfidf_stages("text", rows, 1, 1).getStages()
+    stages = tr.ngram_tfidf_stages("text", rows).getStages()
     frame = tr.training_frame(train, "star_rating")
-    model = Pipeline(stages=[*stages, tr.make_classifier("LRB", rows=rows, max_iter=5)]).fit(frame)
+    model = Pipeline(stages=[*stages, tr.make_classifier("LRB", rows=rows)]).fit(frame)
     valid, _ = scoring.split_valid(_reviews(spark, folder))
     renamed = valid.withColumnRenamed("review", "text")
-    return scoring.score_reviews(renamed, scoring.model_scorer(model), "LRB", "v1.0", text="text", created=F.col("received")).select(
-        "id", "class_expected", "class_predicted", "class_predicted_raw")
+    scored = scoring.score_reviews(renamed, scoring.model_scorer(model), "LRB", "v1.0", text="text", created=F.col("received"))
+    chances = F.transform(F.map_values(F.from_json("class_predicted_raw", "map<string,string>")), lambda p: p.cast("double"))
+    named = F.from_json("class_predicted_raw", "map<string,string>")[F.col("class_predicted").cast("string")].cast("double")
+    return scored.select("id", "class_expected", F.col("class_predicted").between(1, _CLASSES).alias("in_range"),
+                         (F.abs(F.aggregate(chances, F.lit(0.0), lambda acc, p: acc + p) - 1) < 1e-6).alias("sums_to_one"), (named == F.array_max(chances)).alias("names_the_largest"))
 
 
 @query("r2_stream_log", f"""

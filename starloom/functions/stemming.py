@@ -1,7 +1,7 @@
-"""Porter stemming (Porter 1980, with the usual NLTK extensions) as a cached Arrow UDF.
+"""Porter stemming (Porter 1980, with the usual NLTK extensions).
 
-Each Python worker stems a distinct word once and remembers it, so texts need neither an
-explode nor a shuffle.
+``stem_text`` stems inside a text, for streams and short texts: each Python worker remembers the
+words it has met. Corpora are stemmed by their distinct words (``stem_words``), which are far fewer.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Irregular forms.
@@ -141,3 +141,13 @@ def stem_text(text: Column | str) -> Column:
         return values.map(lambda v: None if v is None else " ".join(stem_word(w) for w in v.split()))
 
     return stems(F.col(text) if isinstance(text, str) else text)
+
+
+def stem_words(words: DataFrame, word: str = "form", stem: str = "lemma") -> DataFrame:
+    """(word, stem) of a table of distinct words."""
+
+    @F.pandas_udf("string")
+    def stems(values: pd.Series) -> pd.Series:
+        return values.map(stem_word, na_action="ignore")
+
+    return words.select(word, stems(F.col(word)).alias(stem))

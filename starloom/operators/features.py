@@ -7,22 +7,26 @@ same numbers as one sparse vector column per row without any shuffle.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions import text as tx
+from starloom.operators.stats import top_per_group
 from starloom.plans.ranking import number_rows, top_rows
+from starloom.plans.session import cut_lineage
 from starloom.plans.sizing import lookup_join, materialized
 
 # Fixed value: characters the sequence tokeniser turns into blanks.
 SEQUENCE_FILTERS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
 
+MODEL_TERMS = 1_000_000
+
 
 def gram_array(text: Column | str, low: int = 1, high: int = 1) -> Column:
     """Bag-of-words tokens of a text as n-grams."""
@@ -75,9 +79,12 @@ def smooth_idf(vocab: DataFrame, rows: Column) -> DataFrame:
     return vocab.withColumn("idf", F.log((F.lit(1.0) + rows) / (F.lit(1.0) + F.col("df"))) + 1.0)
 
 
-def tfidf(df: DataFrame, key: str, grams: Column, vocab: DataFrame, digits: int | None = 2) -> DataFrame:
-    """TF-IDF with smoothed idf and unit row length, rounded like the stored feature files."""
-    rows = df.agg(F.count("*")).scalar()
+def tfidf(df: DataFrame, key: str, grams: Column, vocab: DataFrame, digits: int | None = 2, rows: Column | None = None) -> DataFrame:
+    """TF-IDF with smoothed idf and unit row length, rounded like the stored feature files.
+
+    ``rows`` is the number of rows behind the vocabulary's document frequencies (those of ``df`` by default).
+    """
+    rows = df.agg(F.count("*")).scalar() if rows is None else rows
     weighted = smooth_idf(vocab, rows).select("term", "term_id", "idf")
     terms = df.select(key, F.explode(grams).alias("term"))
     cells = lookup_join(terms, weighted, ["term"]).groupBy(key, "term_id").agg((F.count("*") * F.first("idf")).alias("raw"))
@@ -86,34 +93,48 @@ def tfidf(df: DataFrame, key: str, grams: Column, vocab: DataFrame, digits: int
     return cells.select(key, "term_id", (F.round(value, digits) if digits is not None else value).alias("tfidf"))
 
 
-def count_vectors(df: DataFrame, grams: Column, vocab: DataFrame, output: str = "features", max_terms: int = 1_000_000) -> DataFrame:
-    """Bag-of-words as sparse vectors; one projection, no shuffle.
+def count_vectors(df: DataFrame, key: str, grams: Column, vocab: DataFrame, output: str = "features", max_terms: int = MODEL_TERMS) -> DataFrame:
+    """Bag-of-words as sparse vectors.
 
-    The vocabulary goes to every task as a model, so its size is limited by ``max_terms``.
+    A vocabulary of at most ``max_terms`` goes to every task as a model: one projection, no shuffle.
+    A larger one stays distributed: the long form is grouped by ``key`` (unique, not null).
     """
-    terms = [r["term"] for r in _bounded_terms(vocab, max_terms)]
-    model = CountVectorizerModel.from_vocabulary(terms, inputCol="__grams", outputCol=output)
+    vocab = materialized(vocab)
+    size = vocab.count()
+    if size > max_terms:
+        return _gathered(df, key, bag_of_words(df, key, grams, vocab), "tf", size, output)
+    model = CountVectorizerModel.from_vocabulary([r["term"] for r in _ordered(vocab)], inputCol="__grams", outputCol=output)
     return model.transform(df.withColumn("__grams", grams)).drop("__grams")
 
 
-def _bounded_terms(vocab: DataFrame, max_terms: int) -> list:
-    """Vocabulary rows in id order; refuses to fetch more than ``max_terms``."""
-    rows = vocab.orderBy("term_id").limit(max_terms + 1).select("term", "df").collect()
-    if len(rows) > max_terms:
-        raise ValueError(f"vocabulary exceeds {max_terms} terms; limit max_features or use the long form")
-    return rows
+def _ordered(vocab: DataFrame) -> list:
+    """Rows in id order of a vocabulary whose size has been checked."""
+    return vocab.orderBy("term_id").select("term", "df").collect()
+
+
+def _gathered(df: DataFrame, key: str, cells: DataFrame, value: str, size: int, output: str) -> DataFrame:
+    """``df`` with one sparse vector per row from its (key, term_id, value) cells."""
+    @F.udf(VectorUDT())
+    def sparse(cells):
+        return Vectors.sparse(size, [(c["term_id"], c["v"]) for c in cells or []])
 
+    rows = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_id", F.col(value).cast("double").alias("v")))).alias("__cells"))
+    return df.join(rows, key, "left").withColumn(output, sparse("__cells")).drop("__cells")
 
-def tfidf_vectors(df: DataFrame, grams: Column, vocab: DataFrame, output: str = "features", max_terms: int = 1_000_000,
+
+def tfidf_vectors(df: DataFrame, key: str, grams: Column, vocab: DataFrame, output: str = "features", max_terms: int = MODEL_TERMS,
                   fitted_rows: int | None = None) -> DataFrame:
-    """TF-IDF (smoothed idf, unit length) as sparse vectors; one projection, no shuffle.
+    """TF-IDF (smoothed idf, unit length) as sparse vectors, planned like ``count_vectors``.
 
     ``fitted_rows`` is the number of rows the vocabulary comes from, when that is not ``df``.
     """
     rows = df.count() if fitted_rows is None else fitted_rows
     vocab = materialized(vocab)
-    idf = [math.log((1 + rows) / (1 + r["df"])) + 1 for r in _bounded_terms(vocab, max_terms)]
-    counted = count_vectors(df, grams, vocab, "__tf", max_terms)
+    size = vocab.count()
+    if size > max_terms:
+        return _gathered(df, key, tfidf(df, key, grams, vocab, None, F.lit(rows)), "tfidf", size, output)
+    idf = [math.log((1 + rows) / (1 + r["df"])) + 1 for r in _ordered(vocab)]
+    counted = count_vectors(df, key, grams, vocab, "__tf", max_terms)
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__tf", outputCol="__scaled").transform(counted)
     return Normalizer(p=2.0, inputCol="__scaled", outputCol=output).transform(scaled).drop("__tf", "__scaled")
 
@@ -133,18 +154,26 @@ def best_rank(df: DataFrame, key: str, grams: Column, limit: int) -> DataFrame:
     return df.join(found, key, "left")
 
 
-def missing_by_size(df: DataFrame, key: str, grams: Column, sizes: Sequence[int]) -> DataFrame:
-    """Rows without any feature for every vocabulary size, from one ranking of the terms."""
-    ranked = best_rank(df.select(key, *_inputs(df, key)), key, grams, max(sizes)).select(
-        F.coalesce("best_rank", F.lit(max(sizes) + 1)).alias("r"))
-    counts = ranked.agg(F.count("*").alias("total"), *[F.count_if(F.col("r") > s).alias(f"m{s}") for s in sizes])
-    rows = F.array(*[F.struct(F.lit(s).cast("long").alias("max_features"), F.col(f"m{s}").alias("rows_without_features"),
-                              (F.col(f"m{s}") / F.col("total")).alias("share")) for s in sizes])
-    return counts.select(F.inline(rows))
-
+def missing_by_size(df: DataFrame, key: str, grams: Mapping[str, Column], sizes: Sequence[int]) -> DataFrame:
+    """Rows without any feature for every vocabulary size and every kind of n-gram.
 
-def _inputs(df: DataFrame, key: str) -> list[str]:
-    return [c for c in df.columns if c != key]
+    Texts are tokenised once into (key, kind, term, tf) cells; each kind's terms are ranked and each
+    row's best rank answers all sizes.
+    """
+    def named(kind: str, terms: Column) -> Column:
+        return F.transform(terms, lambda t: F.struct(F.lit(kind).alias("grams"), t.alias("term")))
+
+    tagged = F.concat(*[named(kind, terms) for kind, terms in grams.items()])
+    cells = cut_lineage(df.select(key, F.inline(tagged)).groupBy(key, "grams", "term").agg(F.count("*").alias("tf")))
+    terms = cells.groupBy("grams", "term").agg(F.sum("tf").alias("tf"))
+    ranks = top_per_group(terms, ["grams"], [F.desc("tf"), F.asc("term")], max(sizes)).select("grams", "term", "rank")
+    best = lookup_join(cells.select(key, "grams", "term"), ranks, ["grams", "term"]).groupBy(key, "grams").agg(F.min("rank").alias("__r"))
+    total = df.agg(F.count("*")).scalar()
+    kinds = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in grams])).alias("grams"))  # one row per kind
+    found = best.groupBy("grams").agg(*[F.count_if(F.col("__r") <= s).alias(f"m{s}") for s in sizes])
+    missing = [(F.lit(s).cast("long").alias("max_features"), (F.col("__total") - F.coalesce(f"m{s}", F.lit(0))).alias("rows_without_features")) for s in sizes]
+    rows = F.array(*[F.struct(size, count, (count / F.col("__total")).alias("share")) for size, count in missing])
+    return kinds.join(found, "grams", "left").withColumn("__total", total).select("grams", F.inline(rows))
 
 
 def gram_lengths(terms: DataFrame) -> DataFrame:
@@ -176,8 +205,9 @@ def sequence_index(df: DataFrame, key: str, text: str) -> DataFrame:
     return unknown.unionByName(index)
 
 
-def pad(sequence: Column, length: int, padding: str = "pre", truncating: str = "pre") -> Column:
+def pad(sequence: Column | str, length: int, padding: str = "pre", truncating: str = "pre") -> Column:
     """Fixed-length id sequence; cut and filled with zeros at the front ('pre') or back ('post')."""
+    sequence = F.col(sequence) if isinstance(sequence, str) else sequence
     size = F.size(sequence)
     start = F.greatest(size - F.lit(length) + 1, F.lit(1)) if truncating == "pre" else F.lit(1)
     cut = F.slice(sequence, start, F.lit(length))
@@ -187,15 +217,20 @@ def pad(sequence: Column, length: int, padding: str = "pre", truncating: str = "
 
 def encode_sequences(df: DataFrame, key: str, text: str, index: DataFrame, length: int, mode: str = "pre",
                      num_words: int | None = None) -> DataFrame:
-    """Texts as padded id sequences; unknown words become 1. Training pads 'pre', serving 'post'."""
-    words = df.select(key, F.posexplode(sequence_tokens(text)).alias("__p", "word"))
+    """Texts as padded id sequences; unknown words become 1. Training pads 'pre', serving 'post'.
+
+    No word is left out, so texts are cut to the length before their words are looked up. Rows of one
+    key are one text; ``key`` must be unique.
+    """
+    tokens = F.col("__tokens")
+    kept = F.slice(tokens, F.greatest(F.size(tokens) - F.lit(length) + 1, F.lit(1)) if mode == "pre" else F.lit(1), F.lit(length))
+    words = df.select(key, sequence_tokens(text).alias("__tokens")).select(key, F.posexplode_outer(kept).alias("__p", "word"))
     known = index.select("word", F.col("index").alias("__id"))
     if num_words is not None:
         known = known.where(F.col("__id") < num_words)
-    coded = lookup_join(words, known, ["word"], "left").groupBy(key).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("__p", F.coalesce("__id", F.lit(1).cast("long")).alias("id")))), lambda s: s["id"]).alias("__s"))
-    none = F.array().cast("array<bigint>")
-    return df.select(key).join(coded, key, "left").select(key, pad(F.coalesce("__s", none), length, mode, mode).alias("sequence"))
+    placed = F.when(F.col("word").isNotNull(), F.struct("__p", F.coalesce("__id", F.lit(1).cast("long")).alias("id")))
+    coded = lookup_join(words, known, ["word"], "left").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(placed)), lambda s: s["id"]).alias("__s"))
+    return coded.select(key, pad("__s", length, mode, mode).alias("sequence"))
 
 
 def one_hot(label: Column | str, classes: int) -> Column:

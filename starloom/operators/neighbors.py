@@ -5,6 +5,10 @@ inequality then tells, per query, which cells can still hold an answer; a query
 those cells only. Cells are cut into blocks of bounded size on both sides, so a cell holding a
 third of the rows is spread over many tasks, and a task returns at most k rows (or one count
 per label) per query instead of all pairs. Results are exact.
+
+Where vectors have no clusters the bounds rule out few cells and the exact search meets most
+pairs. ``probes`` is the way for that: a query visits its nearest cells only. With 2 sqrt(n)
+cells it meets in the order of probes * sqrt(n) rows instead of n, and distances stay exact.
 """
 
 from __future__ import annotations
@@ -16,12 +20,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starloom.functions.hashing import key_hash
 from starloom.plans.session import cut_lineage
 
 BLOCK_ROWS = 8192
+MIN_PIVOTS, MAX_PIVOTS = 64, 2048
 _SLACK = 1e-9
+_ROUTED_VALUES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -42,14 +49,27 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
+def _key_type(df: DataFrame, key: str) -> str:
+    """Integers of any width are longs; other keys keep their type."""
+    kind = df.schema[key].dataType
+    return "bigint" if isinstance(kind, T.IntegralType) else kind.simpleString()
+
+
 def _prepare(df: DataFrame, key: str, vec: str, group: str | None, label: str | None) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"),
+    return df.select(F.col(key).cast(_key_type(df, key)).alias("id"), F.col(vec).cast("array<double>").alias("v"),
                      (F.col(group).cast("int") if group else F.lit(0)).alias("g"),
                      (F.col(label).cast("int") if label else F.lit(0)).alias("label"))
 
 
-def _build(base: DataFrame, k: int, far: bool, pivots: int) -> tuple[DataFrame, _Cells]:
-    """Assign base rows to cells and gather the bounds of every cell."""
+def _build(base: DataFrame, k: int, far: bool, pivots: int | None) -> tuple[DataFrame, _Cells]:
+    """Assign base rows to cells and gather the bounds of every cell.
+
+    Unless named, there are 2 sqrt(rows) pivots, so cells grow with the root of the table only (MAX_PIVOTS
+    bounds what reaches the driver; larger cells are cut into blocks).
+    """
+    if pivots is None:
+        pivots = min(MAX_PIVOTS, max(MIN_PIVOTS, int(2 * base.count() ** 0.5)))
+    kind = _key_type(base, "id")
     chosen = base.orderBy(key_hash("id", 17), "id").limit(pivots).select("v").collect()
     if not chosen:
         empty = base.withColumns({"cell": F.lit(0), "d": F.lit(0.0)})
@@ -63,7 +83,7 @@ def _build(base: DataFrame, k: int, far: bool, pivots: int) -> tuple[DataFrame,
                 cell = d.argmin(1)
                 yield batch.assign(cell=cell.astype("int32"), d=d[np.arange(len(d)), cell])
 
-    assigned = cut_lineage(base.mapInPandas(assign, "id long, v array<double>, g int, label int, cell int, d double"))
+    assigned = cut_lineage(base.mapInPandas(assign, f"id {kind}, v array<double>, g int, label int, cell int, d double"))
     extreme = F.row_number().over(Window.partitionBy("g", "cell").orderBy(F.desc("d") if far else F.asc("d"), "id"))
     edge = assigned.select("g", "cell", "d", extreme.alias("r")).where(F.col("r") <= max(k, 1)).groupBy("g", "cell").agg(
         F.collect_list("d").alias("edge"))
@@ -73,13 +93,23 @@ def _build(base: DataFrame, k: int, far: bool, pivots: int) -> tuple[DataFrame,
     return assigned, _Cells(points, _distances(points, points), stats)
 
 
-def _route(queries: DataFrame, cells: _Cells, k: int, mode: str, radius: float) -> DataFrame:
-    """Send each query to the cells that can hold an answer."""
+def _route(queries: DataFrame, cells: _Cells, k: int, mode: str, radius: float, probes: int | None) -> DataFrame:
+    """Send each query to the cells that can hold an answer, or to its ``probes`` nearest ones.
+
+    With ``probes`` further cells are visited until the visited ones hold k rows.
+    """
+    step = max(1, _ROUTED_VALUES // max(1, len(cells.pivots) * max(1, k)))
+
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), step):
+                yield batch.iloc[start:start + step]
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_group: dict[int, list[int]] = {}
         for g, c in sorted(cells.stats):
             by_group.setdefault(g, []).append(c)
-        for batch in batches:
+        for batch in slices(batches):
             for g, part in batch.groupby("g"):
                 members = by_group.get(int(g))
                 if not members:
@@ -88,6 +118,14 @@ def _route(queries: DataFrame, cells: _Cells, k: int, mode: str, radius: float)
                 low, high = np.array([i[1] for i in info]), np.array([i[2] for i in info])
                 every = _distances(_matrix(part["v"]), cells.pivots)
                 d = every[:, members]
+                if probes is not None:
+                    order = d.argsort(axis=1, kind="stable")
+                    held = np.array([i[0] for i in info])[order].cumsum(axis=1)
+                    visited = (np.arange(len(members)) < probes) | (held - np.array([i[0] for i in info])[order] < k)
+                    rows, places = np.nonzero(visited)
+                    yield pd.DataFrame({"id": part["id"].to_numpy()[rows], "v": part["v"].to_numpy()[rows], "g": np.int32(g),
+                                        "cell": np.array(members, dtype="int32")[order[rows, places]]})
+                    continue
                 edge_cell = np.concatenate([[j] * len(i[3]) for j, i in enumerate(info)]).astype(int)
                 edge = np.concatenate([i[3] for i in info])
                 if mode == "far":
@@ -110,7 +148,7 @@ def _route(queries: DataFrame, cells: _Cells, k: int, mode: str, radius: float)
                 yield pd.DataFrame({"id": part["id"].to_numpy()[rows], "v": part["v"].to_numpy()[rows], "g": np.int32(g),
                                     "cell": np.array(members, dtype="int32")[columns]})
 
-    return cut_lineage(queries.mapInPandas(route, "id long, v array<double>, g int, cell int"))
+    return cut_lineage(queries.mapInPandas(route, f"id {_key_type(queries, 'id')}, v array<double>, g int, cell int"))
 
 
 def _blocks(routed: DataFrame, assigned: DataFrame, cells: _Cells) -> tuple[DataFrame, DataFrame]:
@@ -133,9 +171,12 @@ _KEYS = ["g", "cell", "bb", "qb"]
 _CHUNK = 512
 
 
-def _search(queries: DataFrame, base: DataFrame, k: int, mode: str, radius: float, exclude_self: bool, pivots: int) -> DataFrame:
+def _search(queries: DataFrame, base: DataFrame, k: int, mode: str, radius: float, exclude_self: bool, pivots: int | None,
+            probes: int | None = None) -> DataFrame:
+    kind = _key_type(queries, "id")
+    keys = {"id": "int64"} if kind == "bigint" else {}
     assigned, cells = _build(base, k + int(exclude_self), mode == "far", pivots)
-    routed = _route(queries, cells, k + int(exclude_self), mode, radius)
+    routed = _route(queries, cells, k + int(exclude_self), mode, radius, probes)
     left, right = _blocks(routed, assigned, cells)
 
     def pairs(q: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -159,7 +200,7 @@ def _search(queries: DataFrame, base: DataFrame, k: int, mode: str, radius: floa
                 out.append(pd.DataFrame({"id": q["id"].to_numpy()[rows[i]], "neighbor": b["id"].to_numpy()[j],
                                          "label": b["label"].to_numpy()[j], "distance": exact}))
         found = pd.concat(out) if out else pd.DataFrame({"id": [], "neighbor": [], "label": [], "distance": []})
-        found = found.astype({"id": "int64", "neighbor": "int64", "label": "int32", "distance": "float64"})
+        found = found.astype({**keys, **{"neighbor": t for t in keys.values()}, "label": "int32", "distance": "float64"})
         ordered = found.sort_values(["id", "distance", "neighbor"], ascending=[True, mode != "far", True])
         return ordered.groupby("id").head(k)
 
@@ -173,32 +214,33 @@ def _search(queries: DataFrame, base: DataFrame, k: int, mode: str, radius: floa
                 i, j = np.nonzero(counts)
                 out.append(pd.DataFrame({"id": q["id"].to_numpy()[rows[i]], "label": labels[j], "n": counts[i, j]}))
         found = pd.concat(out) if out else pd.DataFrame({"id": [], "label": [], "n": []})
-        return found.astype({"id": "int64", "label": "int32", "n": "int64"})
+        return found.astype({**keys, "label": "int32", "n": "int64"})
 
     grouped = left.groupBy(*_KEYS).cogroup(right.groupBy(*_KEYS))
     if mode == "radius":
-        return grouped.applyInPandas(votes, "id long, label int, n long").groupBy("id", "label").agg(F.sum("n").alias("n"))
-    found = grouped.applyInPandas(best, "id long, neighbor long, label int, distance double")
+        return grouped.applyInPandas(votes, f"id {kind}, label int, n long").groupBy("id", "label").agg(F.sum("n").alias("n"))
+    found = grouped.applyInPandas(best, f"id {kind}, neighbor {kind}, label int, distance double")
     order = [F.desc("distance") if mode == "far" else F.asc("distance"), F.asc("neighbor")]
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str, vec: str, k: int, group: str | None = None, label: str | None = None,
-            exclude_self: bool = False, pivots: int = 64) -> DataFrame:
+            exclude_self: bool = False, pivots: int | None = None, probes: int | None = None) -> DataFrame:
     """The ``k`` nearest base rows of each query: (id, neighbor, label, distance, rank).
 
-    With ``group`` only rows of the same group are neighbours. Ties go to the smaller key.
+    With ``group`` only rows of the same group are neighbours. Ties go to the smaller key. With
+    ``probes`` the search is approximate: only rows in the nearest cells are met.
     """
-    return _search(_prepare(queries, key, vec, group, None), _prepare(base, key, vec, group, label), k, "near", 0.0, exclude_self, pivots)
+    return _search(_prepare(queries, key, vec, group, None), _prepare(base, key, vec, group, label), k, "near", 0.0, exclude_self, pivots, probes)
 
 
-def farthest(queries: DataFrame, base: DataFrame, key: str, vec: str, k: int, pivots: int = 64) -> DataFrame:
+def farthest(queries: DataFrame, base: DataFrame, key: str, vec: str, k: int, pivots: int | None = None) -> DataFrame:
     """The ``k`` farthest base rows of each query."""
     return _search(_prepare(queries, key, vec, None, None), _prepare(base, key, vec, None, None), k, "far", 0.0, False, pivots)
 
 
 def radius_votes(queries: DataFrame, base: DataFrame, key: str, vec: str, radius: float, label: str, exclude_self: bool = False,
-                 pivots: int = 64) -> DataFrame:
+                 pivots: int | None = None) -> DataFrame:
     """Base rows within ``radius`` of each query, counted per label: (id, label, n)."""
     return _search(_prepare(queries, key, vec, None, None), _prepare(base, key, vec, None, label), 1, "radius", radius, exclude_self, pivots)
 
@@ -208,13 +250,14 @@ def majority(votes: DataFrame) -> DataFrame:
     return votes.groupBy("id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("prediction"))
 
 
-def knn_classify(queries: DataFrame, base: DataFrame, key: str, vec: str, label: str, k: int = 5, exclude_self: bool = False) -> DataFrame:
+def knn_classify(queries: DataFrame, base: DataFrame, key: str, vec: str, label: str, k: int = 5, exclude_self: bool = False,
+                 probes: int | None = None) -> DataFrame:
     """k-nearest-neighbour class of each query."""
-    found = nearest(queries, base, key, vec, k, label=label, exclude_self=exclude_self)
+    found = nearest(queries, base, key, vec, k, label=label, exclude_self=exclude_self, probes=probes)
     return majority(found.groupBy("id", "label").agg(F.count("*").alias("n")))
 
 
 def radius_classify(queries: DataFrame, base: DataFrame, key: str, vec: str, label: str, radius: float, exclude_self: bool = False) -> DataFrame:
     """Radius-neighbour class of each query; null for rows without neighbours."""
     voted = majority(radius_votes(queries, base, key, vec, radius, label, exclude_self))
-    return queries.select(F.col(key).cast("long").alias("id")).join(voted, "id", "left")
+    return queries.select(F.col(key).cast(_key_type(queries, key)).alias("id")).join(voted, "id", "left")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions import text as tx
 from starloom.functions.fixed_values import SENTIMENT_WORDS, review_stop_words
-from starloom.functions.stemming import stem_text
+from starloom.functions.stemming import stem_text, stem_words
 from starloom.operators.relational import drop_columns, drop_empty, drop_nulls, duplicate_columns
 from starloom.plans.sizing import lookup_join
 
@@ -102,26 +102,50 @@ class TextNormalizer(Transformer, HasInputCols, DefaultParamsReadable, DefaultPa
 
 
 def preprocess_reviews(df: DataFrame, text_columns: Sequence[str], drop: Sequence[str] = (), keep_original: bool = False,
-                       normalizer: TextNormalizer | None = None) -> DataFrame:
-    """Drop columns, drop rows with nulls, optionally keep the raw text, clean, drop emptied rows."""
+                       normalizer: TextNormalizer | None = None, key: str | None = None, forms: DataFrame | None = None) -> DataFrame:
+    """Drop columns, drop rows with nulls, optionally keep the raw text, clean, drop emptied rows.
+
+    ``forms`` (form, lemma) adds lemmas as the last step, for training texts; it needs the row ``key``.
+    With a key, stemming runs over the distinct words of the cleaned texts.
+    """
     out = drop_columns(df, drop) if drop else df
     out = drop_nulls(out)
     if keep_original:
         out = duplicate_columns(out, text_columns)
     normalizer = (normalizer or TextNormalizer()).copy()
-    normalizer._set(inputCols=list(text_columns))
-    return drop_empty(normalizer.transform(out), text_columns)
-
-
-def lemmatize(df: DataFrame, key: str, text: str, forms: DataFrame) -> DataFrame:
-    """Replace every token by its lemma from a (form, lemma) table; unknown forms stay.
+    by_words = key is not None and normalizer.getOrDefault(normalizer.stemText)
+    normalizer._set(inputCols=list(text_columns), **({"stemText": False} if by_words else {}))
+    out = drop_empty(normalizer.transform(out), text_columns)
+    if forms is not None and key is None:
+        raise ValueError("lemmas need the key of a row")
+    for column in text_columns if by_words or forms is not None else ():
+        if by_words:
+            out = stem_documents(out, key, column)
+        if forms is not None:
+            out = lemmatize(out, key, column, forms)
+    return out
+
+
+def _replace_tokens(df: DataFrame, key: str, text: str, tokens: Column, forms: DataFrame) -> DataFrame:
+    """Every token's lemma from a (form, lemma) table, or itself, joined by blanks.
 
     Only tokens travel through the lookup (broadcast when the measured table is small, salted
     shuffle otherwise); a text is put together again under its own key.
     """
-    tokens = df.select(key, F.posexplode(tx.word_punct_tokens(text)).alias("pos", "form"))
-    looked_up = lookup_join(tokens, forms.select("form", "lemma"), ["form"], "left")
+    looked_up = lookup_join(df.select(key, F.posexplode(tokens).alias("pos", "form")), forms.select("form", "lemma"), ["form"], "left")
     joined = looked_up.groupBy(key).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "form").alias("word")))), lambda s: s["word"]), " ").alias("__text"))
     return (df.join(joined, key, "left").withColumn(text, F.coalesce("__text", F.when(F.col(text).isNotNull(), "")))
             .drop("__text"))
+
+
+def lemmatize(df: DataFrame, key: str, text: str, forms: DataFrame) -> DataFrame:
+    """Replace every token by its lemma from a (form, lemma) table; unknown forms stay."""
+    return _replace_tokens(df, key, text, tx.word_punct_tokens(text), forms)
+
+
+def stem_documents(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Stem every blank-separated word; each distinct word of the corpus is stemmed once."""
+    words = tx.blank_tokens(text)
+    forms = stem_words(df.select(F.explode(F.array_distinct(words)).alias("form")).distinct()).where("form <> lemma")
+    return _replace_tokens(df, key, text, words, forms)

@@ -31,9 +31,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions import text as tx
-from starloom.functions.hashing import key_hash
 from starloom.operators import evaluate as ev
 from starloom.operators.features import average_vectors
+from starloom.operators.neighbor_classifier import NeighborClassifier
 from starloom.operators.sampling import exact_sample, with_class_weights
 from starloom.plans.session import fresh_path, stage_table
 
@@ -41,10 +41,11 @@ from starloom.plans.session import fresh_path, stage_table
 # -- features ----------------------------------------------------------------------------------
 
 def ngram_tfidf_stages(text: str, rows: int, low: int = 1, high: int = 3, output: str = "features", share: float = 0.001,
-                       vocab_size: int = 1 << 18) -> Pipeline:
+                       vocab_size: int = (1 << 31) - 1) -> Pipeline:
     """Tokenizer, n-grams, one count vectoriser per n (minimum document frequency as a share), assembled and IDF-weighted.
 
-    Fit it on the training part only.
+    Every term in that share of the rows is kept: at most 1 / share times the mean number of
+    distinct terms of a text, whatever the number of rows. Fit it on the training part only.
     """
     minimum = float(max(int(share * rows), 1))
     stages: list = [RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False)]
@@ -137,11 +138,13 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
 
 def make_classifier(name: str, rows: int = 1, classes: int = 5, features: str = "features", max_iter: int = 100, c: float = 1.0,
                     max_depth: int = 10, layers: Sequence[int] | None = None, seed: int = 1, rff_size: int = 256,
-                    gamma: float = 1.0) -> Estimator:
+                    gamma: float = 1.0, trees: int = 100, key: str = "id", neighbors: int = 5, radius: float = 1.0) -> Estimator:
     """Classifier by configuration name; a trailing B (LRB, DTB) means class-balanced weights.
 
     LR's ``c`` divides a summed loss, Spark's penalty a mean loss: regParam = 1 / (c * rows).
-    The boosting variants (GB, lGBM, XGB, CB) are one operator: one-vs-rest boosted trees.
+    The boosting variants (GB, lGBM, XGB, CB) are one operator: one-vs-rest boosted trees. KNN and RN
+    keep the training rows and ask the neighbour search; they need the row ``key``.
+    The model codes are fixed values of configuration files.
     """
     common = {"featuresCol": features, "labelCol": "label0"}
     balanced = {"weightCol": "weight"} if name in ("LRB", "DTB") else {}
@@ -150,18 +153,20 @@ def make_classifier(name: str, rows: int = 1, classes: int = 5, features: str =
     if name in ("DT", "DTB"):
         return DecisionTreeClassifier(maxDepth=max_depth, seed=seed, **common, **balanced)
     if name == "RF":
-        return RandomForestClassifier(maxDepth=max_depth, seed=seed, **common)
+        return RandomForestClassifier(maxDepth=max_depth, numTrees=trees, seed=seed, **common)
     if name in ("GB", "lGBM", "XGB", "CB"):
-        return OneVsRest(classifier=GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=seed, featuresCol=features), **common)
+        return OneVsRest(classifier=GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=seed, featuresCol=features), parallelism=4, **common)
+    if name in ("KNN", "RN"):
+        return NeighborClassifier(key=key, features=features, label="label0", k=neighbors, radius=radius if name == "RN" else None)
     if name == "SVC_RBF":
         machine = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(rows, 1)), featuresCol="__rff", weightCol="weight"),
-                            labelCol="label0", featuresCol="__rff", weightCol="weight")
+                            labelCol="label0", featuresCol="__rff", weightCol="weight", parallelism=4)
         return Pipeline(stages=[RandomFourierFeatures(inputCol=features, outputCol="__rff", size=rff_size, gamma=gamma, seed=seed), machine])
     if name == "DNN":
         if not layers:
             raise ValueError("DNN needs layers: [inputs, hidden..., classes]")
         return MultilayerPerceptronClassifier(layers=list(layers), maxIter=max_iter, seed=seed, **common)
-    raise ValueError(f"unable to create classifier for {name}")
+    raise ValueError(f"no classifier has the code {name}")
 
 
 def training_frame(df: DataFrame, label: str) -> DataFrame:
@@ -217,7 +222,8 @@ def search(spark: SparkSession, estimator: Estimator, train: DataFrame, key: str
            folds: int = 5, n_iter: int | None = None, parallelism: int = 2, seed: int = 1) -> tuple[CrossValidatorModel, DataFrame]:
     """Cross-validated grid or random search with hash folds; returns the model and all scores."""
     maps = parameter_maps(estimator, space, n_iter, seed)
-    folded = train.withColumn("__fold", (key_hash(key_hash(key, seed), seed) / F.lit(2**31 / folds)).cast("int"))
+    # not the hash of the train and test split, whose training part holds only a range of it
+    folded = train.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int"))
     model = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ScoreEvaluator(classes=classes), numFolds=folds,
                            foldCol="__fold", parallelism=parallelism).fit(folded)
     best = int(np.argmax(model.avgMetrics))

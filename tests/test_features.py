@@ -26,12 +26,12 @@ def test_vocabulary_limits(docs):
 def test_tfidf_long_and_vector_forms_agree(docs):
     grams = ft.gram_array("t", 1, 3)
     vocab = ft.vocabulary(docs, grams, max_features=12).cache()
-    wide = ft.tfidf_vectors(docs, grams, vocab).select("id", F.posexplode(vector_to_array("features")).alias("term_id", "v")).where("v > 0")
+    wide = ft.tfidf_vectors(docs, "id", grams, vocab).select("id", F.posexplode(vector_to_array("features")).alias("term_id", "v")).where("v > 0")
     long = ft.tfidf(docs, "id", grams, vocab, digits=None)
     assert {(r.id, r.term_id): r.tfidf for r in long.collect()} == pytest.approx({(r.id, r.term_id): r.v for r in wide.collect()})
     norms = long.groupBy("id").agg(F.sum(F.col("tfidf") ** 2).alias("n")).collect()
     assert all(r.n == pytest.approx(1.0) for r in norms)
-    counted = ft.count_vectors(docs, grams, vocab).select("id", F.posexplode(vector_to_array("features")).alias("term_id", "v")).where("v > 0")
+    counted = ft.count_vectors(docs, "id", grams, vocab).select("id", F.posexplode(vector_to_array("features")).alias("term_id", "v")).where("v > 0")
     bag = ft.bag_of_words(docs, "id", grams, vocab)
     assert {(r.id, r.term_id): r.tf for r in bag.collect()} == {(r.id, r.term_id): r.v for r in counted.collect()}
 
@@ -47,10 +47,19 @@ def test_tfidf_formula(docs):
 
 
 def test_missing_by_size(docs):
-    rows = {r.max_features: r.rows_without_features for r in ft.missing_by_size(docs, "id", ft.gram_array("t"), [1, 3, 100]).collect()}
+    rows = {r.max_features: r.rows_without_features for r in ft.missing_by_size(docs, "id", {"one": ft.gram_array("t")}, [1, 3, 100]).collect()}
     assert rows == {1: 3, 3: 2, 100: 1}
 
 
+def test_vocabulary_beyond_a_model_gives_the_same_vectors(docs):
+    grams = ft.gram_array("t", 1, 2)
+    vocab = ft.vocabulary(docs, grams).cache()
+    for build in (ft.count_vectors, ft.tfidf_vectors):
+        small, large = ({r.id: r.features.toArray().tolist() for r in build(docs, "id", grams, vocab, max_terms=m).collect()} for m in (1000, 3))
+        assert small.keys() == large.keys() == set(range(5))
+        assert all(small[i] == pytest.approx(large[i]) for i in small)
+
+
 def test_sequences(spark, docs):
     index = ft.sequence_index(docs, "id", "t").cache()
     assert [r.word for r in index.orderBy("index").limit(6).collect()] == ["<UNK>", "the", "cat", "sat", "dog", "a"]
