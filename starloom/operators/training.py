@@ -174,6 +174,11 @@ def training_frame(df: DataFrame, label: str) -> DataFrame:
     return with_class_weights(df, label).withColumn("label0", (F.col(label) - 1).cast("double"))
 
 
+def training_partitions(df: DataFrame, rows: int, rows_per_task: int = 5000) -> DataFrame:
+    """No more partitions than ``rows`` can fill: an iterative fit starts its tasks anew for every pass."""
+    return df.coalesce(max(1, -(-rows // rows_per_task)))
+
+
 def predict(model: Transformer, df: DataFrame, prediction: str = "prediction") -> DataFrame:
     """Model output with a 1-based integer prediction."""
     return model.transform(df).withColumn(prediction, (F.col("prediction") + 1).cast("int"))
