@@ -93,7 +93,7 @@ def _build(base: DataFrame, k: int, far: bool, pivots: int | None) -> tuple[Data
     return assigned, _Cells(points, _distances(points, points), stats)
 
 
-def _route(queries: DataFrame, cells: _Cells, k: int, mode: str, radius: float, probes: int | None) -> DataFrame:
+def _route(queries: DataFrame, cells: _Cells, k: int, mode: str, radius: float, probes: int | None = None) -> DataFrame:
     """Send each query to the cells that can hold an answer, or to its ``probes`` nearest ones.
 
     With ``probes`` further cells are visited until the visited ones hold k rows.
