@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -12,7 +12,6 @@ from starloom.catalog.feature_queries import _grams_sql
 from starloom.catalog.registry import query, table, texts
 from starloom.catalog.sampling_queries import _fraction_sql
 from starloom.catalog.text_queries import _WORD_PUNCT_SQL, _normal_sql
-from starloom.operators import evaluate as ev
 from starloom.operators import features as ft
 from starloom.operators import sampling
 from starloom.operators import training as tr
@@ -103,12 +102,6 @@ def _vectors(spark, folder):
     return tr.training_frame(train, "class"), test
 
 
-def _evaluated_vectors(spark, folder, name, **options):
-    train, test = _vectors(spark, folder)
-    model = tr.make_classifier(name, rows=train.count(), classes=10, **options).fit(train)
-    return ev.classification_report(tr.predict(model, test), "class", "prediction").withColumn("model", F.lit(name))
-
-
 @query("s10_model_roundtrip", f"SELECT doc_id, star_rating, true AS in_range, true AS same_class, true AS same_probabilities FROM {_TEST_SQL}")
 def model_roundtrip(spark, folder):
     train, test = _prepared(spark, folder)
@@ -188,12 +181,15 @@ def word2vec(spark, folder):
     return _vector_facts(tr.word2vec_features(_lower_docs(spark, folder), "doc_id", "text"), 100)
 
 
-@query("f7_subword_vectors")
+def _subword_sql(tokens):
+    """Each token and the runs of 3 to 6 characters of it between its boundary marks."""
+    runs = " || ".join(f"list_transform(range(1, length(w) + {4 - n}), lambda i: substring('<' || w || '>', i, {n}))" for n in range(3, 7))
+    return f"flatten(list_transform({tokens}, lambda w: [w] || {runs}))"
+
+
+@query("f7_subword_vectors", _vectors_sql(_subword_sql(_LOWER_TOKENS)))
 def subword_vectors(spark, folder):
-    rows = tr.word2vec_features(texts(spark, folder, "conversations", "conv_id").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.lower("text").alias("text")), "turn_id", "text", subwords=True,
-        size=20, iterations=1)
-    return rows.select("turn_id", "known_words", F.size("mean_vec").alias("dim"))
+    return _vector_facts(tr.word2vec_features(_lower_docs(spark, folder), "doc_id", "text", subwords=True), 100)
 
 
 def _lower_docs(spark, folder):
@@ -217,18 +213,31 @@ def pca(spark, folder):
     return row.select(F.inline(F.array(*facts)))
 
 
-@query("f18_feature_sweep")
+_RAW_TOKENS = f"regexp_extract_all(text, '{_WORD_PUNCT_SQL}')"
+_ENCODED = {"bow-df2-ngram12": None, "tfidf-df_none-ngram11": None, "word2vec": _RAW_TOKENS, "fasttext": _subword_sql(_RAW_TOKENS)}
+
+
+def _encoded_sql(name, tokens):
+    """Rows of a feature set per class; word vectors leave out texts with fewer than two known words."""
+    known = f"WHERE doc_id IN (SELECT doc_id FROM {_known_sql(tokens, _LABELLED_SQL)} WHERE known_words > 1)" if tokens else ""
+    return f"""SELECT '{name}' AS description, 'success' AS status, star_rating, CAST(star_rating >= 3 AS INTEGER) AS helpful_product, count(*) AS n
+        FROM {_LABELLED_SQL} {known} GROUP BY star_rating"""
+
+
+@query("f18_feature_sweep", " UNION ALL ".join([*(_encoded_sql(*e) for e in _ENCODED.items()), "SELECT 'broken', 'failed', NULL, NULL, NULL"]))
 def features_by_config(spark, folder):
-    config = [{"description": "bow-df2-ngram12", "fn_name": "generate_bow_file", "min_df": 2, "max_ngram_range": 2, "max_features": 300,
+    config = [{"description": "bow-df2-ngram12", "fn_name": "generate_bow_file", "min_df": 2, "max_ngram_range": 2, "max_features": _FEATURES,
                "feature_columns": "text"},
-              {"description": "tfidf-df_none-ngram11", "fn_name": "generate_tfidf_file", "max_features": 300, "feature_columns": "text"},
+              {"description": "tfidf-df_none-ngram11", "fn_name": "generate_tfidf_file", "max_features": _FEATURES, "feature_columns": "text"},
+              {"description": "word2vec", "fn_name": "generate_word2vec_file", "feature_size": 100, "feature_columns": "text"},
+              {"description": "fasttext", "fn_name": "generate_fasttext_file", "feature_size": 100, "feature_columns": "text"},
               {"description": "broken", "fn_name": "generate_nothing", "feature_columns": "text"}]
     done = feature_sweep(_labelled(spark, folder), config, "doc_id", "star_rating", fresh_path(spark, "sweep"))
     out = None
     for row in done:
         part = (spark.read.parquet(row["outfile"]).groupBy("star_rating", "helpful_product").agg(F.count("*").alias("n")) if row["status"] == "success"
-                else spark.range(0).select(F.lit(0).alias("star_rating"), F.lit(0).alias("helpful_product"), F.col("id").alias("n")))
-        part = part.withColumns({"description": F.lit(row["description"]), "status": F.lit(row["status"])})
+                else spark.range(1).select(*[F.lit(None).cast(kind).alias(c) for c, kind in (("star_rating", "int"), ("helpful_product", "int"), ("n", "long"))]))
+        part = part.select(F.lit(row["description"]).alias("description"), F.lit(row["status"]).alias("status"), "star_rating", "helpful_product", "n")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -253,9 +262,17 @@ def boosted(spark, folder):
     return _evaluated(spark, folder, ["GB"], max_depth=3)
 
 
-@query("l5_rbf_machine")
+_VECTOR_TEST_SQL = f"(SELECT label + 1 AS class FROM embeddings WHERE {_fraction_sql('vec_id')} >= 0.75)"
+
+
+@query("l5_rbf_machine", f"""
+    SELECT 'SVC_RBF' AS model, CAST(class AS INTEGER) AS class, count(*) AS support, true AS in_range, true AS learned, CAST(NULL AS BOOLEAN) AS proper_probabilities
+    FROM {_VECTOR_TEST_SQL} GROUP BY class""")
 def rbf(spark, folder):
-    return _evaluated_vectors(spark, folder, "SVC_RBF", max_iter=5, rff_size=64)
+    train, test = _vectors(spark, folder)
+    train, rows = stage_table(train, "train"), train.count()
+    model = tr.make_classifier("SVC_RBF", rows=rows, classes=10).fit(tr.training_partitions(train, rows))
+    return _facts(model, "SVC_RBF", train, test, "class")
 
 
 @query("l8_fully_connected", _facts_sql(["DNN"]))
@@ -265,12 +282,19 @@ def fully_connected(spark, folder):
     return _facts(model, "DNN", train, test, "star_rating")
 
 
-@query("l9_parameter_search")
+_PENALTIES = [0.001, 0.01, 0.1]
+
+
+@query("l9_parameter_search", " UNION ALL ".join(f"""
+    SELECT CAST({i} AS INTEGER) AS candidate, '{{"regParam": {v}}}' AS params, true AS score_in_range, true AS one_best, true AS learned""" for i, v in enumerate(_PENALTIES)))
 def parameter_search(spark, folder):
-    train, _ = _prepared(spark, folder, 200)
-    estimator = tr.make_classifier("LRB", rows=train.count(), max_iter=5)
-    _, scores = tr.search(spark, estimator, train, "doc_id", {"regParam": [0.001, 0.01, 0.1]}, _CLASSES, folds=3, n_iter=2)
-    return scores
+    train, test = _prepared(spark, folder)
+    found, scores = tr.search(spark, tr.make_classifier("LRB", rows=train.count()), train, "doc_id", {"regParam": _PENALTIES}, _CLASSES)
+    # the model of the best candidate, fitted on all folds, against the share of the largest class
+    hits = tr.predict(found.bestModel, test).agg(F.count_if(F.col("star_rating") == F.col("prediction")).alias("hits")).scalar()
+    most = test.groupBy("star_rating").agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
+    one_best = scores.agg((F.count_if("best") == 1) & (F.max(F.when(F.col("best"), F.col("score"))) == F.max("score"))).scalar()
+    return scores.select("candidate", "params", F.col("score").between(0, 1).alias("score_in_range"), one_best.alias("one_best"), (hits > most).alias("learned"))
 
 
 @query("l10_run_job", f"""
@@ -352,17 +376,20 @@ def score(spark, folder):
         "id", F.md5("input_raw").alias("raw"), F.md5("input_preprocessed").alias("preprocessed"), "class_expected", "class_predicted", "status")
 
 
-@query("r1_score_with_model")
+@query("r1_score_with_model", f"SELECT id, rating AS class_expected, true AS in_range, true AS most_likely, true AS proper_probabilities FROM {_SCORED_SQL}")
 def score_model(spark, folder):
     train, _ = sampling.train_test_split(_labelled(spark, folder), "doc_id")
     rows = train.count()
-    stages = tr.ngram_tfidf_stages("text", rows, 1, 1).getStages()
-    frame = tr.training_frame(train, "star_rating")
-    model = Pipeline(stages=[*stages, tr.make_classifier("LRB", rows=rows, max_iter=5)]).fit(frame)
+    encoder = tr.ngram_tfidf_stages("text", rows).fit(train)
+    encoded = stage_table(encoder.transform(tr.training_frame(train, "star_rating")).select("features", "label0", "weight"), "encoded")
+    model = PipelineModel([*encoder.stages, tr.make_classifier("LRB", rows=rows).fit(tr.training_partitions(encoded, rows))])
     valid, _ = scoring.split_valid(_reviews(spark, folder))
     renamed = valid.withColumnRenamed("review", "text")
-    return scoring.score_reviews(renamed, scoring.model_scorer(model), "LRB", "v1.0", text="text", created=F.col("received")).select(
-        "id", "class_expected", "class_predicted", "class_predicted_raw")
+    scored = scoring.score_reviews(renamed, scoring.model_scorer(model), "LRB", "v1.0", text="text", created=F.col("received"))
+    chances = F.map_values(F.from_json("class_predicted_raw", "map<string,string>")).cast("array<double>")
+    total = F.aggregate(chances, F.lit(0.0), lambda acc, p: acc + p)
+    return scored.select("id", "class_expected", F.col("class_predicted").between(1, _CLASSES).alias("in_range"),
+                         (F.get(chances, F.col("class_predicted") - 1) == F.array_max(chances)).alias("most_likely"), (F.abs(total - 1) < 1e-6).alias("proper_probabilities"))
 
 
 @query("r2_stream_log", f"""

@@ -248,10 +248,13 @@ def arg_max(scores: Column | str) -> Column:
 # -- word vectors ------------------------------------------------------------------------------
 
 def average_vectors(df: DataFrame, key: str, words: Column, vectors: DataFrame, word: str = "word", vec: str = "vec") -> DataFrame:
-    """Mean vector of the known words of each text; null with fewer than two known words."""
-    tokens = df.select(key, F.explode(words).alias(word))
+    """Mean vector of the known words of each text; null with fewer than two known words.
+
+    A word of a text meets its vector once and is weighted by its count there.
+    """
+    tokens = df.select(key, F.explode(words).alias(word)).groupBy(key, word).agg(F.count("*").alias("__n"))
     joined = lookup_join(tokens, vectors.select(word, array_to_vector(F.col(vec)).alias("__v")), [word])
-    means = joined.groupBy(key).agg(Summarizer.mean(F.col("__v")).alias("__mean"), F.count("*").alias("known_words"))
+    means = joined.groupBy(key).agg(Summarizer.mean(F.col("__v"), F.col("__n").cast("double")).alias("__mean"), F.sum("__n").alias("known_words"))
     return df.select(key).join(means, key, "left").select(
         key, F.coalesce("known_words", F.lit(0)).alias("known_words"), F.when(F.col("known_words") > 1, vector_to_array("__mean")).alias("mean_vec"))
 
