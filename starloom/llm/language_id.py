@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = 1 << 14
@@ -95,15 +96,21 @@ def _spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, texts_per_language: int = TEXTS_PER_LANGUAGE) -> KernelModel | None:
-    """Fit on at most ``texts_per_language`` labelled rows of each language, those of the smallest id hashes.
+    """Fit on at most ``texts_per_language`` labelled rows of each language, those of the smallest hashes of id and text.
 
-    That bound holds what reaches the driver: two kilobytes a text. None without labelled texts that have letters.
+    That bound holds what reaches the driver: two kilobytes a text. Rows are taken below a hash that
+    a fifth more than the bound are expected under, so nothing is ranked or joined, whatever the
+    share of a language; rows with the same id and text teach once. None without labelled texts that have letters.
     """
-    named = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = (named.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= texts_per_language))
-    texts = named.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = texts.join(F.broadcast(picked), ["id", "lang"]).select("place", "lang", "text").mapInArrow(_spectra, "place int, lang string, bits binary").where("bits is not null").orderBy("lang", "place").collect()
+    named = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    hashed = named.withColumn("place", F.xxhash64("id", "text"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")).collect()  # a row for each language, of which the model holds a column
+    if not sizes:
+        return None
+    shares = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, 1.2 * texts_per_language / max(1, r["n"])))])
+    picked = hashed.where(F.shiftrightunsigned("place", 11).cast("double") / (1 << 53) < F.element_at(shares, F.col("lang"))).dropDuplicates(["lang", "place"])
+    rows = picked.select("place", "lang", "text").mapInArrow(_spectra, "place long, lang string, bits binary").where("bits is not null").orderBy("lang", F.shiftrightunsigned("place", 11), "place").collect()
+    rows = [r for _, own in groupby(rows, key=lambda r: r.lang) for r in islice(own, texts_per_language)]
     if not rows:
         return None
     packed = np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1)

@@ -321,3 +321,11 @@ def test_folded_product_equals_the_way_by_landmarks():
     alpha = np.linalg.lstsq(inner, model.outputs(rows), rcond=None)[0]
     assert np.allclose(inner @ alpha, model.outputs(rows), atol=1e-3) and space.shape == inner.shape
     assert all(model.languages[b] == lang for b, lang in zip(model.outputs(rows).argmax(axis=1), langs))
+
+
+def test_texts_that_teach_a_language_are_bounded_and_repeated_rows_teach_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda packed, languages: seen.append(Counter(languages)))
+    many = [(k, words(k, 5), "en") for k in range(400)] + [(7, "the same row", "fr")] * 400 + [(8, "one", "de"), (9, "none", None), (None, "no id", "de"), (10, "123", "it")]
+    language_id.train(spark.createDataFrame(many, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 50)
+    assert seen[0] == {"en": 50, "fr": 1, "de": 1}
