@@ -205,7 +205,8 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     """One row per document: id, n_shingles, component_id, kept.
 
     Two documents are linked when their sets of distinct word shingles have 100 * intersection >=
-    ``percent`` * union. Documents with equal sets form a class and only its smallest id goes on. The
+    ``percent`` * union. Documents with equal sets form a class and only its smallest id goes on; the
+    others take its component at the end, so copies, however many, are no links of the star steps. The
     classes' minima are cut into bands; classes that share a band are candidates, checked on their
     minima and then exactly on their full sets. Each bucket is first verified against its smallest
     id. Pairs of different components that still share a bucket are then verified inside blocks of
@@ -220,7 +221,9 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     described = stage_table(texts.mapInArrow(_describe(shingle_words, bands, rows), "id long, n_shingles long, p1 long, p2 long, bands array<long>, low binary"), "minima")
     able = described.where("n_shingles > 0 and id is not null")
     classes = stage_table(able.groupBy("p1", "p2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "text-classes")
-    copies = lookup_join(able.select("id", "p1", "p2", "n_shingles"), classes.where("copies > 1"), ["p1", "p2", "n_shingles"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    copies = stage_table(lookup_join(able.select("id", "p1", "p2", "n_shingles"), classes.where("copies > 1"), ["p1", "p2", "n_shingles"]).where("id <> rep").select("id", "rep"), "copies")
+    again = stage_table(able.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated-ids")
+    tied = lookup_join(copies, again, ["id"], "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = able.join(classes.select(F.col("rep").alias("id"), "p1", "p2", "n_shingles"), ["id", "p1", "p2", "n_shingles"], "left_semi").dropDuplicates(["id", "p1", "p2"])
     buckets = reps.select("id", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("key", "first")
@@ -237,7 +240,7 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     likely = (stars.join(lows.select(F.col("id").alias("a"), F.col("low").alias("low_a")), "a")
               .join(lows.select(F.col("id").alias("b"), F.col("low").alias("low_b")), "b").mapInArrow(_agreeing(least), "a long, b long"))
-    parts = stage_table(connected_components(confirmed(likely).union(copies)), "near-parts")
+    parts = stage_table(connected_components(confirmed(likely).union(tied)), "near-parts")
     placed = members.select("key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     mixed = placed.groupBy("key").agg(F.min("part").alias("__least"), F.max("part").alias("__most")).where("__least <> __most").select("key")
     left = lookup_join(placed, mixed, ["key"], "left_semi").join(lows, "id")
@@ -246,7 +249,8 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     more = stage_table(paired_blocks(active.join(sets, "id"), "id", block_rows).mapInArrow(_across(least, percent), "a long, b long"), "across-links")
     if not more.isEmpty():
         parts = connected_components(more.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    out = described.select("id", "n_shingles").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    followed = lookup_join(lookup_join(copies, again, ["id"], "left_anti"), parts.withColumnRenamed("node", "rep"), ["rep"], "left").select("id", F.coalesce("component", "rep").alias("component"))
+    out = described.select("id", "n_shingles").join(parts.withColumnRenamed("node", "id").unionByName(followed), "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"),
                       F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
 

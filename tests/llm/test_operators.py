@@ -329,3 +329,11 @@ def test_texts_that_teach_a_language_are_bounded_and_repeated_rows_teach_once(sp
     many = [(k, words(k, 5), "en") for k in range(400)] + [(7, "the same row", "fr")] * 400 + [(8, "one", "de"), (9, "none", None), (None, "no id", "de"), (10, "123", "it")]
     language_id.train(spark.createDataFrame(many, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 50)
     assert seen[0] == {"en": 50, "fr": 1, "de": 1}
+
+
+def test_copies_follow_their_class_and_a_repeated_id_ties_two(spark):
+    a, near, b = words(1, 60), words(1, 60) + " tail", words(2, 60)
+    rows = [(9, a), (5, a), (7, a), (3, near), (8, b), (4, b), (8, a), (6, words(3, 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(minhash.near_duplicate_documents(df), "component_id", "kept") == {k: (3, k == 3) for k in (3, 4, 5, 7, 8, 9)} | {6: (6, True)}
+    assert minhash.near_duplicate_documents(df).count() == len(rows)
