@@ -19,6 +19,9 @@ from starloom.plans.sizing import lookup_join
 MERGED_STREAMS = 500
 _LONGEST_GROUP = 8
 _LONGEST_PATH = 400
+# A text is template from so many distinct pages on: in half of those with its slot, or, inside an article or main element, in all of the host.
+TEMPLATE_PAGES, NAMED_TEMPLATE_PAGES = 3, 10
+_NAMED = 2
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -183,26 +186,37 @@ def infer(streams: list[str]) -> str:
     return _write_items(wrapper or [])
 
 
-def content_groups(stream: str, wrapper: str) -> str:
-    """For each group of a page's stream, one character per slot: 1 for main text.
+def aligned(stream: str, wrapper: str) -> list[int]:
+    """For each slot of a page's stream its place among the slots of the wrapper, -1 where it has none."""
+    items, groups = _read_items(stream), [x[0] for x in _read_items(wrapper)]
+    first = [0]
+    for group in groups:
+        first.append(first[-1] + len(group))
+    at = [-1] * len(items)
+    for a, b, size in SequenceMatcher(None, [x[0] for x in items], groups, autojunk=False).get_matching_blocks():
+        at[a:a + size] = range(b, b + size)
+    return [first[k] + n if k >= 0 else -1 for (group, *_), k in zip(items, at) for n in range(len(group))]
 
-    The wrapper's slots with the surest container that the host's pages show are main text. A page
-    that has no such slot is read by the surest container of its own.
-    """
 
-    def surest(items) -> int:
-        return max((int(slot[-1]) for group, *_ in items for slot in group if slot[-1] != "-"), default=0)
+def main_blocks(levels: list[int], template: list[bool]) -> list[bool]:
+    """Which blocks of a page are main text, by their certainty (-1 for never) and whether they are the host's template.
 
-    items, level = _read_items(stream), surest(_read_items(wrapper))
-    if surest(items) < level:
-        level = surest(items)
-    return "".join("1" if slot[-1] != "-" and int(slot[-1]) >= level else "0" for group, *_ in items for slot in group)
+    What varies over the host's pages is main text, in the surest container that has any. A page
+    that names its article or main element is read there, even where all of its text is template.
+    """
+    top = max(levels, default=-1)
+    varying = [v for v, t in zip(levels, template) if not t]
+    if top < _NAMED:
+        top = max(varying, default=-1)
+    elif top not in varying:
+        template = [False] * len(levels)
+    return [v == top >= 0 and not t for v, t in zip(levels, template)]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's blocks, its folded stream, and each block's slot in that stream."""
+    """Each page's blocks, its folded stream, each block's slot in that stream, and a hash of all that may be main text."""
     for batch in batches:
-        streams, slots, blocks = [], [], []
+        streams, slots, blocks, seen = [], [], [], []
         for page in batch.column("html").to_pylist():
             found = text_blocks(page)
             items, places = fold([s for s, _ in found])
@@ -212,8 +226,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             streams.append(_write_items([(g, r, False) for g, r in items]))
             slots.append([first[item] + k for item, k in places])
             blocks.append([t for _, t in found])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(streams, pa.string()), pa.array(slots, pa.list_(pa.int32())), pa.array(blocks, pa.list_(pa.string()))],
-                                         names=["page_id", "url", "host", "stream", "slots", "blocks"])
+            seen.append(xxhash.xxh3_64_intdigest("\n".join(t for s, t in found if s[-1] != "-")) - (1 << 63))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(streams, pa.string()), pa.array(slots, pa.list_(pa.int32())), pa.array(blocks, pa.list_(pa.string())), pa.array(seen, pa.int64())],
+                                         names=["page_id", "url", "host", "stream", "slots", "blocks", "seen"])
 
 
 def _infer_group(group: pd.DataFrame) -> pd.DataFrame:
@@ -221,10 +236,33 @@ def _infer_group(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [order["host"].iloc[0]], "stream": [infer(list(order["stream"]))], "pages": [int(order["pages"].sum())]})
 
 
-def _flag_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _align_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The place in the host's wrapper and the certainty (-1 for never) of each slot of a stream."""
+    for batch in batches:
+        streams = batch.column("stream").to_pylist()
+        places = [aligned(s, w) for s, w in zip(streams, batch.column("wrapper").to_pylist())]
+        levels = [[-1 if slot[-1] == "-" else int(slot[-1]) for group, *_ in _read_items(s) for slot in group] for s in streams]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host_id", "stream_id", "pages")), pa.array(places, pa.list_(pa.int32())), pa.array(levels, pa.list_(pa.int32()))],
+                                         names=["host_id", "stream_id", "pages", "places", "levels"])
+
+
+def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text of a page that may be main text, once for each aligned slot."""
+    for batch in batches:
+        out = []
+        for host, seen, slots, texts, places, levels in zip(*(batch.column(c).to_pylist() for c in ("host_id", "seen", "slots", "texts", "places", "levels"))):
+            out += {(host, places[s], t, seen) for s, t in zip(slots, texts) if levels[s] >= 0 and places[s] >= 0}
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["host_id", "place", "text", "seen"])
+
+
+def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        flags = [content_groups(s, w) for s, w in zip(batch.column("stream").to_pylist(), batch.column("wrapper").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("stream"), pa.array(flags, pa.string())], names=["host", "stream", "flags"])
+        out = []
+        for blocks, texts, slots, places, levels, template in zip(*(batch.column(c).to_pylist() for c in ("blocks", "texts", "slots", "places", "levels", "template"))):
+            known = {(x["place"], x["text"]) for x in template or ()}
+            main = main_blocks([levels[s] for s in slots], [(places[s], t) in known for s, t in zip(slots, texts)])
+            out.append(" ".join(b for b, m in zip(blocks, main) if m))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
 def infer_wrappers(streams: DataFrame, merged_streams: int = MERGED_STREAMS) -> DataFrame:
@@ -243,13 +281,29 @@ def infer_wrappers(streams: DataFrame, merged_streams: int = MERGED_STREAMS) ->
             return streams.select("host", F.col("stream").alias("wrapper"))
 
 
+def template_texts(parsed: DataFrame, streams: DataFrame) -> DataFrame:
+    """(host_id, template): the texts, each with its place in the wrapper, that a host's pages share.
+
+    Pages are counted once for each distinct content. A host's texts are at most twice as many as an
+    average page has, since each is in half of the pages of its slot.
+    """
+    slots = streams.select("host_id", "pages", F.explode(F.arrays_zip("places", "levels")).alias("x")).where("x.places >= 0 and x.levels >= 0")
+    hosts = streams.groupBy("host_id").agg(F.sum("pages").alias("host_pages"))
+    slots = lookup_join(slots.groupBy("host_id", F.col("x.places").alias("place")).agg(F.sum("pages").alias("slot_pages"), F.max("x.levels").alias("level")), hosts, ["host_id"])
+    seen = lookup_join(parsed.select("stream_id", "seen", "slots", "texts"), streams.drop("pages"), ["stream_id"])
+    shared = seen.mapInArrow(_sightings, "host_id long, place int, text long, seen long").groupBy("host_id", "place", "text").agg(F.count_distinct("seen").alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
+    constant = F.when(F.col("level") < _NAMED, 2 * F.col("n") >= F.col("slot_pages")).otherwise((F.col("n") >= NAMED_TEMPLATE_PAGES) & (F.col("n") >= F.col("host_pages")))
+    return lookup_join(shared, slots, ["host_id", "place"]).where(constant).groupBy("host_id").agg(F.collect_list(F.struct("place", "text")).alias("template"))
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of ``pages`` (page_id, url, html).
 
     Every page becomes a stream of text slots; immediate repeats are folded. The distinct streams of a host
-    are aligned into one wrapper with optional and repeated groups; its slots are marked as main
-    text or not, and each page's blocks are read by the marks of its stream. Menus, headers,
-    footers, sidebars, notices, adverts, forms, scripts, styles and comments are never main text.
+    are aligned into one wrapper with optional and repeated groups. A text that the host's pages
+    repeat at the same slot of it is template, what varies is main text; the containers' names
+    decide between varying slots. Menus, headers, footers, sidebars, notices, adverts, forms,
+    scripts, styles and comments are never main text.
 
     A null html is empty and gives an empty text; a null url has no host and shares the wrapper of
     the empty one; repeated rows are extracted each; unclosed elements, cut pages and very long pages
@@ -257,9 +311,12 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][^:/?#]*://([^/?#]*)", 1)))
-    parsed = stage_table(rows.mapInArrow(_parse, "page_id long, url string, host string, stream string, slots array<int>, blocks array<string>"), "page-streams")
-    streams = stage_table(parsed.groupBy("host", "stream").agg(F.count("*").alias("pages")), "streams")
-    marked = lookup_join(streams.select("host", "stream"), infer_wrappers(streams), ["host"]).mapInArrow(_flag_streams, "host string, stream string, flags string")
-    placed = lookup_join(parsed, marked, ["host", "stream"])
-    kept = F.filter("blocks", lambda block, i: F.substring(F.col("flags"), F.get("slots", i) + 1, F.lit(1)) == "1")
-    return placed.select("page_id", "url", F.array_join(kept, " ").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    parsed = stage_table(rows.mapInArrow(_parse, "page_id long, url string, host string, stream string, slots array<int>, blocks array<string>, seen long"), "page-streams")
+    parsed = parsed.withColumns({"stream_id": F.xxhash64("host", "stream"), "texts": F.transform("blocks", lambda block: F.xxhash64(block))})
+    pages = parsed.groupBy("stream_id").agg(F.count_distinct("seen").alias("pages"))
+    streams = stage_table(lookup_join(parsed.select("host", "stream", "stream_id").distinct(), pages, ["stream_id"]), "streams")
+    placed = lookup_join(streams.withColumn("host_id", F.xxhash64("host")), infer_wrappers(streams.select("host", "stream", "pages")), ["host"])
+    placed = stage_table(placed.mapInArrow(_align_streams, "host_id long, stream_id long, pages long, places array<int>, levels array<int>"), "aligned-streams")
+    marked = lookup_join(placed, template_texts(parsed, placed), ["host_id"], "left")
+    read = lookup_join(parsed.select("page_id", "url", "slots", "blocks", "texts", "stream_id"), marked.select("stream_id", "places", "levels", "template"), ["stream_id"])
+    return read.mapInArrow(_read_pages, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))

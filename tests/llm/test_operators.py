@@ -273,6 +273,17 @@ def test_wrappers_align_optional_and_repeated_groups(spark):
     assert len(one) == 1 and all(f"s{k}|3" in one[0].wrapper for k in range(30))
 
 
+def test_texts_that_pages_without_names_repeat_are_template(spark):
+    frame = "<div><div>Site of things</div><ul><li>Home<li>News{extra}</ul></div><div><h1>Title {k}</h1>{note}<p>First of {k}<p>Second of {k}</div><div>All rights reserved</div>"
+    pages = [(k, f"http://plain/{k}", frame.format(k=k, extra="<li>Shop" if k % 2 else "", note="<p>Please log in" if k > 2 else "")) for k in range(6)]
+    pages += [(10 + k, "http://plain/5", pages[5][2]) for k in range(8)]
+    pages += [(20 + k, f"http://named/{k}", f"<div>Site</div><div>by {k}</div><article><h1>Title {k}</h1><p>Text {k}<p>Share this</article>") for k in range(10)]
+    pages += [(30, "http://named/x", "<div>other</div><article><p>Share this</article>"), (40, "http://few/1", "<div>same</div><p>one"), (41, "http://few/2", "<div>same</div><p>two")]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title {k} First of {k} Second of {k}" for k in range(6)) and all(got[10 + k] == got[5] for k in range(8))
+    assert all(got[20 + k] == f"Title {k} Text {k}" for k in range(10)) and got[30] == "Share this" and got[40] == "same one"
+
+
 def test_quality_learns_from_labels_only_and_scores_all(spark):
     rows = [(k, words(k, 80) + "." if k % 3 else " ".join(w.upper() + "!!" for w in words(k, 80).split())) for k in range(240)] + [(900, None), (901, ""), (None, "text"), (902, LONG)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string")
