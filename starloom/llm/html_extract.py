@@ -25,7 +25,7 @@ _NAMED = 2
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[-_]+")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt",
@@ -42,17 +42,30 @@ _NEVER_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertisemen
 _OUTSIDE_WORDS = {"header", "head", "top", "bottom", "side"}
 _MAIN_WORDS = {"article", "post", "entry", "story", "content", "main"}
 _KNOWN_WORDS = _NEVER_WORDS | _OUTSIDE_WORDS | _MAIN_WORDS
+# Compound names that tell of a state or a layout ("no-sidebar", "has-banner"), and nouns for a part that is named by the word before ("comment-list").
+_STATES = {"no", "not", "non", "has", "have", "with", "without", "is", "hide", "hides", "hidden", "show", "shows", "js", "supports", "enable", "enabled", "disable", "disabled"}
+_PART_NOUNS = {"area", "bar", "block", "box", "container", "inner", "item", "items", "link", "links", "list", "outer", "section", "slot", "unit", "wrap", "wrapper"}
+
+
+def _known_word(token: str) -> str:
+    """The known word that a class or id is or, as a compound, ends in; empty for others and for states."""
+    parts = [x for part in _PARTS.split(token) if not part[:1].isdigit() and (x := part.rstrip("0123456789"))]
+    if not parts or len(parts) > 1 and parts[0] in _STATES:
+        return ""
+    while len(parts) > 1 and parts[-1] in _PART_NOUNS:
+        parts.pop()
+    return parts[-1] if parts[-1] in _KNOWN_WORDS else ""
 
 
 def _role(name: str, attributes: str, level: int) -> tuple[bool, int, str]:
     """Whether an element is never main text, how surely it holds the article (3 to 0), and its label."""
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    words = {w for k in ("class", "id") for w in _WORDS.findall(found.get(k, ""))} & _KNOWN_WORDS
+    words = {w for k in ("class", "id") for token in found.get(k, "").split() if (w := _known_word(token))}
     role = found.get("role", "")
     page = name in ("html", "body")
     main = 3 if name == "article" or role == "article" else 2 if name == "main" or role == "main" else 1 if words & _MAIN_WORDS and not page else 0
     outside = name == "header" or bool(words & _OUTSIDE_WORDS and not words & _MAIN_WORDS)
-    never = name in _NEVER or role in _NEVER_ROLES or (not page and bool(words & _NEVER_WORDS)) or (outside and not level and not page)
+    never = name in _NEVER or role in _NEVER_ROLES or (not page and not main and bool(words & _NEVER_WORDS)) or (outside and not level and not page)
     return never, max(level, main), ".".join([name, *sorted(words)])
 
 

@@ -284,6 +284,13 @@ def test_texts_that_pages_without_names_repeat_are_template(spark):
     assert all(got[20 + k] == f"Title {k} Text {k}" for k in range(10)) and got[30] == "Share this" and got[40] == "same one"
 
 
+@pytest.mark.parametrize("start,end", [("<article class='post comments-open'>", "</article>"), ("<div id='content' class='no-sidebar'>", "</div>"), ("<main class='has-banner'>", "</main>"),
+                                       ("<div class='entry-content share'>", "</div>"), ("<div class='with-footer'>", "</div>"), ("<div class='post-123 has_ads'>", "</div>"), ("<article id=related>", "</article>")])
+def test_names_of_states_do_not_hide_the_text(start, end):
+    found = html_extract.text_blocks(f"<div class='site-footer'>foot</div><ul class='nav-links'><li>link</ul><div id='sidebar2'>side</div><div class='ad-300x250'>ad</div>{start}<p>text</p><div class='comment-list'>no</div><div class='cookie_notice'>no</div>{end}")
+    assert [t for s, t in found if s[-1] != "-"] == ["text"]
+
+
 def test_quality_learns_from_labels_only_and_scores_all(spark):
     rows = [(k, words(k, 80) + "." if k % 3 else " ".join(w.upper() + "!!" for w in words(k, 80).split())) for k in range(240)] + [(900, None), (901, ""), (None, "text"), (902, LONG)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string")
