@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,6 +39,15 @@ def _unit(table, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out / np.linalg.norm(out, axis=1, keepdims=True), sizes
 
 
+def nearest_pivots(pivots: int) -> int:
+    """How many nearest reference points describe a vector: NEAREST up to 64 pivots, 0.6 more with each doubling.
+
+    The more pivots there are, the fewer of its nearest two vectors at the threshold share; with a
+    fixed number their recall would fall as the table grows.
+    """
+    return NEAREST + max(0, round(0.6 * math.log2(max(1, pivots) / 64)))
+
+
 def choose_pivots(vectors: DataFrame, width: int, rows: int, count: int | None = None) -> np.ndarray:
     """Reference points: the vectors of the smallest key hashes, 2 * sqrt(rows) of them.
 
@@ -124,11 +134,11 @@ def _verify(width: int, threshold: float):
 
 
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD,
-                           nearest: int = NEAREST, pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                           nearest: int | None = None, pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``df``'s ids with n_links, component_id and kept; cosine >= ``threshold`` in double precision links two rows.
 
     Equal vectors form one class, compared once. Each class is described by its ``nearest``
-    reference points; two of them shared make a candidate, retrieved from the inverted list of that
+    reference points (by default more of them the more there are); two of them shared make a candidate, retrieved from the inverted list of that
     pair of pivots. Long lists are cut into blocks and all pairs of blocks compared, so no list has
     a cap. Candidates are verified exactly; what can be missed is a pair that shares fewer than two
     pivots (recall is measured in the tests).
@@ -146,7 +156,7 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     spread = max(1, classes.sparkSession.sparkContext.defaultParallelism)
     source = classes.select("rep", "copies", "vector")
     described = stage_table(source.repartition(spread) if source.rdd.getNumPartitions() < spread else source, "vector-input").mapInArrow(
-        _describe(points, nearest), f"rep long, copies long, vector {dict(classes.dtypes)['vector']}, permutation array<int>, lists array<long>")
+        _describe(points, nearest or nearest_pivots(len(points))), f"rep long, copies long, vector {dict(classes.dtypes)['vector']}, permutation array<int>, lists array<long>")
     described = stage_table(described, "pivot-index")
     members = described.select("rep", "copies", "vector", "permutation", F.explode("lists").alias("key"))
     found = stage_table(paired_blocks(members, "rep", block_rows).mapInArrow(_verify(width or 1, threshold), "rep long, links long, edge long"), "vector-links")

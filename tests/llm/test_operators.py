@@ -8,6 +8,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -97,6 +99,17 @@ def test_vectors_against_brute_force(spark, block):
     assert got[500].component_id == 0 and not got[500].kept and got[None].kept and got[None].component_id is None
 
 
+@pytest.mark.parametrize("pivots", [200, 2000, 6324])
+def test_pairs_at_the_threshold_share_a_list_whatever_the_number_of_pivots(pivots):
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    points, a, b = unit(rng.normal(size=(pivots, 64))), unit(rng.normal(size=(500, 64))), rng.normal(size=(500, 64))
+    b = 0.9 * a + math.sqrt(0.19) * unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([1] * 1000), pa.array([*a, *b], pa.list_(pa.float64()))], names=["rep", "copies", "vector"])
+    lists = [set(x) for out in embedding_dedup._describe(points, embedding_dedup.nearest_pivots(pivots))([rows]) for x in out.column("lists").to_pylist()]
+    assert sum(bool(x & y) for x, y in zip(lists[:500], lists[500:])) >= 0.96 * 500
+
+
 def test_vectors_of_an_empty_table(spark):
     assert embedding_dedup.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
