@@ -9,8 +9,8 @@ from starloom.catalog.views import PREDICTIONS_SQL, RATED_DOCUMENTS_SQL, predict
 from starloom.operators import neighbors, sampling
 from starloom.plans.session import cut_lineage
 
-# Most of the 64 cells: these vectors have no clusters, so near rows lie in many cells.
-PROBES = 48
+# The share of the rows that a query meets: these vectors have no clusters, so near rows lie in many cells.
+PROBES = 0.75
 
 
 def _hash_sql(key, seed=1):

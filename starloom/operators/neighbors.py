@@ -7,8 +7,10 @@ third of the rows is spread over many tasks, and a task returns at most k rows (
 per label) per query instead of all pairs. Results are exact.
 
 Where vectors have no clusters the bounds rule out few cells and the exact search meets most
-pairs. ``probes`` is the way for that: a query visits its nearest cells only. With 2 sqrt(n)
-cells it meets in the order of probes * sqrt(n) rows instead of n, and distances stay exact.
+pairs. ``probes`` is the way for that: a query visits its nearest cells only, and distances stay
+exact. A whole number is a number of cells: with 2 sqrt(n) cells a query meets in the order of
+probes * sqrt(n) rows instead of n, and recall falls as the table grows. A fraction is a share of
+the rows: nearest cells are visited until they hold it, which keeps recall as the table grows.
 """
 
 from __future__ import annotations
@@ -93,10 +95,10 @@ def _build(base: DataFrame, k: int, far: bool, pivots: int | None) -> tuple[Data
     return assigned, _Cells(points, _distances(points, points), stats)
 
 
-def _route(queries: DataFrame, cells: _Cells, k: int, mode: str, radius: float, probes: int | None = None) -> DataFrame:
+def _route(queries: DataFrame, cells: _Cells, k: int, mode: str, radius: float, probes: int | float | None = None) -> DataFrame:
     """Send each query to the cells that can hold an answer, or to its ``probes`` nearest ones.
 
-    With ``probes`` further cells are visited until the visited ones hold k rows.
+    A float in ``probes`` is the share of the (group's) rows that the nearest cells must hold. With ``probes`` further cells are visited until the visited ones hold k rows.
     """
     step = max(1, _ROUTED_VALUES // max(1, len(cells.pivots) * max(1, k)))
 
@@ -120,8 +122,10 @@ def _route(queries: DataFrame, cells: _Cells, k: int, mode: str, radius: float,
                 d = every[:, members]
                 if probes is not None:
                     order = d.argsort(axis=1, kind="stable")
-                    held = np.array([i[0] for i in info])[order].cumsum(axis=1)
-                    visited = (np.arange(len(members)) < probes) | (held - np.array([i[0] for i in info])[order] < k)
+                    sizes = np.array([i[0] for i in info])
+                    before = sizes[order].cumsum(axis=1) - sizes[order]
+                    enough = before < probes * sizes.sum() if isinstance(probes, float) else np.arange(len(members)) < probes
+                    visited = enough | (before < k)
                     rows, places = np.nonzero(visited)
                     yield pd.DataFrame({"id": part["id"].to_numpy()[rows], "v": part["v"].to_numpy()[rows], "g": np.int32(g),
                                         "cell": np.array(members, dtype="int32")[order[rows, places]]})
@@ -172,7 +176,7 @@ _CHUNK = 512
 
 
 def _search(queries: DataFrame, base: DataFrame, k: int, mode: str, radius: float, exclude_self: bool, pivots: int | None,
-            probes: int | None = None) -> DataFrame:
+            probes: int | float | None = None) -> DataFrame:
     kind = _key_type(queries, "id")
     keys = {"id": "int64"} if kind == "bigint" else {}
     assigned, cells = _build(base, k + int(exclude_self), mode == "far", pivots)
@@ -225,11 +229,12 @@ def _search(queries: DataFrame, base: DataFrame, k: int, mode: str, radius: floa
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str, vec: str, k: int, group: str | None = None, label: str | None = None,
-            exclude_self: bool = False, pivots: int | None = None, probes: int | None = None) -> DataFrame:
+            exclude_self: bool = False, pivots: int | None = None, probes: int | float | None = None) -> DataFrame:
     """The ``k`` nearest base rows of each query: (id, neighbor, label, distance, rank).
 
     With ``group`` only rows of the same group are neighbours. Ties go to the smaller key. With
-    ``probes`` the search is approximate: only rows in the nearest cells are met.
+    ``probes`` the search is approximate: only rows in so many nearest cells are met, or, with a
+    float, in those that hold this share of the rows.
     """
     return _search(_prepare(queries, key, vec, group, None), _prepare(base, key, vec, group, label), k, "near", 0.0, exclude_self, pivots, probes)
 
@@ -251,7 +256,7 @@ def majority(votes: DataFrame) -> DataFrame:
 
 
 def knn_classify(queries: DataFrame, base: DataFrame, key: str, vec: str, label: str, k: int = 5, exclude_self: bool = False,
-                 probes: int | None = None) -> DataFrame:
+                 probes: int | float | None = None) -> DataFrame:
     """k-nearest-neighbour class of each query."""
     found = nearest(queries, base, key, vec, k, label=label, exclude_self=exclude_self, probes=probes)
     return majority(found.groupBy("id", "label").agg(F.count("*").alias("n")))

@@ -112,3 +112,8 @@ def test_splits(points):
     assert sampling.systematic_sample(df, ["id"], 0).count() == 300
     counts = sampling.sample_per_class(df, "id", "label", 5).groupBy("label").agg(F.count("*").alias("n")).collect()
     assert {r.n for r in counts} == {5}
+
+
+def test_a_share_of_the_rows_keeps_recall_on_a_larger_table(spark):
+    from starloom.catalog.sampling_queries import approximate_neighbors
+    assert [tuple(r) for r in approximate_neighbors(spark, "/root/testdata/sf0.1").collect()] == [(2000, 5, True)]
