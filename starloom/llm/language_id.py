@@ -158,13 +158,17 @@ def identify_languages(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
 def _known_only(model: KernelModel | None, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, _ = predict(model, batch.column(column).to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+            texts = batch.column(column).to_pylist()
+            known = [presence(t) is not None for t in texts] if model is None else [n != UNKNOWN for n in predict(model, texts)[0]]
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     return run
 
 
 def keep_known_languages(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the documents that no language is found for, with all their columns."""
+    """``docs`` without the documents that are ``und``, having no letter, with all their columns.
+
+    Where there is nothing to learn from, documents with letters stay as well.
+    """
     model = train(docs.where(~F.coalesce(held_out, F.lit(False))), id_col, text_col, lang_col)
     return docs.mapInArrow(_known_only(model, text_col), docs.schema)

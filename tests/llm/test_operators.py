@@ -340,6 +340,11 @@ def test_languages_of_held_out_and_odd_rows(spark, odd):
     assert {r.lang_pred for r in nothing.collect()} == {"und"} and language_id.identify_languages(df.limit(0), F.lit(False)).count() == 0
 
 
+def test_documents_with_letters_stay_where_no_language_can_be_learnt(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "été", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language_id.keep_known_languages(docs, F.lit(False)).collect()) == [1, 4]
+
+
 def test_folded_product_equals_the_way_by_landmarks():
     texts = [words(k, 30) if k % 2 else words(k, 30).replace("a", "ö") for k in range(40)]
     rows = np.stack([language_id.presence(t) for t in texts])
