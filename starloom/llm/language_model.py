@@ -87,7 +87,7 @@ def _pieces(level: int, columns: list[np.ndarray], counts: np.ndarray, shards: i
                 contexts, runs = own[starts], np.diff(np.append(starts, len(own))).astype(np.uint32)
             lower = b"".join(c[rows].tobytes() for c in columns[2:])
             yield {"level": level, "shard": shard, "contexts": contexts.tobytes(), "runs": runs.tobytes(), "words": _pack_words(columns[1][rows]),
-                   "lower": lower, "counts": counts[rows].astype(np.uint32).tobytes()}
+                   "lower": lower, "counts": _narrow(counts[rows]).tobytes()}
 
 
 def _read_pieces(level: int, pieces: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
@@ -97,7 +97,7 @@ def _read_pieces(level: int, pieces: pd.DataFrame) -> tuple[list[np.ndarray], np
         words = _unpack_words(p.words)
         contexts = np.repeat(np.frombuffer(p.contexts, np.uint64), np.frombuffer(p.runs, np.uint32)) if level > 1 else np.zeros(len(words), np.uint64)
         lower = np.frombuffer(p.lower, np.uint64).reshape(-1, len(words)) if len(p.lower) else np.zeros((0, len(words)), np.uint64)
-        parts.append(([contexts, words, *lower], np.frombuffer(p.counts, np.uint32).astype(np.int64)))
+        parts.append(([contexts, words, *lower], np.frombuffer(p.counts, np.uint32 if len(p.counts) == 4 * len(words) else np.int64).astype(np.int64)))
     return _grouped([np.concatenate(c) for c in zip(*(x[0] for x in parts))], np.concatenate([x[1] for x in parts]))
 
 

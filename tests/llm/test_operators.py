@@ -205,6 +205,13 @@ def test_language_model_against_the_definition(spark, order, monkeypatch):
         assert r.score == pytest.approx(score(w), rel=1e-9)
 
 
+def test_counts_over_four_bytes_stay_whole():
+    words, counts = np.array([5, 9], np.uint64), np.array([(1 << 32) + 7, 3])
+    pieces = pd.DataFrame(list(language_model._pieces(1, [words, words], counts, 1)) * 2)
+    (_, again), total = language_model._read_pieces(1, pieces)
+    assert again.tolist() == [5, 9] and total.tolist() == [(1 << 33) + 14, 6]
+
+
 def test_language_model_without_rows_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == 0 for r in language_model.score_documents(df, F.lit(True)).collect())
