@@ -3,101 +3,34 @@
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
+from starloom.llm.tokens import BatchEncoder, ChunkEncoder, default_vocabulary  # noqa: F401
 from starloom.plans.session import stage_table
 
 SEQUENCE_TOKENS = 4096
 END_ID = 2
-_CACHED_CHUNKS = 200_000
-_SETTLED = "\u0250"
-# The words of the vocabulary's own pattern, over characters below _SETTLED.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
 _TOKENS = "part int, before long, id long, length long, ids binary"
 _PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _byte_signs() -> dict[int, str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
-
-
-_BYTE_SIGNS = _byte_signs()
-
-
-def default_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-class ChunkEncoder(dict):
-    """Token ids of chunks between blanks. Two generations of chunks are remembered: when the younger
-    is full it becomes the older, and what is asked for again moves on.
-
-    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its
-    chunks in order. A chunk of letters and signs below U+0250, whose normal form and classes are
-    settled, is cut into the vocabulary's words here and each new word goes to the tokenizer's
-    model; every other chunk goes to the whole tokenizer.
-    """
-
-    def __init__(self, vocabulary: str | None, end_id: int):
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(vocabulary or default_vocabulary())
-        self.model, self.words, self.older, self.older_words = self.tokenizer.model, {}, {}, {}
-        self.code = "H" if max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "I"
-        self.end = array(self.code, [end_id]).tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.older.get(chunk)
-        if found is None:
-            if not chunk.isascii() and (max(chunk) >= _SETTLED or "\u0130" in chunk) or "<|" in chunk:
-                found = array(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-            elif chunk.isalpha():
-                found = self._word(chunk.lower())
-            else:
-                found = b"".join(map(self._word, _WORDS.findall(chunk.lower())))
-        if len(self) >= _CACHED_CHUNKS:
-            self.older = dict(self)
-            self.clear()
-        self[chunk] = found
-        return found
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word) or self.older_words.get(word)
-        if found is None:
-            signs = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)
-            found = array(self.code, [t.id for t in self.model.tokenize(signs)]).tobytes()
-            if len(self.words) >= _CACHED_CHUNKS:
-                self.older_words, self.words = self.words, {}
-            self.words[word] = found
-        return found
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" "))) + self.end
-
-
 def _tokenise(vocabulary: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = ChunkEncoder(vocabulary, end_id), TaskContext.get().partitionId(), 0
+        encoder, part, before = BatchEncoder(vocabulary, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [encoder.encode(t.as_py()) for t in batch.column("text")]
-            lengths = np.array([len(x) // len(encoder.end) for x in ids], np.int64)
-            places = before + np.cumsum(lengths) - lengths
-            before += int(lengths.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(places), batch.column("id"), pa.array(lengths), pa.array(ids, pa.binary())],
+            ids, lengths = encoder.encode(batch.column("text"))
+            ends = np.cumsum(lengths)
+            borders = (np.append(0, ends) * ids.itemsize).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(borders), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lengths), part, np.int32)), pa.array(before + ends - lengths), batch.column("id"), pa.array(lengths), packed],
                                              names=["part", "before", "id", "length", "ids"])
+            before += int(lengths.sum())
 
     return run
 

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.batches import prepare
+from starloom.llm.best_fit import pack_best_fit
 from starloom.llm.decontaminate import contaminated_documents
 from starloom.llm.embedding_dedup import near_duplicate_vectors
+from starloom.llm.hard_negatives import hard_negatives
 from starloom.llm.html_extract import extract_main_text
 from starloom.llm.language_id import identify_languages
 from starloom.llm.language_model import score_documents
@@ -19,6 +21,7 @@ from starloom.llm.minhash import near_duplicate_documents
 from starloom.llm.packing import pack_documents
 from starloom.llm.quality import score_quality
 from starloom.llm.warc import round_trip
+from starloom.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,3 +130,30 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_language_id")
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify_languages(table(spark, folder, "documents"), fold_of(5, 0))
+
+
+@query("op11_whitening")
+def whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
+@query("op12_hard_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT alike AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY rank <= 10""")
+def hard_negative_mining(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved))
+
+
+@query("op13_best_fit")
+def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_best_fit(table(spark, folder, "documents"))

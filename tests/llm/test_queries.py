@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_numbered_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_equals_a_plain_reading(spark):
