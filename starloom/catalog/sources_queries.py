@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from starloom.catalog.registry import query, table
 from starloom.catalog.views import rated_documents
 from starloom.plans.session import fresh_path
+from starloom.sources import ranges
 from starloom.sources import tables as src
 
 _LINE_SCHEMA = T.StructType([
@@ -149,3 +150,28 @@ def feature_set(spark, folder):
 def line_range(spark, folder):
     return src.line_range(table(spark, folder, "events").select("event_id", "event_type", "ts"),
                           ["ts", "event_id"], 100, 1100).drop("ts")
+
+
+_EVENT_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType())])
+
+
+def _event_file(spark, folder):
+    """Events as tab-separated files in the order of time, with a header each."""
+    path = fresh_path(spark, "event-lines")
+    ordered = table(spark, folder, "events").select("ts", "event_id", "event_type").repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id")
+    ordered.drop("ts").write.option("sep", "\t").option("quote", "").option("header", True).csv(path)
+    return path
+
+
+@query("s1_sampled_lines", """
+    SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS i FROM events) WHERE i % 90 = 0""")
+def sampled_lines(spark, folder):
+    return src.convert_tsv(spark, _event_file(spark, folder), fresh_path(spark, "sampled"), _EVENT_SCHEMA, rate=90, across=True)
+
+
+@query("s9_file_lines", """
+    SELECT event_id, event_type, line_no FROM (
+      SELECT event_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS line_no FROM events)
+    WHERE line_no BETWEEN 100 AND 1100""")
+def file_lines(spark, folder):
+    return ranges.file_line_range(src.read_tsv(spark, _event_file(spark, folder), _EVENT_SCHEMA), 100, 1100, across=True)

@@ -61,6 +61,22 @@ def word_deciles(spark, folder):
     return _r6(stats.exact_quantiles(_words(spark, folder), "words", _DECILES + [0.95, 0.99]), "probability", "quantile")
 
 
+@query("a4_value_quantiles", """
+    SELECT CAST(d.p AS DOUBLE) AS probability, l_returnflag, round(q[d.i], 6) AS quantile FROM
+      (SELECT l_returnflag, quantile_cont(l_extendedprice, [0.0, 0.01, 0.5, 0.999, 1.0]) AS q FROM lineitem GROUP BY l_returnflag),
+      (VALUES (1, 0.0), (2, 0.01), (3, 0.5), (4, 0.999), (5, 1.0)) d(i, p)""")
+def value_quantiles(spark, folder):
+    found = stats.exact_quantiles(table(spark, folder, "lineitem"), "l_extendedprice", [0.0, 0.01, 0.5, 0.999, 1.0], ["l_returnflag"])
+    return _r6(found, "quantile")
+
+
+@query("a7_describe_values", """
+    SELECT event_type, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q25,
+           round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, round(max(value), 6) AS max FROM events GROUP BY event_type""")
+def describe_values(spark, folder):
+    return _r6(stats.describe(table(spark, folder, "events"), "value", ["event_type"]), "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
 @query("a4_approximate_quantiles", """
     SELECT CAST(p AS DOUBLE) AS probability, count(*) AS n, true AS a_value_of_the_table, true AS rank_within_error
     FROM lineitem, (SELECT unnest([0.25, 0.5, 0.75]) AS p) GROUP BY p""")

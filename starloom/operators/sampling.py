@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from starloom.functions.hashing import key_fraction, key_hash
 from starloom.operators.neighbors import farthest, nearest
-from starloom.plans.ranking import number_rows, rank_within
+from starloom.plans.ranking import first_rows, number_rows, rank_within
 from starloom.plans.session import cut_lineage
 from starloom.plans.sizing import lookup_join
 from starloom.sources.tables import sample_rule
@@ -31,7 +31,7 @@ def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 1) -> Data
 
 def exact_sample(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
     """Repeatable sample of exactly ``n`` rows."""
-    return number_rows(df, [key_hash(key, seed), F.col(key)], "__r").where(F.col("__r") <= n).drop("__r")
+    return first_rows(df, [key_hash(key, seed), F.col(key)], n)
 
 
 def train_test_split(df: DataFrame, key: str, train: float = 0.75, seed: int = 1) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.plans.ranking import number_rows, rank_within
+from starloom.plans.selection import group_quantiles
 from starloom.plans.session import cut_lineage
 from starloom.plans.sizing import lookup_join
 
@@ -59,17 +60,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("freq"))
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
-    """Linear-interpolated quantiles, one row per probability.
-
-    Values are pre-counted with a shuffle, so the percentile buffer holds distinct values
-    only; suited to integer measures (sizes, word counts, votes).
-    """
-    weighted = value_counts(df, column)
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    row = weighted.agg(F.percentile("value", wanted, F.col("freq")).alias("q"))
-    return row.select(F.explode(F.arrays_zip(wanted.alias("probability"), F.col("q").alias("quantile"))).alias("z")).select(
-        F.col("z.probability"), F.col("z.quantile"))
+def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Linear-interpolated quantiles of any measure, one row per (group and) probability."""
+    return group_quantiles(df, column, probabilities, keys).select(*keys, "probability", "quantile")
 
 
 def approximate_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], accuracy: int = 10000) -> DataFrame:
@@ -102,8 +95,8 @@ def quantile_bins(df: DataFrame, column: str, probabilities: Sequence[float], na
 
     The edges are one row; they reach the rows as a scalar subquery.
     """
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    edges = value_counts(df, column).agg(F.percentile("value", wanted, F.col("freq"))).scalar()
+    found = exact_quantiles(df, column, sorted(probabilities))
+    edges = found.agg(F.array_sort(F.collect_list("quantile"))).scalar()  # one entry per probability
     position = sum((F.get("__edges", F.lit(i)) < F.col(column)).cast("long") for i in range(len(probabilities)))
     placed = df.withColumn("__edges", edges).withColumn("__bin", position)
     inside = (F.col("__bin") >= 1) & (F.col("__bin") < len(probabilities))
@@ -111,21 +104,14 @@ def quantile_bins(df: DataFrame, column: str, probabilities: Sequence[float], na
 
 
 def describe(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
-    """count, mean, std, min, quartiles and max of a discrete measure, optionally per group."""
-    grouped = df.groupBy(*keys, F.col(column).alias("__v")).agg(F.count(column).alias("__f"))
-    v, f = F.col("__v"), F.col("__f")
-    total, weighted = F.sum(f), F.sum(v.cast("double") * f)
-    spread = df.groupBy(*keys).agg(F.stddev_samp(column).alias("std"))
-    quartile = F.percentile("__v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), f)
-    out = grouped.groupBy(*keys).agg(
-        total.alias("count"), (weighted / total).alias("mean"),
-        F.min(v).cast("double").alias("min"), quartile.alias("__q"), F.max(v).cast("double").alias("max"))
-    if keys:
-        out = out.join(spread.select(*[F.col(k).alias(f"__{k}") for k in keys], "std"), reduce(and_, [out[k].eqNullSafe(F.col(f"__{k}")) for k in keys]))
-    else:
-        out = out.withColumn("std", spread.scalar())
-    return out.select(*keys, "count", "mean", "std", "min", F.col("__q")[0].alias("q25"), F.col("__q")[1].alias("q50"),
-                      F.col("__q")[2].alias("q75"), "max")
+    """count, mean, std, min, quartiles and max of a measure, optionally per group; all but count are null without values."""
+    v = F.col(column)
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    found = group_quantiles(df.select(group.alias("__group"), v), column, [0.25, 0.5, 0.75], ["__group"])
+    quartiles = found.groupBy("__group").agg(*[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(name) for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
+    out = df.groupBy(group.alias("__group")).agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"))
+    return out.join(quartiles, "__group", "left").select(*[F.col("__group")[k].alias(k) for k in keys], "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def date_part_counts(df: DataFrame, date: str) -> DataFrame:

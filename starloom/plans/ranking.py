@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from starloom.plans.session import cut_lineage
 from starloom.plans.sizing import lookup_join
 
+HEAD_ROWS = 100_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row offset in the low 33 bits
 
 
@@ -58,6 +59,17 @@ def rank_within(df: DataFrame, group: str, order: Sequence[Column | str], name:
     return lookup_join(numbered, groups, [group]).select(*keep, *extra)
 
 
+def first_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
+    """The first ``n`` rows along ``order`` (a total order), in any order.
+
+    Up to HEAD_ROWS every task keeps its own first ``n`` and one merges these; more are cut off a
+    range-partitioned sort by the global number.
+    """
+    if n <= HEAD_ROWS:
+        return df.orderBy(*order).limit(n)
+    return number_rows(df, order, "__place").where(F.col("__place") <= n).drop("__place")
+
+
 def top_rows(df: DataFrame, order: Sequence[Column | str], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows along ``order`` with their rank (a bounded top-k report)."""
     head = df.orderBy(*order).limit(k)

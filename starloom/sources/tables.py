@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starloom.plans.ranking import number_rows
+from starloom.plans.ranking import first_rows, number_rows
+from starloom.sources.ranges import read_quoted_csv, sample_file_rows
 
 RAW_REVIEW_SCHEMA = T.StructType([
     T.StructField("marketplace", T.StringType()), T.StructField("customer_id", T.LongType()),
@@ -32,10 +33,12 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType = RAW_REVIEW_S
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = CLEAN_REVIEW_SCHEMA, multi_line: bool = True) -> DataFrame:
     """Comma-separated records with doubled quotes; fields may hold line breaks.
 
-    A file with line breaks in fields is one task; ``multi_line=False`` splits files that have none.
+    Files are split all the same: see ``read_quoted_csv``. ``multi_line=False`` spares the second scan of files that have none.
     """
+    if multi_line:
+        return read_quoted_csv(spark, path, schema)
     return (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", multi_line).option("dateFormat", "yyyy-MM-dd").csv(path))
+            .option("dateFormat", "yyyy-MM-dd").csv(path))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -49,12 +52,17 @@ def sample_rule(index: Column, rate: int) -> Column:
     return F.lit(True) if rate == 0 else F.pmod(index, F.lit(rate)) == 0
 
 
-def convert_tsv(spark: SparkSession, source: str, target: str, schema: T.StructType = RAW_REVIEW_SCHEMA,
-                rate: int = 0, order: list[str] | None = None, fmt: str = "parquet") -> DataFrame:
-    """Convert tab-separated reviews to Parquet or CSV, optionally keeping every rate-th row."""
+def convert_tsv(spark: SparkSession, source: str, target: str, schema: T.StructType = RAW_REVIEW_SCHEMA, rate: int = 0,
+                order: list[str] | None = None, fmt: str = "parquet", across: bool = False) -> DataFrame:
+    """Convert tab-separated reviews to Parquet or CSV, optionally keeping the data lines rate, 2 rate, ... of each file.
+
+    ``across`` counts on over all files, by path; ``order`` counts along columns instead of lines.
+    """
     rows = read_tsv(spark, source, schema)
-    if rate:
-        rows = number_rows(rows, order or schema.names, "__index").where(sample_rule(F.col("__index"), rate)).drop("__index")
+    if rate and order:
+        rows = number_rows(rows, order, "__index").where(sample_rule(F.col("__index"), rate)).drop("__index")
+    elif rate:
+        rows = sample_file_rows(rows, rate, across)
     if fmt == "csv":
         write_csv(rows, target)
         return read_csv(spark, target, schema)
@@ -123,5 +131,5 @@ def write_features(features: DataFrame, folder: str, name: str, rating: str = "s
 
 
 def line_range(df: DataFrame, order: list[str], first: int, last: int, name: str = "line_no") -> DataFrame:
-    """Rows ``first`` to ``last`` (1-based, inclusive) along ``order``."""
-    return number_rows(df, order, name).where(F.col(name).between(first, last))
+    """Rows ``first`` to ``last`` (1-based, inclusive) along ``order``; only the first ``last`` rows are brought into order."""
+    return number_rows(first_rows(df, order, last), order, name).where(F.col(name).between(first, last))
