@@ -151,8 +151,8 @@ def _missing_sql(low, high):
 
 @query("f13_missing_by_size", " UNION ALL ".join(_missing_sql(*r) for r in ((1, 1), (2, 2), (3, 3), (1, 3))))
 def missing_by_size(spark, folder):
-    grams = {f"{low}-{high}": ft.gram_array("text", low, high) for low, high in ((1, 1), (2, 2), (3, 3), (1, 3))}
-    return ft.missing_by_size(_docs(spark, folder), "doc_id", grams, _SIZES).withColumn("share", F.round("share", 6))
+    grams = {f"{n}-{n}": ft.gram_array("text", n, n) for n in (1, 2, 3)}
+    return ft.missing_by_size(_docs(spark, folder), "doc_id", grams, _SIZES, unions={"1-3": list(grams)}).withColumn("share", F.round("share", 6))
 
 
 @query("f14_top_and_bottom_grams", f"""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions import text as tx
-from starloom.operators.stats import top_per_group
 from starloom.plans.ranking import number_rows, top_rows
 from starloom.plans.session import cut_lineage
 from starloom.plans.sizing import lookup_join, materialized
@@ -146,34 +146,26 @@ def ranked_terms(df: DataFrame, grams: Column, limit: int) -> DataFrame:
     return top_rows(term_statistics(df, grams), [F.desc("tf"), "term"], limit, "rank")
 
 
-def best_rank(df: DataFrame, key: str, grams: Column, limit: int) -> DataFrame:
-    """Per row the rank of its most frequent vocabulary term; null when none is ranked."""
-    ranks = ranked_terms(df, grams, limit).select("term", "rank")
-    found = lookup_join(df.select(key, F.explode(F.array_distinct(grams)).alias("term")), ranks, ["term"]).groupBy(key).agg(
-        F.min("rank").alias("best_rank"))
-    return df.join(found, key, "left")
-
-
-def missing_by_size(df: DataFrame, key: str, grams: Mapping[str, Column], sizes: Sequence[int]) -> DataFrame:
+def missing_by_size(df: DataFrame, key: str, grams: Mapping[str, Column], sizes: Sequence[int], unions: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Rows without any feature for every vocabulary size and every kind of n-gram.
 
-    Texts are tokenised once into (key, kind, term, tf) cells; each kind's terms are ranked and each
-    row's best rank answers all sizes.
+    ``unions`` names further vocabularies, each over several kinds whose terms differ. Terms are
+    counted map-side and only their sums shuffled; the most frequent ones reach the rows as a
+    measured lookup, and a row's best rank answers all sizes.
     """
     def named(kind: str, terms: Column) -> Column:
         return F.transform(terms, lambda t: F.struct(F.lit(kind).alias("grams"), t.alias("term")))
 
-    tagged = F.concat(*[named(kind, terms) for kind, terms in grams.items()])
-    cells = cut_lineage(df.select(key, F.inline(tagged)).groupBy(key, "grams", "term").agg(F.count("*").alias("tf")))
-    terms = cells.groupBy("grams", "term").agg(F.sum("tf").alias("tf"))
-    ranks = top_per_group(terms, ["grams"], [F.desc("tf"), F.asc("term")], max(sizes)).select("grams", "term", "rank")
-    best = lookup_join(cells.select(key, "grams", "term"), ranks, ["grams", "term"]).groupBy(key, "grams").agg(F.min("rank").alias("__r"))
-    total = df.agg(F.count("*")).scalar()
-    kinds = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in grams])).alias("grams"))  # one row per kind
-    found = best.groupBy("grams").agg(*[F.count_if(F.col("__r") <= s).alias(f"m{s}") for s in sizes])
-    missing = [(F.lit(s).cast("long").alias("max_features"), (F.col("__total") - F.coalesce(f"m{s}", F.lit(0))).alias("rows_without_features")) for s in sizes]
-    rows = F.array(*[F.struct(size, count, (count / F.col("__total")).alias("share")) for size, count in missing])
-    return kinds.join(found, "grams", "left").withColumn("__total", total).select("grams", F.inline(rows))
+    names = {kind: [kind] for kind in grams} | dict(unions or {})
+    cells = df.select(key, F.inline(F.concat(*[named(kind, terms) for kind, terms in grams.items()])))
+    terms = cut_lineage(cells.groupBy("grams", "term").agg(F.count("*").alias("tf")))
+    ranks = reduce(DataFrame.unionByName, [
+        top_rows(terms.where(F.col("grams").isin(*kinds)), [F.desc("tf"), "term", "grams"], max(sizes)).select("grams", "term", F.lit(name).alias("name"), "rank")
+        for name, kinds in names.items()])
+    best = lookup_join(cells, ranks, ["grams", "term"]).groupBy(key).agg(*[F.min(F.when(F.col("name") == name, F.col("rank"))).alias(f"__{i}") for i, name in enumerate(names)])
+    found = best.agg(*[F.count_if(F.col(f"__{i}") <= s).alias(f"__{i}_{s}") for i in range(len(names)) for s in sizes]).withColumn("__total", df.agg(F.count("*")).scalar())
+    missing = [(F.lit(name).alias("grams"), F.lit(s).cast("long").alias("max_features"), (F.col("__total") - F.col(f"__{i}_{s}")).alias("rows_without_features")) for i, name in enumerate(names) for s in sizes]
+    return found.select(F.inline(F.array(*[F.struct(name, size, count, (count / F.col("__total")).alias("share")) for name, size, count in missing])))
 
 
 def gram_lengths(terms: DataFrame) -> DataFrame:

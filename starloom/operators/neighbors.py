@@ -256,9 +256,19 @@ def majority(votes: DataFrame) -> DataFrame:
 
 
 def knn_classify(queries: DataFrame, base: DataFrame, key: str, vec: str, label: str, k: int = 5, exclude_self: bool = False,
-                 probes: int | float | None = None) -> DataFrame:
-    """k-nearest-neighbour class of each query."""
-    found = nearest(queries, base, key, vec, k, label=label, exclude_self=exclude_self, probes=probes)
+                 probes: int | float | None = None, graph: bool = False) -> DataFrame:
+    """k-nearest-neighbour class of each query; ``graph`` asks the neighbour graph, also for sparse ML vectors.
+
+    With ``graph`` and ``exclude_self`` the queries must be rows of the base.
+    """
+    if graph:
+        from starloom.operators.neighbor_graph import graph_nearest
+
+        found = graph_nearest(base, key, vec, k, None if exclude_self else queries, label=label)
+        if exclude_self:
+            found = found.join(queries.select(F.col(key).alias("id")), "id", "left_semi")
+    else:
+        found = nearest(queries, base, key, vec, k, label=label, exclude_self=exclude_self, probes=probes)
     return majority(found.groupBy("id", "label").agg(F.count("*").alias("n")))
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.functions.hashing import key_fraction, key_hash
+from starloom.operators.neighbor_graph import graph_nearest
 from starloom.operators.neighbors import farthest, nearest
 from starloom.plans.ranking import first_rows, number_rows, rank_within
 from starloom.plans.session import cut_lineage
@@ -110,29 +112,37 @@ def _generated(df: DataFrame, key: str, label: str, quota: DataFrame, seed: int)
     return ranked.select(F.col(key).alias("id"), label, times.alias("__times")).where(F.col("__times") > 0)
 
 
+def _array(df: DataFrame, vec: str) -> Column:
+    return vector_to_array(vec) if isinstance(df.schema[vec].dataType, VectorUDT) else F.col(vec).cast("array<double>")
+
+
 def _interpolate(df: DataFrame, key: str, label: str, vec: str, requests: DataFrame, k: int, seed: int,
-                 probes: int | None) -> DataFrame:
+                 probes: int | None, graph: bool) -> DataFrame:
     """Synthetic rows between a base row and one of its k nearest rows of the same class."""
     minority = lookup_join(df, requests.select(label).distinct(), [label], "left_semi")
     asked = df.join(requests.select(F.col("id").alias(key)), key, "left_semi")
-    near = nearest(asked, minority, key, vec, k, group=label, exclude_self=True, probes=probes).select("id", "neighbor", "rank")
+    if graph:
+        near = cut_lineage(graph_nearest(minority, key, vec, k, group=label).join(requests.select("id"), "id", "left_semi").select("id", "neighbor", "rank"))
+    else:
+        near = nearest(asked, minority, key, vec, k, group=label, exclude_self=True, probes=probes).select("id", "neighbor", "rank")
     counts = near.groupBy("id").agg(F.count("*").alias("__k"))
     copies = requests.join(counts, "id").select("id", label, "__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))).alias("copy"))
     picked = copies.withColumn("rank", F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.col("__k")) + 1).join(near, ["id", "rank"])
     gap = (F.pmod(F.xxhash64("id", "copy", F.lit(seed + 1)), F.lit(1_000_003)) / F.lit(1_000_003.0))
-    vectors = df.select(F.col(key).alias("__key"), F.col(vec).cast("array<double>").alias("__v"))
+    vectors = df.select(F.col(key).alias("__key"), F.col(vec).alias("__v"))
     out = (picked.withColumn("__gap", gap)
            .join(vectors.select(F.col("__key").alias("id"), F.col("__v").alias("__a")), "id")
            .join(vectors.select(F.col("__key").alias("neighbor"), F.col("__v").alias("__b")), "neighbor"))
-    return out.select("id", "neighbor", "copy", label, F.zip_with("__a", "__b", lambda a, b: a + F.col("__gap") * (b - a)).alias(vec))
+    return out.select("id", "neighbor", "copy", label, F.zip_with(_array(out, "__a"), _array(out, "__b"), lambda a, b: a + F.col("__gap") * (b - a)).alias(vec))
 
 
 def smote(df: DataFrame, key: str, label: str, vec: str, k: int = 5, factors: Mapping[int, float] | None = None, seed: int = 1,
-          probes: int | None = None) -> DataFrame:
+          probes: int | None = None, graph: bool = False) -> DataFrame:
     """Synthetic rows (SMOTE, Chawla et al. 2002) bringing every class to the majority size.
 
     ``factors`` gives explicit targets per class as a multiple of its size instead. ``probes``
-    takes the approximate neighbour search.
+    takes the approximate neighbour search in cells, ``graph`` the one by neighbour descent, which
+    also takes ML vectors and keeps sparse ones sparse.
     """
     sizes = class_sizes(df, label)
     if factors is None:
@@ -142,10 +152,10 @@ def smote(df: DataFrame, key: str, label: str, vec: str, k: int = 5, factors: Ma
         target = F.round(F.col("count") * F.coalesce(F.try_element_at(table, F.col(label)), F.lit(1.0))).cast("long")
     quota = sizes.withColumn("__quota", target - F.col("count")).where(F.col("__quota") > 0).select(label, "__quota")
     requests = cut_lineage(_generated(df, key, label, quota, seed))
-    return _interpolate(df, key, label, vec, requests, k, seed, probes)
+    return _interpolate(df, key, label, vec, requests, k, seed, probes, graph)
 
 
-def adasyn(df: DataFrame, key: str, label: str, vec: str, k: int = 5, seed: int = 1, probes: int | None = None) -> DataFrame:
+def adasyn(df: DataFrame, key: str, label: str, vec: str, k: int = 5, seed: int = 1, probes: int | None = None, graph: bool = False) -> DataFrame:
     """Synthetic rows (ADASYN, He et al. 2008): more of them where other classes are near.
 
     A row's allocation is its share of other-class rows among its k nearest neighbours,
@@ -155,14 +165,15 @@ def adasyn(df: DataFrame, key: str, label: str, vec: str, k: int = 5, seed: int
     largest = sizes.agg(F.max("count")).scalar()
     quota = sizes.withColumn("__quota", largest - F.col("count")).where(F.col("__quota") > 0).select(label, "__quota")
     minority = lookup_join(df, quota, [label]).select(key, label, vec)
-    near = nearest(minority, df, key, vec, k, label=label, exclude_self=True, probes=probes).select("id", F.col("label").alias("__other"))
+    found = graph_nearest(df, key, vec, k, label=label) if graph else nearest(minority, df, key, vec, k, label=label, exclude_self=True, probes=probes)
+    near = found.select("id", F.col("label").alias("__other"))
     labelled = near.join(minority.select(F.col(key).alias("id"), label), "id")
     ratios = cut_lineage(labelled.groupBy("id", label).agg(F.avg((F.col("__other") != F.col(label)).cast("double")).alias("__ratio")))
     total = ratios.groupBy(label).agg(F.sum("__ratio").alias("__all"))
     times = F.rint(F.col("__ratio") / F.col("__all") * F.col("__quota")).cast("long")
     shares = lookup_join(ratios, total.join(quota, label), [label])
     requests = shares.select("id", label, times.alias("__times")).where(F.col("__times") > 0)
-    return _interpolate(df, key, label, vec, cut_lineage(requests), k, seed, probes)
+    return _interpolate(df, key, label, vec, cut_lineage(requests), k, seed, probes, graph)
 
 
 def near_miss(df: DataFrame, key: str, label: str, vec: str, farthest_rows: int = 3) -> DataFrame:
@@ -195,7 +206,8 @@ SAMPLERS = ("smote", "adasyn", "random_over_sampling", "random_under_sampling",
 def rebalance(df: DataFrame, key: str, label: str, features: str, method: str | Callable[[DataFrame], DataFrame], seed: int = 1) -> DataFrame:
     """Training part (key, label, feature vector) re-balanced by a named method or a function of the caller's.
 
-    Repeated and synthetic rows get keys of their own: hashes of their origin.
+    Repeated and synthetic rows get keys of their own: hashes of their origin. Neighbours come from the
+    neighbour graph, so sparse features are made dense only for the rows that are interpolated.
     """
     rows = df.select(key, label, features)
     if callable(method):
@@ -205,10 +217,10 @@ def rebalance(df: DataFrame, key: str, label: str, features: str, method: str |
     if method in ("random_over_sampling", "random_under_sampling"):
         made = over_sample(rows, key, label, seed) if method == "random_over_sampling" else under_sample(rows, key, label, seed).withColumnRenamed("draw", "copy")
         return made.select(_derived_key(rows, key, F.col(key), F.col("copy")), label, features)
-    arrays = rows.withColumn(features, vector_to_array(features))
     if method == "nearmiss2":
+        arrays = rows.withColumn(features, vector_to_array(features))
         return rows.join(near_miss(arrays, key, label, features).select(key), key, "left_semi")
-    made = (smote if method == "smote" else adasyn)(arrays, key, label, features, seed=seed)
+    made = (smote if method == "smote" else adasyn)(rows, key, label, features, seed=seed, graph=True)
     new = made.select(_derived_key(rows, key, F.col("id"), F.col("neighbor"), F.col("copy")), label, array_to_vector(features).alias(features))
     return rows.unionByName(new)
 

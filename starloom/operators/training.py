@@ -136,6 +136,9 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
 
 # -- classifiers -------------------------------------------------------------------------------
 
+#: Megabytes of split statistics a pass may hold; deep trees need fewer passes with more.
+TREE_MEMORY = 1024
+
 def make_classifier(name: str, rows: int = 1, classes: int = 5, features: str = "features", max_iter: int = 100, c: float = 1.0,
                     max_depth: int = 10, layers: Sequence[int] | None = None, seed: int = 1, rff_size: int = 256,
                     gamma: float = 1.0, trees: int = 100, key: str = "id", neighbors: int = 5, radius: float = 1.0) -> Estimator:
@@ -143,7 +146,7 @@ def make_classifier(name: str, rows: int = 1, classes: int = 5, features: str =
 
     LR's ``c`` divides a summed loss, Spark's penalty a mean loss: regParam = 1 / (c * rows).
     The boosting variants (GB, lGBM, XGB, CB) are one operator: one-vs-rest boosted trees. KNN and RN
-    keep the training rows and ask the neighbour search; they need the row ``key``.
+    keep the training rows and ask the neighbour graph (KNN) or the search in cells; they need the row ``key``.
     The model codes are fixed values of configuration files.
     """
     common = {"featuresCol": features, "labelCol": "label0"}
@@ -151,13 +154,13 @@ def make_classifier(name: str, rows: int = 1, classes: int = 5, features: str =
     if name in ("LR", "LRB"):
         return LogisticRegression(family="multinomial", maxIter=max_iter, regParam=1.0 / (c * max(rows, 1)), standardization=False, **common, **balanced)
     if name in ("DT", "DTB"):
-        return DecisionTreeClassifier(maxDepth=max_depth, seed=seed, **common, **balanced)
+        return DecisionTreeClassifier(maxDepth=max_depth, seed=seed, maxMemoryInMB=TREE_MEMORY, **common, **balanced)
     if name == "RF":
-        return RandomForestClassifier(maxDepth=max_depth, numTrees=trees, seed=seed, **common)
+        return RandomForestClassifier(maxDepth=max_depth, numTrees=trees, seed=seed, maxMemoryInMB=TREE_MEMORY, **common)
     if name in ("GB", "lGBM", "XGB", "CB"):
         return OneVsRest(classifier=GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=seed, featuresCol=features), parallelism=4, **common)
     if name in ("KNN", "RN"):
-        return NeighborClassifier(key=key, features=features, label="label0", k=neighbors, radius=radius if name == "RN" else None)
+        return NeighborClassifier(key=key, features=features, label="label0", k=neighbors, radius=radius if name == "RN" else None, graph=name == "KNN")
     if name == "SVC_RBF":
         machine = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(rows, 1)), featuresCol="__rff", weightCol="weight"),
                             labelCol="label0", featuresCol="__rff", weightCol="weight", parallelism=4)
@@ -174,9 +177,15 @@ def training_frame(df: DataFrame, label: str) -> DataFrame:
     return with_class_weights(df, label).withColumn("label0", (F.col(label) - 1).cast("double"))
 
 
-def training_partitions(df: DataFrame, rows: int, rows_per_task: int = 5000) -> DataFrame:
-    """No more partitions than ``rows`` can fill: an iterative fit starts its tasks anew for every pass."""
-    return df.coalesce(max(1, -(-rows // rows_per_task)))
+def training_partitions(df: DataFrame, rows: int, width: int = 4000, cells_per_task: int = 3_000_000) -> DataFrame:
+    """As many partitions as the work of a pass, ``rows`` times ``width``, can fill.
+
+    An iterative fit starts its tasks anew for every pass, so more would cost their starts; a stored
+    table of fewer splits is spread over idle cores.
+    """
+    wanted = max(1, -(-rows * width // cells_per_task))
+    held, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(wanted) if wanted <= held else df.repartition(max(held, min(wanted, cores)))
 
 
 def predict(model: Transformer, df: DataFrame, prediction: str = "prediction") -> DataFrame:
