@@ -106,5 +106,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   item_text_col: str = "text", window_words: int = WINDOW_WORDS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; all columns pass through."""
     hit = benchmark_hits(docs, benchmark, id_col, text_col, item_col, item_text_col, window_words, shingle_words).select(*_DOC)
-    keys = _keys(id_col, text_col)
-    return lookup_join(docs.select("*", *keys), hit, _DOC, "left_anti").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")  # the caller's columns may have the helpers' names
+    return lookup_join(docs.select(row, *_keys(id_col, text_col)), hit, _DOC, "left_anti").select("__row.*")

@@ -19,8 +19,8 @@ from starloom.plans.sizing import lookup_join
 MERGED_STREAMS = 500
 _LONGEST_GROUP = 8
 _LONGEST_PATH = 400
-# A text is template from so many distinct pages on: in half of those with its slot, or, inside an article or main element, in all of the host.
-TEMPLATE_PAGES, NAMED_TEMPLATE_PAGES = 3, 10
+# A text that two distinct pages and half of those with its slot share is template, outside article and main elements.
+TEMPLATE_PAGES = 2
 _NAMED = 2
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
@@ -122,7 +122,7 @@ def text_blocks(html: str | None) -> list[tuple[str, str]]:
             continue
         else:
             flush()
-            if any(s[0] == "p" for s in stack[-3:]):
+            if any(s[0] == "p" for s in stack):
                 close({"p"}, {"article", "body", "div", "section", "td", "li"})
             if name in _CLOSES:
                 close(*_CLOSES[name])
@@ -214,16 +214,20 @@ def aligned(stream: str, wrapper: str) -> list[int]:
 def main_blocks(levels: list[int], template: list[bool]) -> list[bool]:
     """Which blocks of a page are main text, by their certainty (-1 for never) and whether they are the host's template.
 
-    What varies over the host's pages is main text, in the surest container that has any. A page
-    that names its article or main element is read there, even where all of its text is template.
+    A page that names its article or main element is read there, whole. Elsewhere what varies over
+    the host's pages is main text, in the surest container that has any, and so is everything that stands
+    between two varying blocks of it: only shared texts before the first and after the last of
+    them go. A page without varying text keeps its surest container.
     """
     top = max(levels, default=-1)
-    varying = [v for v, t in zip(levels, template) if not t]
-    if top < _NAMED:
-        top = max(varying, default=-1)
-    elif top not in varying:
-        template = [False] * len(levels)
-    return [v == top >= 0 and not t for v, t in zip(levels, template)]
+    if top >= _NAMED:
+        return [v >= _NAMED for v in levels]
+    varying = [k for k, (v, t) in enumerate(zip(levels, template)) if v >= 0 and not t]
+    if not varying:
+        return [v == top >= 0 for v in levels]
+    top = max(levels[k] for k in varying)
+    inside = [k for k in varying if levels[k] == top]
+    return [v == top and inside[0] <= k <= inside[-1] for k, v in enumerate(levels)]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +268,7 @@ def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for host, seen, slots, texts, places, levels in zip(*(batch.column(c).to_pylist() for c in ("host_id", "seen", "slots", "texts", "places", "levels"))):
-            out += {(host, places[s], t, seen) for s, t in zip(slots, texts) if levels[s] >= 0 and places[s] >= 0}
+            out += {(host, places[s], t, seen) for s, t in zip(slots, texts) if 0 <= levels[s] < _NAMED and places[s] >= 0}
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["host_id", "place", "text", "seen"])
 
 
@@ -301,12 +305,11 @@ def template_texts(parsed: DataFrame, streams: DataFrame) -> DataFrame:
     average page has, since each is in half of the pages of its slot.
     """
     slots = streams.select("host_id", "pages", F.explode(F.arrays_zip("places", "levels")).alias("x")).where("x.places >= 0 and x.levels >= 0")
-    hosts = streams.groupBy("host_id").agg(F.sum("pages").alias("host_pages"))
-    slots = lookup_join(slots.groupBy("host_id", F.col("x.places").alias("place")).agg(F.sum("pages").alias("slot_pages"), F.max("x.levels").alias("level")), hosts, ["host_id"])
+    slots = slots.groupBy("host_id", F.col("x.places").alias("place")).agg(F.sum("pages").alias("slot_pages"), F.max("x.levels").alias("level")).where(F.col("level") < _NAMED)
     seen = lookup_join(parsed.select("stream_id", "seen", "slots", "texts"), streams.drop("pages"), ["stream_id"])
     shared = seen.mapInArrow(_sightings, "host_id long, place int, text long, seen long").groupBy("host_id", "place", "text").agg(F.count_distinct("seen").alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
-    constant = F.when(F.col("level") < _NAMED, 2 * F.col("n") >= F.col("slot_pages")).otherwise((F.col("n") >= NAMED_TEMPLATE_PAGES) & (F.col("n") >= F.col("host_pages")))
-    return lookup_join(shared, slots, ["host_id", "place"]).where(constant).groupBy("host_id").agg(F.collect_list(F.struct("place", "text")).alias("template"))
+    constant = lookup_join(shared, slots, ["host_id", "place"]).where(2 * F.col("n") >= F.col("slot_pages"))
+    return constant.groupBy("host_id").agg(F.collect_list(F.struct("place", "text")).alias("template"))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -314,8 +317,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     Every page becomes a stream of text slots; immediate repeats are folded. The distinct streams of a host
     are aligned into one wrapper with optional and repeated groups. A text that the host's pages
-    repeat at the same slot of it is template, what varies is main text; the containers' names
-    decide between varying slots. Menus, headers, footers, sidebars, notices, adverts, forms,
+    repeat at the same slot of it is template, what varies is main text with all that stands between; article and
+    main elements are read whole, and other containers' names decide between varying slots. Menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles and comments are never main text.
 
     A null html is empty and gives an empty text; a null url has no host and shares the wrapper of

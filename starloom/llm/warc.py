@@ -19,6 +19,7 @@ from starloom.plans.session import fresh_path, stage_table
 from starloom.plans.sizing import lookup_join
 
 FRAME_BYTES = 1 << 20
+READ_BYTES = 16 << 20
 BUNDLE_BYTES = 256 << 20
 # Fixed values of the seekable format.
 _SKIPPABLE = 0x184D2A5E
@@ -187,9 +188,11 @@ def _read_records(with_payload: bool):
 def read_archives(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that ``index`` names, each frame decompressed on its own; payloads are checked against their digests.
 
-    Frames are dealt out by bundle and frame and read in order, so a frame is opened once.
+    Frames are dealt out by bundle and frame and read in order, so a frame is opened once. The number
+    of tasks follows the bytes of the records, not those of the index.
     """
-    dealt = index.repartition("bundle", F.floor(F.col("frame") / 16)).sortWithinPartitions("bundle", "frame", "offset")
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 1) // READ_BYTES)
+    dealt = index.repartition(tasks, "bundle", F.floor(F.col("frame") / 16)).sortWithinPartitions("bundle", "frame", "offset")
     return dealt.mapInArrow(_read_records(with_payload), _READ)
 
 

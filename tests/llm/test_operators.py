@@ -300,8 +300,27 @@ def test_texts_that_pages_without_names_repeat_are_template(spark):
     pages += [(20 + k, f"http://named/{k}", f"<div>Site</div><div>by {k}</div><article><h1>Title {k}</h1><p>Text {k}<p>Share this</article>") for k in range(10)]
     pages += [(30, "http://named/x", "<div>other</div><article><p>Share this</article>"), (40, "http://few/1", "<div>same</div><p>one"), (41, "http://few/2", "<div>same</div><p>two")]
     got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert all(got[k] == f"Title {k} First of {k} Second of {k}" for k in range(6)) and all(got[10 + k] == got[5] for k in range(8))
-    assert all(got[20 + k] == f"Title {k} Text {k}" for k in range(10)) and got[30] == "Share this" and got[40] == "same one"
+    assert all(got[k] == f"Title {k} {'Please log in ' if k > 2 else ''}First of {k} Second of {k}" for k in range(6)) and all(got[10 + k] == got[5] for k in range(8))
+    assert all(got[20 + k] == f"Title {k} Text {k} Share this" for k in range(10)) and got[30] == "Share this" and got[40] == "one"
+
+
+@pytest.mark.parametrize("pages", [2, 3, 9, 10])
+@pytest.mark.parametrize("page,want", [
+    ("<div class='content'><h1>Title {k}</h1><h2>Summary</h2><p>Text {k}</p><h2>Method</h2><p>More {k}</p></div>", "Title {k} Summary Text {k} Method More {k}"),
+    ("<div>Site</div><div><h1>Title {k}</h1><h2>Summary</h2><p>Text {k}</p></div><div>The end</div>", "Title {k} Summary Text {k}"),
+    ("<div>Site</div><article><h1>Title {k}</h1><h2>Summary</h2><p>Text {k}</p><p>Thanks</p></article>", "Title {k} Summary Text {k} Thanks"),
+    ("<div>Site</div><main><h1>Title {k}</h1><article><p>Body {k}</p></article></main>", "Title {k} Body {k}")])
+def test_article_text_does_not_depend_on_the_number_of_pages(spark, pages, page, want):
+    rows = [(k, f"http://h/{k}", page.format(k=k)) for k in range(pages)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: want.format(k=k) for k in range(pages)}
+
+
+def test_decontamination_keeps_columns_named_like_its_helpers(spark):
+    text = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, text, 7, "a", "r"), (2, "clean", 8, "b", "s"), (None, None, 9, "c", "t")], "doc_id long, text string, __id int, __text string, __row string")
+    kept = decontaminate.decontaminate(docs, spark.createDataFrame([(1, text)], "item_id long, text string"))
+    assert kept.columns == docs.columns and {r["__id"] for r in kept.collect()} == {8, 9}
 
 
 @pytest.mark.parametrize("start,end", [("<article class='post comments-open'>", "</article>"), ("<div id='content' class='no-sidebar'>", "</div>"), ("<main class='has-banner'>", "</main>"),
