@@ -94,7 +94,7 @@ def remove_html_tags(text: ColumnLike) -> Column:
     source = _col(text)
     cleaned = source
     for pattern in (r"(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>",
-                    r"</?[a-zA-Z][^>]*>|<[!?][^>]*>"):
+                    r"""</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*>|<[!?][^>]*>"""):
         cleaned = F.regexp_replace(cleaned, pattern, "")
     return _bind(F.when(source.contains("<"), cleaned).otherwise(source), decode_entities)
 

@@ -36,6 +36,7 @@ CASES = [
     (tx.expand_contractions, "can't've she'd GONNA 'cause I'm", "cannotve she would Going to ecause I am"),
     (lambda c: tx.expand_contractions(c, whole_words=True), "can't've Don't xcan't", "cannot have Do not xcant"),
     (tx.remove_html_tags, "<b>x &amp; y</b> &#233;&#x41; &nope;<!-- c --> a < b", "x & y éA &nope; a < b"),
+    (tx.remove_html_tags, "<a title=\"x>y\" b='>'>t</a> <i title=\"open>u", "t u"),
     (tx.remove_stop_words, "this is not very good", "not very good"),
     (tx.clean_mixed_words, "a x1 12 b", "a b"),
 ]
