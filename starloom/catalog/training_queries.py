@@ -72,6 +72,30 @@ def _facts(model, name, train, test, label):
                             F.col("__c.proper").alias("proper_probabilities"))
 
 
+def _held_out_facts(model, name, train, test, label):
+    """Per class of the test part its rows, and whether the model does better there than without features.
+
+    Held-out accuracy must exceed the largest class share of the test part, and the held-out log-loss stay
+    below that of always giving the class shares of the training part.
+    """
+    shares = train.groupBy(F.col(label).alias("__class")).agg(F.count("*").alias("n"))
+    shares = shares.agg(F.map_from_entries(F.collect_list(F.struct("__class", "n"))).alias("m"), F.sum("n").alias("n")).select(F.struct("m", "n"))
+    out = tr.predict(model, test).select(F.col(label).alias("class"), "prediction", vector_to_array("probability").alias("p")).withColumn("__s", shares.scalar())
+    out = stage_table(out.select("class", "prediction", "p", (F.try_element_at("__s.m", F.col("class")) / F.col("__s.n")).alias("share")), "held-out")
+
+    def loss(chance):
+        return F.sum(-F.log(F.greatest(chance, F.lit(1e-9))))
+
+    total = F.aggregate("p", F.lit(0.0), lambda acc, p: acc + p)
+    whole = out.agg(F.struct(F.count_if(F.col("class") == F.col("prediction")).alias("hits"), loss(F.get("p", F.col("class") - 1)).alias("ours"),
+                             loss(F.coalesce("share", F.lit(0.0))).alias("plain"), F.bool_and(F.col("prediction").between(1, model_classes(model))).alias("in_range"),
+                             F.bool_and((F.abs(total - 1) < 1e-6) & (F.array_min("p") >= 0)).alias("proper"))).scalar()
+    most = out.groupBy("class").agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
+    per_class = out.groupBy("class").agg(F.count("*").alias("support")).withColumns({"__w": whole, "__m": most})
+    return per_class.select(F.lit(name).alias("model"), "class", "support", F.col("__w.in_range").alias("in_range"), (F.col("__w.hits") > F.col("__m")).alias("beats_majority"),
+                            (F.col("__w.ours") < F.col("__w.plain")).alias("beats_shares"), F.col("__w.proper").alias("proper_probabilities"))
+
+
 def model_classes(model) -> int:
     """Number of classes a fitted model or the last stage of a pipeline knows."""
     last = model.stages[-1] if hasattr(model, "stages") else model
@@ -262,6 +286,15 @@ def boosted(spark, folder):
     return _evaluated(spark, folder, ["GB"], max_depth=3)
 
 
+@query("l4_histogram_boosting", f"""
+    SELECT 'lGBM' AS model, star_rating AS class, count(*) AS support, true AS in_range, true AS beats_majority, true AS beats_shares, true AS proper_probabilities
+    FROM {_TEST_SQL} GROUP BY star_rating""")
+def histogram_boosting(spark, folder):
+    train, test = _prepared(spark, folder)
+    model = tr.make_classifier("lGBM", max_iter=50, max_depth=3).fit(train)
+    return _held_out_facts(model, "lGBM", train, test, "star_rating")
+
+
 _VECTOR_TEST_SQL = f"(SELECT label + 1 AS class FROM embeddings WHERE {_fraction_sql('vec_id')} >= 0.75)"
 
 

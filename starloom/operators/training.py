@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions import text as tx
 from starloom.operators import evaluate as ev
+from starloom.operators.boosting import HistogramBoosting
 from starloom.operators.features import average_vectors
 from starloom.operators.neighbor_classifier import NeighborClassifier
 from starloom.operators.sampling import exact_sample, with_class_weights
@@ -145,7 +146,7 @@ def make_classifier(name: str, rows: int = 1, classes: int = 5, features: str =
     """Classifier by configuration name; a trailing B (LRB, DTB) means class-balanced weights.
 
     LR's ``c`` divides a summed loss, Spark's penalty a mean loss: regParam = 1 / (c * rows).
-    The boosting variants (GB, lGBM, XGB, CB) are one operator: one-vs-rest boosted trees. KNN and RN
+    GB is one-vs-rest boosted trees, the histogram variants (lGBM, XGB, CB) are one multi-class operator. KNN and RN
     keep the training rows and ask the neighbour graph (KNN) or the search in cells; they need the row ``key``.
     The model codes are fixed values of configuration files.
     """
@@ -157,7 +158,9 @@ def make_classifier(name: str, rows: int = 1, classes: int = 5, features: str =
         return DecisionTreeClassifier(maxDepth=max_depth, seed=seed, maxMemoryInMB=TREE_MEMORY, **common, **balanced)
     if name == "RF":
         return RandomForestClassifier(maxDepth=max_depth, numTrees=trees, seed=seed, maxMemoryInMB=TREE_MEMORY, **common)
-    if name in ("GB", "lGBM", "XGB", "CB"):
+    if name in ("lGBM", "XGB", "CB"):
+        return HistogramBoosting(maxIter=max_iter, maxDepth=max_depth, **common)
+    if name == "GB":
         return OneVsRest(classifier=GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=seed, featuresCol=features), parallelism=4, **common)
     if name in ("KNN", "RN"):
         return NeighborClassifier(key=key, features=features, label="label0", k=neighbors, radius=radius if name == "RN" else None, graph=name == "KNN")
