@@ -10,6 +10,7 @@ from starloom.catalog.views import rated_documents
 from starloom.plans.session import fresh_path
 from starloom.sources import ranges
 from starloom.sources import tables as src
+from starloom.sources.repair import repair_lines
 
 _LINE_SCHEMA = T.StructType([
     T.StructField("order_key", T.LongType()), T.StructField("line_no", T.IntegerType()),
@@ -73,6 +74,29 @@ def tolerant_scan(spark, folder):
     return listed.groupBy("status", "fields").agg(F.count("*").alias("n"), F.sum("key").alias("key_sum"))
 
 
+@query("s3_repaired_lines", """
+    WITH e AS (SELECT event_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents,
+                      CASE WHEN event_id % 11 = 0 THEN 'stray' WHEN event_id % 13 = 0 THEN 'lost' WHEN event_id % 17 = 0 THEN 'no alignment' ELSE 'good' END AS status FROM events)
+    SELECT status, CASE WHEN status = 'stray' THEN event_type || chr(9) || 'x' WHEN status IN ('good') THEN event_type END AS event_type, count(*) AS n,
+           CAST(CASE WHEN status <> 'no alignment' THEN sum(event_id) END AS BIGINT) AS ids, CAST(CASE WHEN status <> 'no alignment' THEN sum(cents) END AS BIGINT) AS cents
+    FROM e GROUP BY status, CASE WHEN status = 'stray' THEN event_type || chr(9) || 'x' WHEN status IN ('good') THEN event_type END""")
+def repaired_lines(spark, folder):
+    """Lines with a stray separator in the text, a lost text, or a broken key, next to whole ones."""
+    path = fresh_path(spark, "lines")
+    key, event, value = (F.col(c).cast("string") for c in ("event_id", "event_type", "value"))
+    number = F.col("event_id")
+    line = (F.when(number % 11 == 0, F.concat_ws("\t", key, event, F.lit("x"), value)).when(number % 13 == 0, F.concat_ws("\t", key, value))
+            .when(number % 17 == 0, F.concat_ws("\t", F.concat(F.lit("#"), key), event, value)).otherwise(F.concat_ws("\t", key, event, value)))
+    table(spark, folder, "events").select(line.alias("value")).write.text(path)
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+    good, bad = src.read_tolerant(spark, path, schema)
+    fixed, rest = repair_lines(bad, schema, patterns={"event_type": "[a-z_]+"})
+    rows = good.withColumn("status", F.lit("good")).unionByName(
+        fixed.withColumn("status", F.when(F.col("event_type").isNull(), "lost").otherwise("stray")).drop("edits")).unionByName(
+        rest.select(F.col("reason").alias("status")), allowMissingColumns=True)
+    return rows.groupBy("status", "event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+
+
 @query("s4_json_lines", """
     SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents
     FROM events GROUP BY ALL""")
