@@ -9,6 +9,7 @@ from starloom.catalog.views import PREDICTIONS_SQL, RUNS_SQL, predictions, runs
 from starloom.functions import text as tx
 from starloom.operators import evaluate as ev
 from starloom.operators import roc, stats
+from starloom.operators.curve_intervals import auc_intervals
 from starloom.plans.ranking import top_rows
 
 
@@ -135,6 +136,17 @@ def auc(spark, folder):
     return _r6(roc.roc_auc(rows, "truth", scores), "auc")
 
 
+@query("e5_auc_interval", f"""
+    WITH {_CURVES_SQL}
+    SELECT curve, round(sum((fpr - pf) * (tpr + pt) / 2), 6) AS auc, true AS inside, true AS spread, 400 AS replicates FROM (
+      SELECT curve, fpr, tpr, lag(fpr) OVER w AS pf, lag(tpr) OVER w AS pt FROM k WINDOW w AS (PARTITION BY curve ORDER BY i)) GROUP BY curve""")
+def auc_interval(spark, folder):
+    rows, scores = _scored(spark, folder)
+    out = auc_intervals(rows, "event_id", "truth", scores, replicates=400)
+    return out.select("curve", F.round("auc", 6).alias("auc"), F.col("auc").between(F.col("low"), F.col("high")).alias("inside"),
+                      ((F.col("high") > F.col("low")) & (F.col("high") - F.col("low") < 0.2)).alias("spread"), F.col("replicates").cast("int").alias("replicates"))
+
+
 @query("e5_roc_curves", f"WITH {_CURVES_SQL} SELECT curve, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM k")
 def curves(spark, folder):
     rows, scores = _scored(spark, folder)
