@@ -322,11 +322,12 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, shard_byt
     model = Model(fresh_path(docs.sparkSession, "ngram-model"), order, max(1, -(-size // shard_bytes)))
     model.discount, here = {}, texts.mapInArrow(_count(order, model.shards), _PIECE)
     for level in range(order, 1, -1):
-        done = stage_table(here.groupBy("level", "shard").applyInPandas(_merge(model.folder, level, model.shards), _SUMMARY), f"ngram-level-{level}")
+        # numbered, so that a task merges about one shard however many there are
+        done = stage_table(here.repartition(2 * model.shards, "level", "shard").groupBy("level", "shard").applyInPandas(_merge(model.folder, level, model.shards), _SUMMARY), f"ngram-level-{level}")
         n = done.agg(*[F.sum(c) for c in ("n1", "n2", "n3", "n4")]).first()
         model.discount[level] = discounts([x or 0 for x in n])
         here = done.select(*[x.split()[0] for x in _PIECE.split(", ")])
-    sums = stage_table(here.groupBy("shard").applyInPandas(_merge_words(model.folder), "words long, tokens long, total long, n1 long, n2 long, n3 long, n4 long, many long"), "ngram-words")
+    sums = stage_table(here.repartition(2 * model.shards, "shard").groupBy("shard").applyInPandas(_merge_words(model.folder), "words long, tokens long, total long, n1 long, n2 long, n3 long, n4 long, many long"), "ngram-words")
     r = sums.agg(*[F.sum(c).alias(c) for c in sums.columns]).first()
     model.words, model.tokens, model.total = r.words or 0, r.tokens or 0, r.total or 0
     model.discount[1], model.many = discounts([r[f"n{k}"] or 0 for k in (1, 2, 3, 4)]), (r.n1 or 0, r.n2 or 0, r.many or 0)
