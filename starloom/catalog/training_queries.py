@@ -6,15 +6,19 @@ import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from starloom.catalog.feature_queries import _grams_sql
 from starloom.catalog.registry import query, table, texts
 from starloom.catalog.sampling_queries import _fraction_sql
 from starloom.catalog.text_queries import _WORD_PUNCT_SQL, _normal_sql
+from starloom.functions import text as tx
 from starloom.operators import features as ft
 from starloom.operators import sampling
 from starloom.operators import training as tr
+from starloom.operators.features import vector_norm
+from starloom.operators.word_vectors import SkipGram, train_skipgram
 from starloom.plans.session import fresh_path, stage_table
 from starloom.plans.sweeps import classifier_job, feature_sweep
 from starloom.streaming import scoring
@@ -216,8 +220,61 @@ def subword_vectors(spark, folder):
     return _vector_facts(tr.word2vec_features(_lower_docs(spark, folder), "doc_id", "text", subwords=True), 100)
 
 
-def _lower_docs(spark, folder):
-    return texts(spark, folder, "documents", "doc_id").select("doc_id", F.lower("text").alias("text"))
+_WORD_LANGUAGES_SQL = f"""
+    counted AS (SELECT w, count(*) AS n FROM (SELECT unnest({_LOWER_TOKENS}) AS w FROM documents) GROUP BY w),
+    by_lang AS (SELECT w, lang, count(*) AS n FROM (SELECT lang, unnest({_LOWER_TOKENS}) AS w FROM documents WHERE lang IS NOT NULL) GROUP BY w, lang),
+    home AS (SELECT w, max_by(lang, n) AS lang FROM by_lang GROUP BY w HAVING count(*) = 1)"""
+
+
+def _word_languages(spark, folder):
+    """Words that one language alone uses: (word, n occurrences in all documents, lang)."""
+    words = _lower_docs(spark, folder, "lang").select("lang", F.explode(tx.word_punct_tokens("text")).alias("word"))
+    counts = words.groupBy("word", "lang").agg(F.count("*").alias("n"))
+    languages = counts.groupBy("word").agg(F.sum("n").alias("n"), F.count("lang").alias("langs"), F.max("lang").alias("lang"))
+    return languages.where("langs = 1").drop("langs")
+
+
+def _unit(vec):
+    return F.transform(vec, lambda x: x / vector_norm(vec))
+
+
+def _mean_cosines(words, centers):
+    """Per language of ``words``: their number, how many have a vector, and their mean cosine with their own and with the other languages' means of ``centers``."""
+    means = centers.groupBy("lang").agg(Summarizer.mean(array_to_vector(_unit(F.col("vec")))).alias("m")).select(F.col("lang").alias("other"), vector_to_array("m").alias("m"))
+    table = means.agg(F.collect_list(F.struct("other", "m")))  # one row a language
+    sides = words.withColumn("u", _unit(F.col("vec"))).withColumn("__m", table.scalar()).select("lang", "vec", "u", F.explode("__m").alias("c"))
+    cosine = F.aggregate(F.zip_with("u", "c.m", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    own = F.col("c.other") == F.col("lang")
+    return sides.groupBy("lang").agg(F.count_if(own).alias("n_words"), F.count_if(own & F.col("vec").isNotNull()).alias("n_vectors"),
+                                     F.avg(F.when(own, cosine)).alias("own"), F.avg(F.when(~own, cosine)).alias("others"))
+
+
+@query("f6_skipgram_vectors", f"""
+    WITH {_WORD_LANGUAGES_SQL}
+    SELECT lang, count(*) AS n_words, count(*) AS n_vectors, true AS nearer_own FROM counted JOIN home USING (w) WHERE n >= 5 GROUP BY lang""")
+def skipgram_vectors(spark, folder):
+    """Words, sub-sampled skip-gram: each language's words lie nearer its own mean than those of others."""
+    model = train_skipgram(_lower_docs(spark, folder), "doc_id", tx.word_punct_tokens("text"), SkipGram(high=0))
+    words = _word_languages(spark, folder).where("n >= 5")
+    placed = stage_table(words.join(model.vectors(words), "word"), "placed")
+    return _mean_cosines(placed, placed).select("lang", "n_words", "n_vectors", (F.col("own") > F.col("others")).alias("nearer_own"))
+
+
+@query("f7_unseen_words", f"""
+    WITH {_WORD_LANGUAGES_SQL}
+    SELECT lang, count(*) AS n_words, CAST(0 AS BIGINT) AS n_known, true AS nearer_own FROM counted JOIN home USING (w) WHERE n < 5 GROUP BY lang""")
+def unseen_words(spark, folder):
+    """Words too rare for the vocabulary get their vectors from n-grams, and lie nearer their own language's words than those of others."""
+    model = train_skipgram(_lower_docs(spark, folder), "doc_id", tx.word_punct_tokens("text"), SkipGram())
+    words = stage_table(_word_languages(spark, folder), "words")
+    placed = stage_table(words.join(model.vectors(words), "word"), "placed")
+    rare, frequent = placed.where("n < 5"), placed.where("n >= 5")
+    known = rare.groupBy("lang").agg(F.count_if("known").alias("n_known"))
+    return _mean_cosines(rare, frequent).join(known, "lang").select("lang", "n_words", "n_known", (F.col("own") > F.col("others")).alias("nearer_own"))
+
+
+def _lower_docs(spark, folder, *columns):
+    return texts(spark, folder, "documents", "doc_id").select("doc_id", F.lower("text").alias("text"), *columns)
 
 
 @query("f12_pca", """
