@@ -313,7 +313,7 @@ def features_by_config(spark, folder):
               {"description": "word2vec", "fn_name": "generate_word2vec_file", "feature_size": 100, "feature_columns": "text"},
               {"description": "fasttext", "fn_name": "generate_fasttext_file", "feature_size": 100, "feature_columns": "text"},
               {"description": "broken", "fn_name": "generate_nothing", "feature_columns": "text"}]
-    done = feature_sweep(_labelled(spark, folder), config, "doc_id", "star_rating", fresh_path(spark, "sweep"))
+    done = feature_sweep(_labelled(spark, folder), config, "doc_id", "star_rating", fresh_path(spark, "sweep"), parallel=4)
     out = None
     for row in done:
         part = (spark.read.parquet(row["outfile"]).groupBy("star_rating", "helpful_product").agg(F.count("*").alias("n")) if row["status"] == "success"
@@ -422,7 +422,7 @@ def classifier_sweep(spark, folder):
     rows = stage_table(ft.tfidf_vectors(labelled, "doc_id", grams, vocab), "features")
     folder_of_models, report = fresh_path(spark, "models"), fresh_path(spark, "report")
     config = [{"model_name": n, "sampling": m, "class_column": "star_rating", "drop_columns": "text", "dtype": "float32", "max_depth": 30, "radius": 1.2} for n, m in _JOBS]
-    done = tr.sweep(spark, config, lambda settings: classifier_job(spark, rows, settings, "doc_id", _CLASSES, folder_of_models), report)
+    done = tr.sweep(spark, config, lambda settings: classifier_job(spark, rows, settings, "doc_id", _CLASSES, folder_of_models), report, parallel=4)
     runs, out = {r["description"]: r["test_examples"] for r in spark.read.parquet(report).select("description", "test_examples").collect()}, None  # one row per job
     for d in done:
         name = f"{d['model_name']}-{d['sampling'] or 'sampling_none'}"

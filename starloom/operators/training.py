@@ -11,6 +11,7 @@ import json
 import time
 import traceback
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ from starloom.operators.boosting import HistogramBoosting
 from starloom.operators.features import average_vectors
 from starloom.operators.neighbor_classifier import NeighborClassifier
 from starloom.operators.sampling import exact_sample, with_class_weights
+from starloom.plans.concurrent import TimedOut, run_each
 from starloom.plans.session import fresh_path, stage_table
 
 
@@ -288,10 +291,14 @@ def run_job(spark: SparkSession, name: str, description: str, estimator: Estimat
         row.update(train_examples=train.count(), test_examples=staged.count())
     except Exception as error:  # noqa: BLE001 - a failed run is a result
         row.update(status="failed", message=str(error)[:2000] or traceback.format_exc(limit=1))
-    row["status_date"] = datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
+    row["status_date"] = _now()
     row.update(watch.minutes)
+    return _run_row(spark, row), staged
+
+
+def _run_row(spark: SparkSession, row: Mapping[str, object]) -> DataFrame:
     names = [part.split()[0] for part in RUN_SCHEMA.split(", ")]
-    return spark.createDataFrame([tuple(row.get(n) for n in names)], RUN_SCHEMA), staged
+    return spark.createDataFrame([tuple(row.get(n) for n in names)], RUN_SCHEMA)
 
 
 def _report_cells(staged: DataFrame, label: str, classes: int) -> dict:
@@ -308,26 +315,68 @@ def _report_cells(staged: DataFrame, label: str, classes: int) -> dict:
 
 
 def sweep(spark: SparkSession, config: Iterable[Mapping[str, object]], job: Callable[[Mapping[str, object]], DataFrame],
-          report_path: str) -> list[dict]:
+          report_path: str, parallel: int = 1, timeout: float | None = None, resume: bool = False) -> list[dict]:
     """Run one job per configuration row, append each report, and return the rows with their status.
 
-    Each job is a distributed Spark run; the loop only walks the configuration.
+    Each job is a distributed Spark run, ``parallel`` of them at a time; the rows are returned in the order of the
+    configuration. A job that takes more than ``timeout`` seconds is cancelled and becomes 'failed', in the report as
+    well. With ``resume``, rows whose settings the report holds as 'success' are not run again.
     """
+    rows = [dict(settings) for settings in config]
+    finished = _finished(spark, report_path) if resume else {}
+
+    def run(settings: dict) -> dict:
+        if _settings_key(settings) in finished:
+            return {"status": "success", "message": None, "status_date": finished[_settings_key(settings)]}
+        report = job(settings)
+        first = report.select("status", "message").first()
+        return {"status": first["status"], "message": first["message"], "report": report}
+
     done = []
-    for settings in config:
-        outcome = dict(settings)
-        try:
-            report = job(settings)
-            report.write.mode("append").parquet(report_path)
-            first = report.select("status", "message").first()
-            outcome.update(status=first["status"], message=first["message"])
-        except Exception as error:  # noqa: BLE001 - recorded per row
-            outcome.update(status="failed", message=str(error)[:2000])
-        outcome["status_date"] = datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
-        done.append(outcome)
+    with ThreadPoolExecutor(1) as writer:
+        # the report is written when a job has ended within its limit, one at a time
+        def ended(settings: dict, result: dict | None, error: Exception | None) -> dict:
+            outcome = result or {"status": "failed", "message": str(error)[:2000]}
+            report = outcome.pop("report", None)
+            outcome.setdefault("status_date", _now())
+            if report is None and isinstance(error, TimedOut):
+                report = _run_row(spark, {"model_name": settings.get("model_name"), "description": settings.get("description"), **outcome})
+            if report is not None:
+                report.withColumn("settings", F.lit(_settings_key(settings))).write.mode("append").parquet(report_path)
+            return {**settings, **outcome}
+
+        def guarded(settings: dict, result: dict | None, error: Exception | None) -> dict:
+            try:
+                return ended(settings, result, error)
+            except Exception as failure:  # noqa: BLE001 - recorded per row
+                return {**settings, "status": "failed", "message": str(failure)[:2000], "status_date": _now()}
+
+        waiting = run_each(spark, rows, run, parallel, timeout, lambda row, result, error: writer.submit(guarded, row, result, error))
+        done = [future.result() for future in waiting]
     return done
 
 
+def _now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
+
+
+def _settings_key(settings: Mapping[str, object]) -> str:
+    return json.dumps(settings, sort_keys=True, default=str)
+
+
+def _finished(spark: SparkSession, report_path: str) -> dict[str, str]:
+    """Settings of the jobs a report holds as done, with their dates (one row a job)."""
+    try:
+        report = spark.read.parquet(report_path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return {}
+        raise
+    if "settings" not in report.columns:
+        return {}
+    return {r["settings"]: r["status_date"] for r in report.where("status = 'success'").select("settings", "status_date").collect()}
+
+
 def load_model(path: str) -> PipelineModel:
     """Read a saved pipeline model."""
     return PipelineModel.load(path)
