@@ -509,3 +509,34 @@ def history(spark, folder):
     rows = scoring.score_reviews(valid, _arithmetic_scorer, "arithmetic", "v1.0", created=F.col("received").cast("timestamp_ntz"))
     scoring.append_log(rows, path)
     return scoring.history(spark, path).select("id", "created", "class_expected", "model_name")
+
+
+def _compacted(spark, folder):
+    """A log that a stream wrote in several batches, compacted twice, with its first batch written again in between."""
+    source, log = fresh_path(spark, "incoming"), fresh_path(spark, "log")
+    reviews = _reviews(spark, folder)
+    reviews.repartition(8, "id").write.parquet(source)
+    stream = spark.readStream.schema(reviews.schema).option("maxFilesPerTrigger", 2).parquet(source)
+
+    def to_log(batch):
+        return scoring.score_reviews(batch, _arithmetic_scorer, "arithmetic", "v1.0", created=F.col("received").cast("timestamp_ntz"))
+
+    scoring.stream_scores(stream, to_log, log, fresh_path(spark, "rejected"), fresh_path(spark, "stream-checkpoint")).awaitTermination()
+    scoring.compact_log(spark, log)
+    again = stage_table(spark.read.parquet(log).where("batch = 0").drop("batch"), "again")
+    again.write.mode("overwrite").parquet(f"{log}/batch=0")
+    scoring.compact_log(spark, log, whole=True)
+    return log
+
+
+@query("r2_compacted_log", f"""
+    SELECT CAST(created AS DATE) AS day, count(*) AS n, count(DISTINCT id) AS n_ids, CAST(sum(rating) AS BIGINT) AS ratings FROM {_SCORED_SQL} GROUP BY 1""")
+def compacted_log(spark, folder):
+    rows = scoring.compacted_log(spark, _compacted(spark, folder))
+    return rows.groupBy(F.to_date("created").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.sum("class_expected").alias("ratings"))
+
+
+@query("r3_latest", f"""
+    SELECT id, created, rating AS class_expected, 'arithmetic' AS model_name FROM {_SCORED_SQL} ORDER BY created DESC, id DESC LIMIT 200""")
+def latest(spark, folder):
+    return scoring.latest(spark, _compacted(spark, folder), 200).select("id", "created", "class_expected", "model_name")
