@@ -378,8 +378,12 @@ _PENALTIES = [0.001, 0.01, 0.1]
 @query("l9_parameter_search", " UNION ALL ".join(f"""
     SELECT CAST({i} AS INTEGER) AS candidate, '{{"regParam": {v}}}' AS params, true AS score_in_range, true AS one_best, true AS learned""" for i, v in enumerate(_PENALTIES)))
 def parameter_search(spark, folder):
+    return _search_facts(spark, folder, {"regParam": _PENALTIES}).select("candidate", "params", "score_in_range", "one_best", "learned")
+
+
+def _search_facts(spark, folder, space, **options):
     train, test = _prepared(spark, folder)
-    found, scores = tr.search(spark, tr.make_classifier("LRB", rows=train.count()), train, "doc_id", {"regParam": _PENALTIES}, _CLASSES)
+    found, scores = tr.search(spark, tr.make_classifier("LRB", rows=train.count()), train, "doc_id", space, _CLASSES, **options)
     # the model of the best candidate, fitted on all folds, against the share of the largest class
     hits = tr.predict(found.bestModel, test).agg(F.count_if(F.col("star_rating") == F.col("prediction")).alias("hits")).scalar()
     most = test.groupBy("star_rating").agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
@@ -387,6 +391,21 @@ def parameter_search(spark, folder):
     return scores.select("candidate", "params", F.col("score").between(0, 1).alias("score_in_range"), one_best.alias("one_best"), (hits > most).alias("learned"))
 
 
+_MIXES = [0.0, 0.5, 1.0]
+
+
+@query("l9_random_search", """
+    SELECT CAST(c AS INTEGER) AS candidate, true AS in_space, CAST(1 AS BIGINT) AS times_drawn, true AS score_in_range, true AS one_best, true AS learned
+    FROM (SELECT unnest([0, 1, 2, 3]) AS c)""")
+def random_search(spark, folder):
+    """Four of the nine combinations of penalty and mix, drawn at random without repeats."""
+    rows = stage_table(_search_facts(spark, folder, {"regParam": _PENALTIES, "elasticNetParam": _MIXES}, n_iter=4), "candidates")
+    drawn = F.from_json("params", "regParam double, elasticNetParam double")
+    in_space = drawn["regParam"].isin(_PENALTIES) & drawn["elasticNetParam"].isin(_MIXES)
+    times = rows.groupBy("params").agg(F.count("*").alias("times_drawn"))
+    return rows.join(times, "params").select("candidate", in_space.alias("in_space"), "times_drawn", "score_in_range", "one_best", "learned")
+
+
 @query("l10_run_job", f"""
     SELECT 'LRB' AS model_name, 'success' AS status, (SELECT count(*) FROM {_TRAIN_SQL}) AS train_examples, (SELECT count(*) FROM {_TEST_SQL}) AS test_examples,
       (SELECT {" || ',' || ".join(f"count(*) FILTER (star_rating = {c})" for c in range(1, _CLASSES + 1))} FROM {_TEST_SQL}) AS matrix_supports,
