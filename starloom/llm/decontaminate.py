@@ -10,25 +10,50 @@ from starloom.plans.sizing import lookup_join
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 _DOC = ["__id", "__text"]
 
 
 def _words(text: Column) -> Column:
-    """Runs of digits, letters and characters beyond ASCII, with only A-Z made lower case."""
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.regexp_extract_all(F.coalesce(lowered, F.lit("")), F.lit(_WORD), F.lit(0))
+    """Runs of digits, letters and characters beyond ASCII, with only A-Z made lower case.
+
+    One translation and a split at single spaces, which take a fraction of a regular expression's time.
+    """
+    spaced = F.translate(F.coalesce(text, F.lit("")), _UPPER + _SEPARATORS, _LOWER + " " * len(_SEPARATORS))
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def _hashes(words: Column) -> Column:
+    """Hash of every word, in order."""
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _shingles(words: Column, size: int) -> Column:
-    """Hashes of every run of ``size`` words, in order."""
-    out = hashed = F.transform(words, lambda w: F.xxhash64(w))
+def _shingles(hashes: Column, size: int) -> Column:
+    """Hashes of every run of ``size`` words, in order, from those of the words."""
+    out = hashes
     for k in range(1, size):
-        later = F.slice(hashed, F.lit(k + 1), F.greatest(F.size(words) - k, F.lit(0)))
+        later = F.slice(hashes, F.lit(k + 1), F.greatest(F.size(hashes) - k, F.lit(0)))
         out = F.zip_with(out, later, lambda x, y: F.xxhash64(x, y))
-    return F.slice(out, F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(0)))
+    return F.slice(out, F.lit(1), F.greatest(F.size(hashes) - (size - 1), F.lit(0)))
+
+
+def _placed_shingles(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], wanted: DataFrame) -> DataFrame:
+    """(document, n_words, k, pos, shingle) of the ``wanted`` shingles in ``docs``, of all ``sizes`` in one pass over the texts.
+
+    The words are hashed in a projection of their own: inside the generator they would be hashed again
+    for every use, and their array would be copied into every row that leaves it.
+    """
+    hashed = docs.select(*_keys(id_col, text_col), _hashes(_words(F.col(text_col))).alias("hashes"))
+    runs = F.concat(F.array().cast("array<long>"), *[_shingles(F.col("hashes"), n) for n in sizes])
+    placed = hashed.select(*_DOC, F.size("hashes").alias("n_words"), "hashes").select(*_DOC, "n_words", F.posexplode(runs).alias("at", "shingle"))
+    found = lookup_join(placed, wanted, ["shingle"], "left_semi")
+    k, pos, before = F.lit(0), F.col("at"), F.lit(0)
+    for n in sizes:  # each size's runs follow those of the sizes before it
+        k = F.when(F.col("at") >= before, n).otherwise(k)
+        pos = F.when(F.col("at") >= before, F.col("at") - before).otherwise(pos)
+        before = before + F.greatest(F.col("n_words") - (n - 1), F.lit(0))
+    return found.select(*_DOC, "n_words", k.alias("k"), pos.alias("pos"), "shingle")
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window_words: int, shingle_words: int) -> DataFrame:
@@ -38,7 +63,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window
     starts = sized.withColumn("start", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1)))
     windows = starts.select("item", "length", F.slice("words", F.col("start"), F.col("length")).alias("words")).distinct()
     k = F.least(F.col("length"), F.lit(shingle_words))
-    by_size = [F.when(k == n, _shingles(F.col("words"), n)) for n in range(1, shingle_words + 1)]
+    by_size = [F.when(k == n, _shingles(_hashes(F.col("words")), n)) for n in range(1, shingle_words + 1)]
     return windows.select(F.xxhash64("item", "words").alias("window"), "item", "length", k.alias("k"), F.coalesce(*by_size).alias("shingles"))
 
 
@@ -74,16 +99,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col:
     """n_hit and the items of every document that holds a window, under the document's key."""
     windows = stage_table(benchmark_windows(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col, window_words, shingle_words), "windows")
     parts = windows.select("window", "item", "length", "k", F.posexplode("shingles").alias("offset", "shingle"))
-    wanted = parts.select("k", "shingle").distinct()
-    sizes = [r.k for r in windows.select("k").distinct().collect()]  # at most shingle_words values
-    rows = docs.select(*_keys(id_col, text_col), _words(F.col(text_col)).alias("words"))
-    found = None
-    for n in sizes:
-        placed = rows.select(*_DOC, F.size("words").alias("n_words"), F.lit(n).alias("k"), F.posexplode(_shingles(F.col("words"), n)).alias("pos", "shingle"))
-        placed = lookup_join(placed, wanted.where(F.col("k") == n).select("shingle"), ["shingle"], "left_semi")
-        found = placed if found is None else found.unionByName(placed)
-    if found is None:
-        found = rows.limit(0).select(*_DOC, F.lit(0).alias("n_words"), F.lit(0).alias("k"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("shingle"))
+    sizes = [r.k for r in windows.select("k").distinct().orderBy("k").collect()]  # at most shingle_words values
+    found = _placed_shingles(docs, id_col, text_col, sizes, parts.select("shingle").distinct())
     hits = stage_table(found.distinct(), "benchmark-shingles")
     rarity = parts.join(hits.groupBy("k", "shingle").agg(F.count("*").alias("n")), ["k", "shingle"], "left")
     first = Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "offset")

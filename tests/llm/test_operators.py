@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -323,6 +324,32 @@ def test_decontamination_keeps_columns_named_like_its_helpers(spark):
     assert kept.columns == docs.columns and {r["__id"] for r in kept.collect()} == {8, 9}
 
 
+def test_decontamination_splits_a_text_once_for_items_of_all_sizes(spark, monkeypatch):
+    odd_chars = "".join(map(chr, [*range(0x250), 0x2028, 0x212A, 0x10400, 0x1F600]))
+    body = "A b\u00c9 c\x00d  E1-f g\th i J k l m n\u00a0o b\u00c9 c d"
+    texts = [body, odd_chars, "d", "c D", "D c d", "c", "", None, " \x00 ", f"{odd_chars} {body} {odd_chars}", "x " * 40 + "c d " * 3, words(1, 300), words(1, 300) + " D"]
+    items = ["d", "C d", "b\u00c9 C d", "k l m n\u00a0o", body, words(1, 40), odd_chars, " ", None, "D"]
+    split, calls = decontaminate._words, []
+    monkeypatch.setattr(decontaminate, "_words", lambda text: calls.append(1) or split(text))
+    docs, bench = spark.createDataFrame(enumerate(texts), "doc_id long, text string"), spark.createDataFrame(enumerate(items), "item_id long, text string")
+    out = decontaminate.contaminated_documents(docs, bench)
+    assert len(calls) == 3 and "regexp" not in out._jdf.queryExecution().toString()  # of items, for runs, for n_words
+    got = by_id(out, "n_words", "n_hit", "n_items", "items_sha256")
+
+    def plain(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    for k, text in enumerate(texts):
+        w, hit, named = plain(text), set(), set()
+        for item, i in ((str(n), plain(t)) for n, t in enumerate(items)):
+            size = min(len(i), 10)
+            windows = {tuple(i[j:j + size]) for j in range(len(i) - size + 1)} if i else set()
+            starts = [j for j in range(len(w) - size + 1) if tuple(w[j:j + size]) in windows]
+            hit.update(j + n for j in starts for n in range(size))
+            named.update([item] * bool(starts))
+        assert got[k] == (len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest()), k
+
+
 @pytest.mark.parametrize("start,end", [("<article class='post comments-open'>", "</article>"), ("<div id='content' class='no-sidebar'>", "</div>"), ("<main class='has-banner'>", "</main>"),
                                        ("<div class='entry-content share'>", "</div>"), ("<div class='with-footer'>", "</div>"), ("<div class='post-123 has_ads'>", "</div>"), ("<article id=related>", "</article>")])
 def test_names_of_states_do_not_hide_the_text(start, end):
