@@ -81,6 +81,17 @@ def test_average_vectors(spark, docs):
     assert rows == {0: [1.5, 1.0], 1: [1.0, 3.0], 2: [0.5, 2.0], 3: None, 4: None}
 
 
+def test_average_vectors_sum_on_the_map_side(spark, docs):
+    vectors = spark.createDataFrame([("cat", [1.0, 0.0]), ("dog", [0.0, 4.0])], "word string, vec array<float>")
+    found = ft.average_vectors(docs, "id", tx.word_punct_tokens("t"), vectors)
+    assert "ObjectHashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    none = ft.average_vectors(docs, "id", tx.word_punct_tokens("t"), vectors.limit(0))
+    assert {(r.known_words, r.mean_vec) for r in none.collect()} == {(0, None)}
+    mixed = vectors.unionByName(spark.createDataFrame([("sat", [1.0])], "word string, vec array<float>"))
+    with pytest.raises(ValueError):
+        ft.average_vectors(docs, "id", tx.word_punct_tokens("t"), mixed)
+
+
 def test_unknown_vectors_are_repeatable(spark):
     vocab = spark.createDataFrame([(f"w{i}",) for i in range(400)] + [("cat",)], "word string")
     known = spark.createDataFrame([("cat", [3.0, 4.0]), ("bad", [1.0])], "word string, vec array<float>")
