@@ -61,6 +61,46 @@ def test_farthest_and_radius(points):
     assert votes == {k: v for k, v in wanted.items() if v}
 
 
+def test_vectors_without_clusters_are_copied_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 100)
+    x = np.random.default_rng(4).normal(size=(300, 16)).astype(np.float32)
+    x[40:60] = x[3] + np.float32(1e-6) * x[40:60]  # closer than single-precision products tell apart
+    df = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "id int, label int, vec array<float>").repartition(3).cache()
+    base = neighbors._prepare(df, "id", "vec", None, "label")
+    _, cells = neighbors._build(base, 4, False, 64)
+    blocks = len(cells.packed()[1])
+    assert blocks <= 6 and neighbors._route(base, cells, 1, "radius", 100.0).count() == 300 * blocks  # every cell is asked
+    d = pairwise(x.astype(np.float64))
+    order = np.lexsort((np.broadcast_to(np.arange(300), d.shape), np.where(np.eye(300, dtype=bool), np.inf, d)))[:, :4]
+    found = neighbors.nearest(df, df, "id", "vec", 4, exclude_self=True).collect()
+    assert {(r.id, r["rank"]): r.neighbor for r in found} == {(i, k + 1): int(j) for i in range(300) for k, j in enumerate(order[i])}
+    radius = float(np.sort(d[0])[20])  # a distance that occurs
+    votes = {(r.id, r.label): r.n for r in neighbors.radius_votes(df, df, "id", "vec", radius, "label", exclude_self=True).collect()}
+    wanted = {(i, c): int(((d[i] <= radius) & (np.arange(300) % 3 == c) & (np.arange(300) != i)).sum()) for i in range(300) for c in range(3)}
+    assert votes == {k: v for k, v in wanted.items() if v}
+
+
+def test_sparse_rows_stay_small(spark):
+    x = np.random.default_rng(6).normal(size=(60, 40)) * (np.random.default_rng(7).random((60, 40)) < 0.1)
+    x[7] = np.arange(40) / 40
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vec array<double>")
+    assigned, _ = neighbors._build(neighbors._prepare(df, "id", "vec", None, None), 1, False, 4)
+    sizes = {r.id: len(r.v) for r in assigned.collect()}
+    assert sizes[7] == 4 + 8 * 39 + 8 and all(sizes[i] == 4 + 12 * np.count_nonzero(x[i]) for i in range(60) if i != 7)
+    d = pairwise(x)
+    for r in neighbors.farthest(df, df, "id", "vec", 2).collect():
+        assert r.distance == pytest.approx(np.sort(d[r.id])[::-1][r.rank - 1])
+
+
+def test_neighbors_of_repeated_keys(spark):
+    x = np.random.default_rng(5).normal(size=(40, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x) for _ in range(3)], "id int, vec array<double>")
+    d = pairwise(x)
+    np.fill_diagonal(d, np.inf)
+    found = neighbors.nearest(df.dropDuplicates(["id"]), df, "id", "vec", 4, exclude_self=True).groupBy("id").agg({"neighbor": "collect_list"}).collect()
+    assert all(sorted(r[1]) == sorted([*[int(d[r.id].argmin())] * 3, int(d[r.id].argsort()[1])]) for r in found) and len(found) == 40
+
+
 def test_balance(points):
     _, labels, df = points
     sizes = {c: int((labels == c).sum()) for c in (1, 2, 3)}
