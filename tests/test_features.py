@@ -75,6 +75,24 @@ def test_one_hot(spark):
     assert row.h == [0, 0, 1, 0, 0] and row.a == 3
 
 
+def test_limited_vocabulary_counts_few_ngrams(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["aa bb cc"] * int(rng.integers(0, 3)) + [f"w{rng.integers(200)}" for _ in range(12)] + ["bb cc"])) for i in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    grams, built = ft.gram_array("text", 1, 3), []
+    whole, real = ft.vocabulary(df, grams, max_features=8), ft.term_statistics
+    monkeypatch.setattr(ft, "term_statistics", lambda d, g: built.append(real(d, g)) or built[-1])
+    pruned = ft.vocabulary(df, grams, max_features=8, spans=("text", 3))
+    assert sorted(pruned.collect()) == sorted(whole.collect())
+    assert sum(b.count() for b in built) < real(df, grams).count() / 2
+    cells = [ft.tfidf(df, "id", grams, whole, digits=9, spans=s).collect() for s in (None, ("text", 3))]
+    assert sorted(cells[0]) == sorted(cells[1]) and cells[0]
+    for options in ({"min_df": 4}, {"max_df": 0.5}):  # limits on documents leave out frequent words, not what follows from them
+        assert sorted(ft.vocabulary(df, grams, max_features=9, spans=("text", 3), **options).collect()) == sorted(ft.vocabulary(df, grams, max_features=9, **options).collect())
+    monkeypatch.setattr(ft, "NAMED_WORDS", 2)
+    assert sorted(ft.vocabulary(df, grams, max_features=8, spans=("text", 3)).collect()) == sorted(whole.collect())
+
+
 def test_average_vectors(spark, docs):
     vectors = spark.createDataFrame([("cat", [1.0, 0.0]), ("dog", [0.0, 4.0]), ("sat", [2.0, 2.0])], "word string, vec array<float>")
     rows = {r.id: r.mean_vec for r in ft.average_vectors(docs, "id", tx.word_punct_tokens("t"), vectors).collect()}
