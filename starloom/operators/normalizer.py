@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -14,9 +17,13 @@ from pyspark.sql import functions as F
 
 from starloom.functions import text as tx
 from starloom.functions.fixed_values import SENTIMENT_WORDS, review_stop_words
-from starloom.functions.stemming import stem_text, stem_words
+from starloom.functions.stemming import stem_text, stem_word, stem_words
 from starloom.operators.relational import drop_columns, drop_empty, drop_nulls, duplicate_columns
-from starloom.plans.sizing import lookup_join
+from starloom.plans.session import stage_table
+from starloom.plans.sizing import fits_broadcast, lookup_join, materialized
+
+#: Rows and bytes of a lemma table that each Python worker may hold.
+WORKER_ROWS, WORKER_BYTES = 500_000, 32 * 1024 * 1024
 
 Step = Callable[[Column], Column]
 
@@ -139,13 +146,42 @@ def _replace_tokens(df: DataFrame, key: str, text: str, tokens: Column, forms: D
             .drop("__text"))
 
 
+def _one_row_a_key(df: DataFrame, key: str) -> bool:
+    return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).isEmpty()
+
+
+def _replaced(tokens: Column, load: Callable[[], Callable[[str], str]]) -> Column:
+    """Tokens joined by blanks, each distinct one of a batch replaced once; no token is shuffled."""
+    @F.arrow_udf("string")
+    def joined(lists: pa.Array) -> pa.Array:
+        replace, flat = load(), lists.flatten().dictionary_encode()
+        words = pa.array([replace(w) for w in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        rows = pa.LargeListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int64), ends])), words)
+        return pc.if_else(lists.is_valid(), pc.binary_join(rows, " "), pa.scalar(None, pa.string()))
+
+    return joined(tokens)
+
+
 def lemmatize(df: DataFrame, key: str, text: str, forms: DataFrame) -> DataFrame:
-    """Replace every token by its lemma from a (form, lemma) table; unknown forms stay."""
+    """Replace every token by its lemma from a (form, lemma) table; unknown forms stay.
+
+    A table that is measured small goes to the workers and texts stay where they are.
+    """
+    df, forms = stage_table(df, "texts"), materialized(forms.select("form", "lemma"))
+    if fits_broadcast(forms, WORKER_ROWS, WORKER_BYTES) and _one_row_a_key(df, key):
+        pairs = [tuple(r) for r in forms.where("form IS NOT NULL").collect()]
+        table = {form: lemma for form, lemma in pairs if lemma is not None}
+        if len({form for form, _ in pairs}) == len(pairs):
+            sent = df.sparkSession.sparkContext.broadcast(table)
+            return df.withColumn(text, _replaced(tx.word_punct_tokens(text), lambda: lambda w, known=sent.value: known.get(w, w)))
     return _replace_tokens(df, key, text, tx.word_punct_tokens(text), forms)
 
 
 def stem_documents(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Stem every blank-separated word; each distinct word of the corpus is stemmed once."""
-    words = tx.blank_tokens(text)
+    """Stem every blank-separated word; each distinct word of a batch of texts is stemmed once."""
+    words, df = tx.blank_tokens(text), stage_table(df, "texts")
+    if _one_row_a_key(df, key):
+        return df.withColumn(text, _replaced(words, lambda: stem_word))
     forms = stem_words(df.select(F.explode(F.array_distinct(words)).alias("form")).distinct()).where("form <> lemma")
     return _replace_tokens(df, key, text, words, forms)

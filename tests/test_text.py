@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from starloom.functions import text as tx
 from starloom.functions.fixed_values import CONTRACTIONS, ENGLISH_STOP_WORDS, review_stop_words
 from starloom.functions.stemming import stem_text, stem_word
-from starloom.operators.normalizer import TextNormalizer, lemmatize, preprocess_reviews
+from starloom.operators.normalizer import TextNormalizer, lemmatize, preprocess_reviews, stem_documents
 
 
 def run(spark, values, fn):
@@ -101,6 +101,19 @@ def test_stop_words():
     assert "not" not in review_stop_words() and "the" in review_stop_words()
 
 
+def test_documents_keep_their_place(spark):
+    """With one row a key no token is shuffled; repeated keys and repeated forms give what they gave."""
+    df = spark.createDataFrame([(1, "the  cats, running"), (2, None), (3, ""), (4, "Ponies s")], "id int, t string")
+    forms = spark.createDataFrame([("cats", "cat"), ("s", None)], "form string, lemma string")
+    found = [stem_documents(df, "id", "t"), lemmatize(df, "id", "t", forms)]
+    assert all("Exchange" not in f._jdf.queryExecution().executedPlan().toString() for f in found)
+    assert {r.id: r.t for r in found[0].collect()} == {1: "the cats, run", 2: None, 3: "", 4: "poni s"}
+    assert {r.id: r.t for r in found[1].collect()} == {1: "the cat , running", 2: None, 3: "", 4: "Ponies s"}
+    twice = lemmatize(df.where("id = 4").unionByName(df.where("id = 4")), "id", "t", forms)
+    assert {r.t for r in twice.collect()} == {"Ponies Ponies s s"}
+    assert lemmatize(df.where("id = 1"), "id", "t", forms.unionByName(forms)).first().t == "the cat cat , running"
+
+
 def test_lemmatize(spark):
     df = spark.createDataFrame([(1, "the cats, and dogs"), (2, "xs"), (3, None)], "id int, t string")
     forms = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "form string, lemma string")
