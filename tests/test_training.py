@@ -116,3 +116,12 @@ def test_feature_sweep(spark, tmp_path):
     first = spark.read.parquet(done[0]["outfile"])
     assert first.count() == 40 and {"topics", "features", "helpful_product"} <= set(first.columns)
     assert done[0]["outfile"].endswith("body-bow-40-5-lda2")
+
+
+def test_tree_statistics_fit_the_heap(spark):
+    """The statistics of all tasks of an executor take half of what Spark manages of its heap, whatever its size."""
+    assert tr.tree_memory(1800, 2) == 225 and tr.tree_memory(64_000, 2) == tr.TREE_MEMORY and tr.tree_memory(400, 8) == 64
+    heap = spark._jvm.java.lang.Runtime.getRuntime().maxMemory() / 2**20
+    for name in ("DT", "RF"):
+        held = tr.make_classifier(name, max_depth=3).getMaxMemoryInMB()
+        assert held * spark.sparkContext.defaultParallelism <= max(0.3 * heap, 64 * spark.sparkContext.defaultParallelism)
